@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, pieces
+from . import chat, language, pieces, toxicity, wordpieces
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": wordpieces.op1_token_counts,
+        "op2_language_id": language.op2_language_id,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_chat_format": chat.op10_chat_format,
     }
 
