@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, language, pieces, toxicity, wordpieces
+from . import chat, egojoin, language, pieces, simhash, toxicity, wordpieces
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": wordpieces.op1_token_counts,
         "op2_language_id": language.op2_language_id,
+        "op4_simhash": simhash.op4_simhash,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op9_embedding_dedup": egojoin.op9_embedding_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
 
