@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, egojoin, language, pieces, simhash, toxicity, wordpieces
+from . import chat, contamination, egojoin, language, licenses, pieces, simhash, toxicity, wordpieces
 
 
 def queries() -> dict:
@@ -11,11 +11,13 @@ def queries() -> dict:
         "op2_language_id": language.op2_language_id,
         "op4_simhash": simhash.op4_simhash,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_decontamination": contamination.op8_decontamination,
         "op9_embedding_dedup": egojoin.op9_embedding_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.SQL}
+    return {"op6_license_scan": licenses.sql(), "op8_decontamination": contamination.SQL, "op10_chat_format": chat.SQL}
