@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, egojoin, language, licenses, pieces, simhash, toxicity, wordpieces
+from . import chat, contamination, egojoin, language, licenses, lines, pieces, simhash, toxicity, wordpieces
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": wordpieces.op1_token_counts,
         "op2_language_id": language.op2_language_id,
+        "op3_line_dedup": lines.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_license_scan": licenses.op6_license_scan,
