@@ -200,6 +200,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(of_node, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the smallest key of each component; one row where a key repeats.
+
+    Rows with a null key stay if their component has no key at all.
+    """
+    groups = materialize(near_duplicates(docs, key, text))
+    repeats = groups.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    gone = groups.where(~F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__gone")).distinct()
+    some_null = not gone.where("__gone is null").isEmpty()
+    kept = docs.join(gone.where("__gone is not null"), docs[key] == F.col("__gone"), "left_anti")
+    if some_null:  # rows without a key can't be told apart by it, so their fingerprints are joined again
+        with_key, without = kept.where(docs[key].isNotNull()), kept.where(docs[key].isNull())
+        named = groups.where(F.col("component").isNotNull()).select(F.col("fp").alias("__fp")).distinct()
+        numbered = without.withColumn("__row", F.monotonically_increasing_id())
+        prints = fingerprint_documents(numbered, "__row", text)
+        bound = prints.join(named, F.col("fp") == F.col("__fp"), "left_semi").select(F.col("__row").alias("__bound"))
+        kept = with_key.unionByName(numbered.join(bound, F.col("__row") == F.col("__bound"), "left_anti").drop("__row"))
+    if repeats.isEmpty():
+        return kept
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     got = near_duplicates(table(spark, sf_dir, "documents"))
