@@ -1,14 +1,14 @@
 """License scans, in DataFrame functions only.
 
 Every line of a file (a header's statement) and the whole of a file are compared with license templates
-by the cosine of sparse TF-IDF vectors; document frequencies are those among the templates, a word that no
-template has counts as the rarest. A line at ``LINE`` or more gives its file that license; a file whose
+by the cosine of sparse TF-IDF vectors; document frequencies of the templates' words are counted over all
+files, a word that no template has counts as being in a hundredth of them. A line at ``LINE`` or more gives its file that license; a file whose
 whole text is at ``FILE`` or more, or that has a license file's name and a licensed line, is a license
 file and licenses its directory. Other files inherit from the license file in the nearest ancestor
 directory, by joins on directory paths.
 
-A text can reach a threshold only if it has one of a template's anchors, the heaviest words without which
-too little of the template is left; lines without an anchor are put aside before any word is counted.
+A text can reach a threshold only if it has one of a template's anchors, words without which too little
+of the template is left, the heaviest first; lines without an anchor are put aside before any word is counted.
 
 Defined results: null texts are empty and have no license of their own; empty paths lie in the root; rows
 of one path are one file with all their lines; the best license is the one with the highest cosine, then
@@ -40,6 +40,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 LINE, FILE = 0.8, 0.6
+#: Share of all documents that a word which no template has is taken to be in.
+OTHER = 0.01
 NAMES = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$"
 WORD = "[a-z0-9]+"
 
@@ -51,30 +53,29 @@ def split_words(text: str) -> list[str]:
 
 
 class Weights:
-    """Template vectors, as literals: their size is that of the template list."""
-
-    def __init__(self, templates: list[tuple[str, str]]):
-        sets = [split_words(t) for _, t in templates]
-        df = {w: sum(w in s for s in sets) for s in sets for w in s}
-        idf = lambda n: math.log((1 + len(templates)) / (1 + n)) + 1
-        self.rare = round(idf(0), 9)
-        self.idf = {w: round(idf(n), 9) for w, n in df.items()}
-        self.rows, self.norms = [], []
-        anchors: set[str] = set()
-        for no, words in enumerate(sets):
-            vector = {w: words.count(w) * self.idf[w] for w in words}
-            whole = sum(x * x for x in vector.values())
-            self.rows += [(no, templates[no][0], w, x) for w, x in sorted(vector.items())]
-            self.norms.append(math.sqrt(whole))
-            left = whole
+    """Template vectors for word counts ``df`` among ``n`` files; their size is that of the template list."""
+
+    def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n: int):
+        self.idf = {w: round(math.log((1 + n) / (1 + df.get(w, 0))) + 1, 9) for w in vocabulary(templates)}
+        self.other = round(math.log((1 + n) / (1 + OTHER * n)) + 1, 9)
+        self.rows, anchors = [], set()
+        for no, (name, text) in enumerate(templates):
+            own = split_words(text)
+            vector = {w: own.count(w) * self.idf[w] for w in own}
+            whole = left = sum(x * x for x in vector.values())
+            self.rows += [(no, name, w, x, math.sqrt(whole)) for w, x in sorted(vector.items())]
             for w in sorted(vector, key=lambda w: (-vector[w], w)):
-                if left < (min(LINE, FILE) - 1e-9) ** 2 * whole:
+                if left < (min(LINE, FILE) - 1e-6) ** 2 * whole:
                     break
                 anchors.add(w)
                 left -= vector[w] ** 2
         self.anchors = sorted(anchors)
 
 
+def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, t in templates for w in split_words(t)})
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -84,8 +85,8 @@ def cosines(units: DataFrame, by: list[str], weights: Weights) -> DataFrame:
     spark = units.sparkSession
     terms = units.select(*by, F.explode("w").alias("word")).groupBy(*by, "word").agg(F.count("*").alias("tf"))
     idf = F.broadcast(spark.createDataFrame(list(weights.idf.items()), "word string, idf double"))
-    sized = terms.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.rare)))
-    vectors = F.broadcast(spark.createDataFrame([(n, name, w, x, weights.norms[n]) for n, name, w, x in weights.rows], "template int, license string, word string, y double, norm double"))
+    sized = terms.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
+    vectors = F.broadcast(spark.createDataFrame(weights.rows, "template int, license string, word string, y double, norm double"))
     length = sized.groupBy(*by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     dots = sized.join(vectors, "word").groupBy(*by, "template", "license", "norm").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dots.join(length, by).select(*by, "license", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6).alias("score"))
@@ -99,7 +100,10 @@ def parent(path: Column) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(path, license, score, effective, origin, inherited_from) of every distinct path."""
-    weights = Weights(templates or TEMPLATES)
+    templates = templates or TEMPLATES
+    met = F.array_intersect(words(F.col(text)), F.array(*[F.lit(w) for w in vocabulary(templates)]))
+    df = files.select(F.explode(met).alias("word")).groupBy("word").count().collect()  # the templates' words
+    weights = Weights(templates, {r["word"]: r["count"] for r in df}, files.count())
     anchors = F.array(*[F.lit(a) for a in weights.anchors])
     rows = files.select(F.coalesce(F.col(path), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lines = rows.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("path", "line_no", words(F.col("line")).alias("w"))
@@ -147,23 +151,25 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql(templates: list[tuple[str, str]] | None = None) -> str:
     """The same in DuckDB SQL, without anchors."""
-    weights = Weights(templates or TEMPLATES)
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    idf = ", ".join(f"({text(w)}, {x!r})" for w, x in weights.idf.items())
-    vectors = ", ".join(f"({n}, {text(name)}, {text(w)}, {x!r}, {weights.norms[n]!r})" for n, name, w, x in weights.rows)
+    counted = [(no, name, w, split_words(t).count(w)) for no, (name, t) in enumerate(templates or TEMPLATES) for w in sorted(set(split_words(t)))]
+    vectors = ", ".join(f"({n}, {text(name)}, {text(w)}, {tf})" for n, name, w, tf in counted)
     part = f"'{WORD}'"
 
     def cosine(units: str, by: str) -> str:
         keys = ", ".join(f"d.{k}" for k in by.split(", "))
         on = " AND ".join(f"d.{k} = s.{k}" for k in by.split(", "))
         return f"""(WITH t AS (SELECT {by}, word, count(*) AS tf FROM (SELECT {by}, unnest(w) AS word FROM {units}) GROUP BY {by}, word),
-  x AS (SELECT t.*, tf * coalesce(idf, {weights.rare!r}) AS x FROM t LEFT JOIN idf ON t.word = idf.word),
+  x AS (SELECT t.*, tf * coalesce(idf, (SELECT round(ln((1 + n) / (1 + {OTHER} * n)) + 1, 9) FROM total)) AS x FROM t LEFT JOIN idf ON t.word = idf.word),
   s AS (SELECT {by}, sqrt(sum(x * x)) AS length FROM x GROUP BY {by}),
   d AS (SELECT {by}, template, license, norm, sum(x * y) AS dot FROM x JOIN vec ON x.word = vec.word GROUP BY {by}, template, license, norm)
   SELECT {keys}, license, round(dot / (norm * length), 6) AS score FROM d JOIN s ON {on})"""
 
     return f"""
-WITH idf(word, idf) AS (VALUES {idf}), vec(template, license, word, y, norm) AS (VALUES {vectors}),
+WITH raw(template, license, word, tf) AS (VALUES {vectors}), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+seen AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {part})) AS word FROM documents)) GROUP BY word),
+idf AS (SELECT r.word AS word, round(ln((1 + n) / (1 + coalesce(df, 0))) + 1, 9) AS idf FROM (SELECT DISTINCT word FROM raw) r LEFT JOIN seen ON r.word = seen.word, total),
+vec AS (SELECT template, license, raw.word AS word, tf * idf AS y, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM raw JOIN idf ON raw.word = idf.word),
 f AS (SELECT coalesce(CAST(source AS VARCHAR), 'unknown') || '/' || coalesce(CAST(lang AS VARCHAR), 'unknown') || '/' ||
   coalesce(CAST(CAST(floor(doc_id / {PER_DIRECTORY}) AS BIGINT) AS VARCHAR), 'unknown') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'unknown') AS path, coalesce(text, '') AS text FROM documents),
 l AS (SELECT DISTINCT path, regexp_extract_all(lower(line), {part}) AS w FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f)),
