@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import research, transforms
+
 
 def queries() -> dict:
-    return {}
+    return transforms.queries() | research.queries()
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return transforms.oracle_sql() | research.oracle_sql()
