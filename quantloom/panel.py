@@ -44,7 +44,9 @@ def as_panel(spark: SparkSession, data, spec: PanelSpec) -> DataFrame:
     if isinstance(data, DataFrame):
         df = data
     else:
-        df = spark.createDataFrame(data.astype(object).where(data.notna(), None))
+        import pyarrow as pa
+
+        df = spark.createDataFrame(pa.Table.from_pandas(data, preserve_index=False))
     require(df, spec.date, spec.symbol)
     return df.withColumn(spec.date, F.col(spec.date).cast("timestamp"))
 
