@@ -215,7 +215,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         named = groups.where(F.col("component").isNotNull()).select(F.col("fp").alias("__fp")).distinct()
         numbered = without.withColumn("__row", F.monotonically_increasing_id())
         prints = fingerprint_documents(numbered, "__row", text)
-        bound = prints.join(named, F.col("fp") == F.col("__fp"), "left_semi").select(F.col("__row").alias("__bound"))
+        bound = prints.join(named, F.col("fp") == F.col("__fp"), "left_semi").select(F.col("key").alias("__bound"))
         kept = with_key.unionByName(numbered.join(bound, F.col("__row") == F.col("__bound"), "left_anti").drop("__row"))
     if repeats.isEmpty():
         return kept
