@@ -8,12 +8,14 @@ the token's positions, and by a 64-bit parity map of the sets (which can't diffe
 sets do in tokens), and what is left is verified on the whole sets.
 
 Rarity comes from counts of all tokens of all texts in a table of fixed size (``BUCKETS``); any order that
-all lines share gives exact results. A prefix hands on, for each line, its few earliest partners; lines
-that none of these settles get all of theirs in a second round, so nothing is capped. Equal lines of one
-batch of documents are settled there and then, whatever their number.
+all lines share gives exact results. A prefix hands on, for each line, the earlier partners that look most
+similar; lines that none of these settles get more, and in the last round all of theirs, so nothing is
+capped. Whole sets are read once, for the lines that may have a partner at all. Equal lines of one
+batch of documents are settled there and then, whatever their number. Between the stages lines travel in
+packed columns, a row for each batch, or for each batch and range of tokens.
 
 Defined results: null and empty texts have one empty line; rows with a null id come first in the order;
-rows that share an id share decisions by line number; an empty table gives an empty result. Only the id and
+rows that share an id share decisions by line number, and equal numbers don't match; an empty table gives an empty result. Only the id and
 text columns are read. Ids are integers.
 """
 
@@ -23,21 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, table
-from .tokens import mix, token_hashes
+from .tokens import mix, slices, token_hashes
 
 JACCARD = 0.8
 BUCKETS = 1 << 20
-#: Partners that a prefix hands on for a line at first; groups beyond WIDE are searched by blocks.
-FIRST, WIDE, BLOCK = 3, 512, 256
+#: Partners that a prefix hands on for a line in each round; groups beyond WIDE are searched by blocks.
+ROUNDS, WIDE, BLOCK = (4, None), 512, 256
 PAIRS = 1 << 20
-#: Marks of lines to be verified, in a table of fixed size.
-MARKS = 1 << 22
+#: Marks of lines and tokens that are asked for, in a table of fixed size.
+MARKS = 1 << 23
 #: Removed lines up to this many are broadcast (16 bytes each); more are shuffled.
 BROADCAST_LINES = 1_000_000
+#: Pairs up to this many are broadcast (8 bytes for each line).
+BROADCAST_PAIRS = 200_000
 NO_ID = -(1 << 63)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -46,15 +51,42 @@ _TOKEN = np.ones(256, bool)
 _TOKEN[[9, 10, 11, 12, 13, 32]] = False
 
 
-def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes, their lines), and of each line its text and its number there."""
-    raw = _FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+def lines_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes with a line feed after each text, where the lines end, and each one's text and number."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     feeds = np.flatnonzero(raw == 10)
-    h, start = token_hashes(raw, _TOKEN[raw])
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     owner = np.searchsorted(ends, feeds)
     first = np.searchsorted(owner, np.arange(len(texts)))
-    return h, np.searchsorted(feeds, start), owner, np.arange(len(feeds)) - first[owner]
+    return raw, feeds, owner, np.arange(len(feeds)) - first[owner]
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, one after the other."""
+    return b"".join(c.tobytes() for c in columns)
+
+
+def unpack(raw: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    size = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, size, at))
+        at += size * np.dtype(k).itemsize
+    return out
+
+
+#: Widths that integers are packed in.
+WIDTHS = ("<i1", "<i2", "<i4", "<i8")
+
+
+def pack_narrow(*columns: np.ndarray) -> bytes:
+    """Signed columns of equal length, each in the narrowest width that holds it, after the widths."""
+    codes = [next(i for i, w in enumerate(WIDTHS) if not len(c) or (c.min() >= np.iinfo(w).min and c.max() <= np.iinfo(w).max)) for c in columns]
+    return bytes(codes) + b"".join(c.astype(WIDTHS[i]).tobytes() for c, i in zip(columns, codes, strict=True))
+
+
+def unpack_narrow(raw: bytes, n: int) -> list[np.ndarray]:
+    return [c.astype(np.int64) for c in unpack(raw[n:], tuple(WIDTHS[i] for i in raw[:n]))]
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -88,44 +120,80 @@ def need(n: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(n * t - 1e-9).astype(np.int64)
 
 
-def count_tokens(docs: DataFrame, text: str) -> np.ndarray:
-    """Tokens of all texts by hash bucket."""
-    slices = 64
+#: A table of fixed size is summed up in so many slices.
+SLICES = 64
+
+
+def summed(rows: DataFrame, size: int, kind: str, fill, add, close=lambda total: total) -> np.ndarray:
+    """A table of ``size`` numbers: each task fills one with its batches, and tables are added slice by slice.
+
+    ``close`` makes a full table smaller. What reaches the driver is one table, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, met = np.zeros(size, kind), False
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
-            for a in range(0, len(texts), 64):
-                raw = _FOLD[np.frombuffer(b"\n".join(texts[a : a + 64]) + b"\n", np.uint8)]
-                total += np.bincount(bucket(token_hashes(raw, _TOKEN[raw])[0]), minlength=BUCKETS)
-        if total.any():
-            parts = np.minimum(total, 2**31 - 1).astype("<i4").reshape(slices, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+            if batch.num_rows:
+                fill(total, batch)
+                met = True
+        if met:
+            own = [(i, part.tobytes()) for i, part in enumerate(close(total).reshape(SLICES, -1)) if part.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([raw for _, raw in own], pa.binary())], ["part", "numbers"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(raw, "<i4").astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
-
-    shape = "part int, counts binary"
-    got = docs.select(text).mapInArrow(run, shape).repartition("part").mapInArrow(add, shape).collect()  # BUCKETS numbers
-    out = np.zeros((slices, BUCKETS // slices), np.int64)
-    for r in got:
-        out[r["part"]] += np.frombuffer(bytes(r["counts"]), "<i8")
+                new = np.frombuffer(raw, kind)
+                held[part] = add(held[part], new) if part in held else new
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "numbers"])
+
+    shape = "part int, numbers binary"
+    out = close(np.zeros(size, kind)).reshape(SLICES, -1)
+    for r in rows.mapInArrow(run, shape).repartition("part").mapInArrow(together, shape).collect():  # one table
+        out[r["part"]] = np.frombuffer(bytes(r["numbers"]), kind)
     return out.ravel()
 
 
-LINES = "doc long, line int, sig long, n int, map long, again boolean, prefix array<int>"
+def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two tables of counts that doesn't wrap round."""
+    c = a + b
+    return np.where(c < a, np.uint32(0xFFFFFFFF), c)
+
+
+def count_tokens(docs: DataFrame, text: str) -> np.ndarray:
+    """Tokens of all texts by hash bucket."""
+
+    def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        texts = [t or b"" for t in batch.column(0).to_pylist()]
+        for a, b in slices(texts):
+            raw = _FOLD[np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)]
+            total += np.bincount(bucket(token_hashes(raw, _TOKEN[raw])[0]), minlength=BUCKETS).astype(np.uint32)
+
+    return summed(docs.select(text), BUCKETS, "<u4", fill, _saturating)
+
+
+#: Columns of a batch's lines; of the prefix tokens that go with them; of lines met by a token. To the last
+#: belong, in narrow integers, differences of documents and line numbers, sizes, positions and who asks.
+LINE = ("<i8", "<i4", "<u8", "<i4", "<u8", "u1")
+PREFIX = ("<u4",)
+MEETING = ("<u4", "<u8", "<u8")
+
+
+def prefix_sizes(n: np.ndarray, again: np.ndarray, t: float) -> np.ndarray:
+    return np.where(again != 0, 0, n - need(n, t) + 1)
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def line_rows(docs: DataFrame, rank, t: float) -> DataFrame:
-    """A row for each line with tokens; ``again``: an earlier equal line is in the same batch.
+    """(lines, prefixes): the packed lines with tokens of each batch, and their prefix tokens.
 
-    Others carry their prefix, 32 bits of each token: a chance equality only makes a pair more to verify.
+    ``again`` marks lines with an earlier equal line in the batch; others have prefixes, 32 bits of each
+    token: a chance equality only makes a pair more to verify.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,43 +201,73 @@ def line_rows(docs: DataFrame, rank, t: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).fill_null(NO_ID).to_numpy()
-            h, line, owner, number = tokens_of([(x or "").encode() for x in batch.column(1).to_pylist()])
-            h, start, n, line = sets_of(h, line, rank.value)
+            raw, feeds, owner, number = lines_in([x or b"" for x in batch.column(1).to_pylist()])
+            raw = _FOLD[raw]
+            h, start = token_hashes(raw, _TOKEN[raw])
+            h, start, n, line = sets_of(h, np.searchsorted(feeds, start), rank.value)
             if not len(start):
                 continue
             sig, parity = np.add.reduceat(mix(h), start), np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start)
-            doc, no = ids[owner[line]], number[line].astype(np.int32)
+            doc, no = ids[owner[line]], number[line]
             order = np.lexsort((no, doc, sig))
-            again = np.zeros(len(sig), bool)
-            again[order[1:]] = sig[order[1:]] == sig[order[:-1]]
-            p = np.where(again, 0, n - need(n, t) + 1)
-            at = np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array((h[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(no), pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(parity.view(np.int64)), pa.array(again), prefix], ["doc", "line", "sig", "n", "map", "again", "prefix"])
+            begin = np.flatnonzero(np.concatenate([[True], sig[order[1:]] != sig[order[:-1]]]))
+            lead = order[np.repeat(begin, np.diff(np.append(begin, len(order))))]
+            again = np.zeros(len(sig), np.uint8)
+            again[order] = (doc[order] != doc[lead]) | (no[order] != no[lead])
+            tokens = (h[spans(start, prefix_sizes(n, again, t))] >> np.uint64(32)).astype("<u4")
+            lines = pack(doc, no.astype("<i4"), sig, n.astype("<i4"), parity, again)
+            yield pa.RecordBatch.from_arrays([pa.array([lines], pa.binary()), pa.array([tokens.tobytes()], pa.binary())], ["lines", "prefixes"])
+
+    return docs.mapInArrow(run, "lines binary, prefixes binary")
+
+
+def line_marks(doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two marks of each line."""
+    h = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+    return (h & np.uint64(MARKS - 1)).astype(np.int64), (h >> np.uint64(40) & np.uint64(MARKS - 1)).astype(np.int64)
+
+
+def is_marked(bits: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether the lines are marked; one in hundreds of others may be too."""
+    a, b = line_marks(doc, line)
+    return bits[a] & bits[b]
+
+
+def marked(rows: DataFrame, number) -> np.ndarray:
+    """Bits of all marks ``number(batch)`` of the rows, packed."""
 
-    return docs.mapInArrow(run, LINES)
+    def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total[number(batch)] = 1
 
+    return summed(rows, MARKS, "u1", fill, np.bitwise_or, np.packbits)
 
-def partners(token, pos, n, parity, doc, line, probe, t: float, first: int | None):
-    """(row, earlier row, whether there are more) for rows that share a token and may match.
 
-    Rows are in order of token, then size. ``first``: how many of the earliest partners to give.
+def older(doc, line, a, b) -> np.ndarray:
+    """Whether row a comes before row b."""
+    return (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
+
+
+def partners(token, doc, line, parity, n, pos, probe, t: float, first: int | None):
+    """(row, earlier row, whether there are more) for rows that share a token and may match, and all such rows.
+
+    Rows are in order of token, then size. ``first``: how many of the partners to give, those with the closest parity maps.
     """
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     sizes = np.diff(np.append(starts, len(token)))
     group = np.repeat(np.arange(len(starts)), sizes)
-    age = np.empty(len(token), np.int64)
-    age[np.lexsort((line, doc))] = np.arange(len(token))
     share = t / (1 + t)
 
     def fits(a, b):
         least = np.ceil((n[a] + n[b]) * share - 1e-9)
         ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
         a, b = a[ok], b[ok]
-        ok = np.bitwise_count(parity[a] ^ parity[b]).astype(np.float64) <= (n[a] + n[b]) * (1 - t) / (1 + t) + 1e-9
-        a, b = a[ok], b[ok]
-        swap = age[a] < age[b]
-        return np.where(swap, b, a), np.where(swap, a, b)
+        gap = np.bitwise_count(parity[a] ^ parity[b])
+        ok = gap.astype(np.float64) <= (n[a] + n[b]) * (1 - t) / (1 + t) + 1e-9
+        a, b, gap = a[ok], b[ok], gap[ok]
+        swap = older(doc, line, a, b)
+        late, early = np.where(swap, b, a), np.where(swap, a, b)
+        ok = probe[late] & older(doc, line, early, late)
+        return late[ok], early[ok], gap[ok]
 
     found = []
     key = group * (1 << 32) + n
@@ -181,12 +279,12 @@ def partners(token, pos, n, parity, doc, line, probe, t: float, first: int | Non
         to = min(len(token), max(at + 1, int(np.searchsorted(total, total[at] + PAIRS))))
         c = count[at:to]
         a = np.repeat(np.arange(at, to), c)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
-        late, early = fits(a, b)
-        found.append((late[probe[late]], early[probe[late]]))
+        found.append(fits(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)))
         at = to
     for s, size in zip(starts[sizes > WIDE], sizes[sizes > WIDE], strict=True):
-        by_age = s + np.argsort(age[s : s + size])
+        by_age = s + np.lexsort((line[s : s + size], doc[s : s + size]))
+        place = np.empty(size, np.int64)
+        place[by_age - s] = np.arange(size)
         open_ = probe[by_age].copy()
         held = np.zeros(size, np.int64)
         for low in range(0, size, BLOCK):
@@ -197,121 +295,255 @@ def partners(token, pos, n, parity, doc, line, probe, t: float, first: int | Non
             for a0 in range(0, len(young), PAIRS // BLOCK):
                 own = young[a0 : a0 + PAIRS // BLOCK]
                 a, b = np.repeat(by_age[own], len(old)), np.tile(old, len(own))
-                where = np.repeat(own, len(old))
-                ok = (age[b] < age[a]) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * t - 1e-9)
-                late, early = fits(a[ok], b[ok])
-                found.append((late, early))
-                back = np.empty(size, np.int64)
-                back[by_age - s] = np.arange(size)
-                np.add.at(held, back[late - s], 1)
+                ok = older(doc, line, b, a) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * t - 1e-9)
+                found.append(fits(a[ok], b[ok]))
+                np.add.at(held, place[found[-1][0] - s], 1)
             if first is not None:
                 open_ &= held <= first
-    late, early = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-    order = np.lexsort((age[early], late))
+    late, early, gap = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+    fit = np.zeros(len(token), bool)
+    fit[late] = fit[early] = True
+    order = np.lexsort((line[early], doc[early], gap, late))
     late, early = late[order], early[order]
     begin = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(late)))
     nth = np.arange(len(late)) - np.repeat(begin, size)
     more = np.repeat(size, size) > (first or len(late) + 1)
     keep = nth < first if first is not None else np.ones(len(late), bool)
-    return late[keep], early[keep], more[keep]
+    return late[keep], early[keep], more[keep], np.flatnonzero(fit)
+
 
+MET = "doc long, line int, sig long, other long, more boolean"
+NAMES = ["doc", "line", "sig", "other", "more"]
 
-def meet(prefixes: DataFrame, t: float, first: int | None) -> DataFrame:
-    """(doc, line, sig, n, other, other_n, more): each line's partners by shared prefix tokens."""
+
+def meet(rows: DataFrame, t: float, first: int | None, tokens=None, asked=None) -> DataFrame:
+    """Each line's earlier partners by shared prefix tokens, with the columns MET.
+
+    ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for;
+    without them, lines with any possible partner have a row without one besides.
+    """
+    involve = asked is None
+    spark = rows.sparkSession
+    ranges = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.unpackbits(tokens.value).astype(bool) if tokens else None
+        ask = np.unpackbits(asked.value).astype(bool) if asked else None
+        for batch in batches:
+            for lines, prefixes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                doc, line, sig, n, parity, again = unpack(lines, LINE)
+                (token,) = unpack(prefixes, PREFIX)
+                p = prefix_sizes(n, again, t)
+                own, pos = np.repeat(np.arange(len(n)), p), spans(np.zeros(len(n), np.int64), p).astype("<i4")
+                probe = np.ones(len(n), np.uint8) if ask is None else is_marked(ask, doc, line).astype(np.uint8)
+                if use is not None:
+                    chosen = np.flatnonzero(use[token & np.uint32(MARKS - 1)])
+                    token, own, pos = token[chosen], own[chosen], pos[chosen]
+                part = ((token.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                token, own, pos, part = token[order], own[order], pos[order], part[order]
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+                wide, narrow, place = (token, sig[own], parity[own]), (n[own], pos, probe[own]), (doc[own], line[own].astype(np.int64))
+                ends = [*cuts[1:], len(part)][: len(cuts)]
+                packed = [pack(*(c[i:j] for c in wide)) for i, j in zip(cuts, ends, strict=True)]
+                small = [pack_narrow(*(np.diff(c[i:j], prepend=np.int64(0)) for c in place), *(c[i:j] for c in narrow)) for i, j in zip(cuts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(packed, pa.binary()), pa.array(small, pa.binary())], ["part", "wide", "narrow"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
+        got = [unpack(raw, MEETING) + unpack_narrow(small, 5) for batch in batches for raw, small in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         if not got:
             return
-        rows = pa.Table.from_batches(got)
-        token, pos, n, parity, doc, line, sig, probe = (rows.column(c).to_numpy() for c in ("token", "pos", "n", "map", "doc", "line", "sig", "probe"))
-        order = np.lexsort((n, token))
-        token, pos, n, parity, doc, line, sig, probe = (x[order] for x in (token, pos, n.astype(np.int64), parity.view(np.uint64), doc, line, sig, probe.astype(bool)))
-        late, early, more = partners(token, pos.astype(np.int64), n, parity, doc, line, probe, t, first)
+        columns = [np.concatenate([np.cumsum(x) for x in c] if i in (3, 4) else c) for i, c in enumerate(zip(*got, strict=True))]
+        del got
+
+        def shared(order):
+            """Of rows in order of tokens those that share theirs."""
+            same = columns[0][order[1:]] == columns[0][order[:-1]]
+            return order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+
+        order = shared(np.argsort((columns[0].astype(np.uint64) << np.uint64(32)) | (columns[1] >> np.uint64(32))))
+        token, sig, _, doc, line, _, pos, _ = columns
+        # Equal lines meet at every token: the oldest stands for all, the others are told of once.
+        equal = (token[order[1:]] == token[order[:-1]]) & (sig[order[1:]] == sig[order[:-1]])
+        run_of = np.cumsum(np.concatenate([[True], ~equal])) if len(order) else np.zeros(0, np.int64)
+        many = np.flatnonzero(np.concatenate([[False], equal]) | np.concatenate([equal, [False]])) if len(order) else np.zeros(0, np.int64)
+        own = order[many]
+        by_age = np.lexsort((line[own], doc[own], run_of[many]))
+        own, runs = own[by_age], run_of[many][by_age]
+        first_of = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
+        oldest = own[np.repeat(first_of, np.diff(np.append(first_of, len(runs))))]
+        younger = own[own != oldest]
+        keep = np.ones(len(token), bool)
+        keep[younger] = False
+        again = own[(pos[own] == 0) & ((doc[own] != doc[oldest]) | (line[own] != line[oldest]))] if involve else own[:0]
+        if len(again):
+            signed = sig[again].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(line[again].astype(np.int32)), pa.array(signed), pa.array(signed), pa.array(np.zeros(len(again), bool))], NAMES)
+        order = order[keep[order]]
+        order = shared(order[np.argsort((token[order].astype(np.uint64) << np.uint64(32)) | columns[5][order].astype(np.uint64), kind="stable")])
+        token, sig, parity, doc, line, n, pos, probe = (c[order] for c in columns)
+        del columns
+        if not len(token):
+            return
+        late, early, more, fit = partners(token, doc, line, parity, n, pos, probe.astype(bool), t, first)
+        if not len(late):
+            return
+        signed = sig.view(np.int64)
         # The same partner by several tokens counts once.
-        some = np.ones(len(late), bool)
-        order = np.lexsort((sig[early], sig[late], line[late], doc[late]))
-        x, y = late[order], early[order]
-        some[order[1:]] = (sig[y[1:]] != sig[y[:-1]]) | (sig[x[1:]] != sig[x[:-1]]) | (line[x[1:]] != line[x[:-1]]) | (doc[x[1:]] != doc[x[:-1]])
-        some |= more
-        late, early, more = late[some], early[some], more[some]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(line[late]), pa.array(sig[late]), pa.array(n[late]), pa.array(sig[early]), pa.array(n[early]), pa.array(more)], ["doc", "line", "sig", "n", "other", "other_n", "more"])
-
-    shape = "doc long, line int, sig long, n long, other long, other_n long, more boolean"
-    return prefixes.repartition("token").mapInArrow(run, shape)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """Of the pairs (sig, other) those whose whole token sets are similar enough."""
-    spark = pairs.sparkSession
-    pairs = materialize(pairs)
-    marks = F.pmod(F.col("s"), F.lit(MARKS)).cast("int").alias("mark")
-    marked = pairs.select(F.explode(F.array("sig", "other")).alias("s")).select(marks).distinct().toPandas()["mark"].to_numpy()  # at most MARKS numbers
-    bits = np.zeros(MARKS, bool)
-    bits[marked] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+        order = np.lexsort((~more, sig[early], sig[late], line[late], doc[late]))
+        late, early, more = late[order], early[order], more[order]
+        keep = np.ones(len(late), bool)
+        keep[1:] = (sig[early[1:]] != sig[early[:-1]]) | (sig[late[1:]] != sig[late[:-1]]) | (line[late[1:]] != line[late[:-1]]) | (doc[late[1:]] != doc[late[:-1]])
+        late, early, more = late[keep], early[keep], more[keep]
+        if involve:  # one row for each line that fits any other, with no partner
+            order = fit[np.lexsort((line[fit], doc[fit]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (line[order[1:]] != line[order[:-1]])
+            fit = order[new]
+        else:
+            fit = fit[:0]
+        none = pa.nulls(len(fit), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[late], doc[fit]])), pa.array(np.concatenate([line[late], line[fit]]).astype(np.int32)), pa.array(np.concatenate([signed[late], signed[fit]])), pa.concat_arrays([pa.array(signed[early]), none]), pa.array(np.concatenate([more, np.zeros(len(fit), bool)]))], NAMES)
+
+    got = rows.mapInArrow(deal, "part int, wide binary, narrow binary").repartition("part").mapInArrow(run, MET)
+    return got.groupBy("doc", "line", "sig", "other").agg(F.max("more").alias("more"))
+
+
+SETS = "s long, n int, " + ", ".join(f"map{i} long" for i in range(4)) + ", low array<int>, high array<int>"
+
+
+def token_sets(involved: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sizes, 256-bit parity maps and token hashes, in two halves, of the lines (doc, line); some others may
+    be among them, and a set twice."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(marked(involved, lambda b: np.concatenate(line_marks(b.column(0).to_numpy(), b.column(1).to_numpy()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, line, _, _ = tokens_of([(x or "").encode() for x in batch.column(1).to_pylist()])
-            h, start, n, line = sets_of(h, line, None)
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            raw, feeds, owner, number = lines_in([x or b"" for x in batch.column(1).to_pylist()])
+            own = np.flatnonzero(is_marked(wanted, ids[owner], number))
+            if not len(own):
+                continue
+            begin = np.concatenate([[0], feeds[:-1] + 1])[own]
+            raw = _FOLD[raw[spans(begin, feeds[own] + 1 - begin)]]
+            h, start = token_hashes(raw, _TOKEN[raw])
+            h, start, n, _ = sets_of(h, np.searchsorted(np.flatnonzero(raw == 10), start), None)
             if not len(start):
                 continue
             sig = np.add.reduceat(mix(h), start)
-            own = np.flatnonzero(wanted[(sig & np.uint64(MARKS - 1)).astype(np.int64)])
-            own = own[np.unique(sig[own], return_index=True)[1]]
-            size = n[own]
-            at = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[at].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[own].view(np.int64)), tokens], ["s", "tokens"])
+            bit, part = np.uint64(1) << (h >> np.uint64(56) & np.uint64(63)), h >> np.uint64(62)
+            maps = [np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), start) for i in range(4)]
+            first = np.unique(sig, return_index=True)[1]
+            at = h[spans(start[first], n[first])]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n[first])]).astype(np.int32))
+            halves = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.uint32).view(np.int32))) for x in (at & np.uint64(0xFFFFFFFF), at >> np.uint64(32))]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[first].view(np.int64)), pa.array(n[first].astype(np.int32)), *(pa.array(m[first].view(np.int64)) for m in maps), *halves], [c.split()[0] for c in SETS.split(", ")])
+
+    return docs.mapInArrow(run, SETS)
 
-    sets = docs.mapInArrow(run, "s long, tokens array<long>")
-    sets = sets.join(pairs.select(F.explode(F.array("sig", "other")).alias("s")).distinct(), "s", "left_semi").dropDuplicates(["s"])
-    sets = materialize(sets)
-    a, b = sets.select(F.col("s").alias("sig"), F.col("tokens").alias("ta")), sets.select(F.col("s").alias("other"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "sig").join(b, "other").where(both * (1 + t) >= (F.size("ta") + F.size("tb")) * t - 1e-9).select("sig", "other")
+
+def close_pairs(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(sig, other, gap): the pairs whose 256-bit parity maps allow a match; gap is how much they differ."""
+    names = [f"map{i}" for i in range(4)]
+    side = lambda key, tag: sets.select(F.col("s").alias(key), F.col("n").alias(f"n_{tag}"), *[F.col(m).alias(f"{m}_{tag}") for m in names])
+    both = pairs.join(side("sig", "a"), "sig").join(side("other", "b"), "other")
+    gap = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in names), F.lit(0))
+    bound = (F.col("n_a") + F.col("n_b")) * ((1 - t) / (1 + t)) + 1e-9
+    return both.select("sig", "other", gap.alias("gap"), bound.alias("bound")).where("gap <= bound").select("sig", "other", "gap").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Of the pairs (sig, other) those whose whole token sets are similar enough.
+
+    Half of each hash bounds the overlap from above; where it decides by less than two tokens, whole hashes do.
+    """
+    if (n := pairs.count()) <= BROADCAST_PAIRS:  # then only sets that are asked for need be shuffled
+        sets = sets.join(F.broadcast(pairs.select(F.explode(F.array("sig", "other")).alias("s")).distinct()), "s", "left_semi")
+    if not n:
+        return pairs.select("sig", "other")
+
+    def overlaps(pairs: DataFrame, of) -> DataFrame:
+        a, b = sets.select(F.col("s").alias("sig"), F.col("n").alias("na"), of.alias("ta")), sets.select(F.col("s").alias("other"), F.col("n").alias("nb"), of.alias("tb"))
+        met = pairs.select("sig", "other").join(a, "sig").join(b, "other")
+        return met.select("sig", "other", F.size(F.array_intersect("ta", "tb")).alias("shared"), ((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9).alias("least"))
+
+    halves = materialize(overlaps(pairs, F.col("low")).where("shared >= least"))
+    whole = F.zip_with("low", "high", lambda x, y: F.shiftleft(y.cast("long"), 32) + x)
+    unsure = halves.where("shared < least + 2")
+    return halves.where("shared >= least + 2").select("sig", "other").unionByName(overlaps(unsure, whole).where("shared >= least").select("sig", "other"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", jaccard: float = JACCARD) -> tuple[DataFrame, DataFrame]:
-    """(all lines with tokens, the removed ones), both with the columns doc and line."""
+    """(doc, lines with tokens) of all documents that have any, and (doc, line) of all removed lines."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
     counts = count_tokens(docs, "text")
     place = np.empty(BUCKETS, np.uint32)
     place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
     rank = spark.sparkContext.broadcast(place)
     rows = materialize(line_rows(docs, rank, jaccard))
-    lead = rows.where(~F.col("again"))
-    prefixes = lambda probe: lead.select("doc", "line", "sig", "n", "map", F.lit(probe).alias("probe"), F.posexplode("prefix").alias("pos", "token"))
-    met = materialize(meet(prefixes(True), jaccard, FIRST))
-    equal = met.where("sig = other").select("doc", "line").distinct()
-    unequal = met.where("sig <> other").join(equal, ["doc", "line"], "left_anti")
-    unequal = materialize(unequal)
-    right = materialize(verified(unequal.select("sig", "other").distinct(), docs, jaccard))
-    settled = unequal.join(right, ["sig", "other"], "left_semi").select("doc", "line").distinct()
-    open_ = materialize(unequal.where("more").select("doc", "line").distinct().join(settled, ["doc", "line"], "left_anti"))
-    removed = [rows.where("again").select("doc", "line"), equal, settled]
-    if not open_.isEmpty():
-        asked = prefixes(False).drop("probe").join(open_.withColumn("probe", F.lit(True)), ["doc", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        asked = asked.join(asked.where("probe").select("token").distinct(), "token", "left_semi")
-        rest = materialize(meet(asked, jaccard, None).where("sig <> other"))
-        right = verified(rest.select("sig", "other").distinct().join(right, ["sig", "other"], "left_anti"), docs, jaccard)
-        removed.append(rest.join(right, ["sig", "other"], "left_semi").select("doc", "line").distinct())
-    gone = removed[0]
-    for more in removed[1:]:
+    removed, sets, open_ = [], None, None
+    for first in ROUNDS:
+        asked = tokens = None
+        if open_ is not None:
+            if open_.isEmpty():
+                break
+            asked = spark.sparkContext.broadcast(marked(open_, lambda b: np.concatenate(line_marks(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+            tokens = spark.sparkContext.broadcast(marked(rows, lambda b, asked=asked: _prefix_marks(b, asked.value, jaccard)))
+        met = meet(rows, jaccard, first, tokens, asked)
+        if open_ is not None:
+            met = met.join(open_, ["doc", "line", "sig"], "left_semi")
+        met = materialize(met)
+        if sets is None:
+            sets = token_sets(met.where("other is null").select("doc", "line"), docs).persist(StorageLevel.MEMORY_AND_DISK)
+            removed.append(met.where("sig = other").select("doc", "line").distinct())
+        pairs = met.where("sig <> other")
+        near = materialize(close_pairs(pairs.select("sig", "other").distinct(), sets, jaccard))
+        # The closest partner settles most lines; the others' partners are verified after it.
+        best = materialize(near.groupBy("sig").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
+        settled = verified(best, sets, jaccard).select("sig").distinct()
+        settled = materialize(settled)
+        rest = near.select("sig", "other").join(settled, "sig", "left_anti").join(best, ["sig", "other"], "left_anti")
+        settled = materialize(settled.unionByName(verified(materialize(rest), sets, jaccard).select("sig").distinct()))
+        removed.append(pairs.join(settled, "sig", "left_semi").select("doc", "line").distinct())
+        open_ = materialize(pairs.where("more").select("doc", "line", "sig").distinct().join(settled, "sig", "left_anti"))
+    if sets is not None:
+        sets.unpersist()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                doc, n = np.unique(unpack(raw, LINE)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n.astype(np.int64))], ["doc", "n"])
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                doc, line, _, _, _, again = unpack(raw, LINE)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[again != 0]), pa.array(line[again != 0])], ["doc", "line"])
+
+    gone = rows.mapInArrow(repeats, "doc long, line int")
+    for more in removed:
         gone = gone.unionByName(more)
-    return rows.select("doc", "line"), materialize(gone.distinct())
+    lines = rows.mapInArrow(count, "doc long, n long").groupBy("doc").agg(F.sum("n").alias("n_lines"))
+    return lines, materialize(gone.distinct())
 
 
-def removed_by_document(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, removed): sorted numbers of each document's removed lines."""
-    return repeated_lines(docs, key, text)[1].groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+def _prefix_marks(batch: pa.RecordBatch, asked: np.ndarray, t: float) -> np.ndarray:
+    """Marks of the prefix tokens of the lines asked for."""
+    wanted, out = np.unpackbits(asked).astype(bool), [np.zeros(0, np.int64)]
+    for lines, prefixes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        doc, line, _, n, _, again = unpack(lines, LINE)
+        (token,) = unpack(prefixes, PREFIX)
+        own = np.repeat(is_marked(wanted, doc, line), prefix_sizes(n, again, t))
+        out.append((token[own] & np.uint32(MARKS - 1)).astype(np.int64))
+    return np.concatenate(out)
 
 
 def without(text: Column, removed: Column) -> Column:
@@ -334,8 +566,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document, how many lines have tokens and which line numbers are removed."""
     docs = table(spark, sf_dir, "documents")
-    lines, gone = repeated_lines(docs)
-    counts = lines.groupBy("doc").agg(F.count("*").alias("n_lines"))
+    counts, gone = repeated_lines(docs)
     gone = gone.groupBy("doc").agg(F.count("*").alias("n_removed"), F.sort_array(F.collect_list("line")).alias("removed"))
     ids = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
     out = ids.join(counts, "doc", "left").join(gone, "doc", "left")

@@ -27,8 +27,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes that are hashed at once (more where a token is longer): what bounds the memory taken.
+CHUNK = 1 << 18
+
+
+def slices(texts: list[bytes], limit: int = 1 << 20):
+    """(begin, end) of consecutive texts of about ``limit`` bytes together, one at least."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
+
+
 def token_hashes(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, first byte's place) of every maximal run of bytes that are ``inside``."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        to = min(at + CHUNK, len(raw))
+        while to < len(raw) and inside[to]:
+            ahead = inside[to : to + CHUNK]
+            gap = int(ahead.argmin())
+            to += gap if not ahead[gap] else len(ahead)
+        h, start = _hashes(raw[at:to], inside[at:to])
+        hashes.append(h)
+        starts.append(start + at)
+        at = to
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _hashes(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(raw) + 1)
