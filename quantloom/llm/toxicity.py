@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, remainder, small_batches, table
-from .tokens import mix, token_hashes
+from .tokens import mix, slices, token_hashes
 
 BUCKETS = 1 << 22
 #: Bytes of a character feature: so many letters, or a word's first letters and what is before it.
@@ -165,11 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id",
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                p, u = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-                owner, feature = features([t.encode() for t in batch.column(0).to_pylist()])
+            p, u = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            texts = [t.encode() for t in batch.column(0).to_pylist()]
+            for a, b in slices(texts):
+                owner, feature = features(texts[a:b])
                 found, place = np.unique(feature, return_inverse=True)
-                counts = [pa.array(np.bincount(place, x[owner], len(found)).astype(np.int64)) for x in (p, u)]
+                counts = [pa.array(np.bincount(place, x[a:b][owner], len(found)).astype(np.int64)) for x in (p, u)]
                 yield pa.RecordBatch.from_arrays([pa.array(found), *counts], ["feature", "p", "u"])
 
     seen = rows.mapInArrow(tally, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= 1)
@@ -181,11 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id",
         keep = np.zeros(BUCKETS, bool)
         keep[shared.value] = True
         for batch in batches:
-            if batch.num_rows:
-                owner, feature = features([t.encode() for t in batch.column(0).to_pylist()], keep)
-                stops = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            texts = [t.encode() for t in batch.column(0).to_pylist()]
+            for a, b in slices(texts):
+                owner, feature = features(texts[a:b], keep)
+                stops = np.searchsorted(owner, np.arange(b - a + 1))
                 words = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(np.searchsorted(shared.value, feature).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), words], ["p", "u", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), words], ["p", "u", "words"])
 
     got = rows.mapInArrow(run, "p boolean, u boolean, words array<int>").toPandas()
     positive, unlabelled = [got.loc[got[c], "words"].tolist() for c in ("p", "u")]
@@ -202,8 +204,8 @@ def scorer(spark: SparkSession, model: Model | None):
         out = np.zeros(len(texts))
         if shared.value:
             all_texts = [(t or "").encode() for t in texts.to_pylist()]
-            for a in range(0, len(all_texts), 256):
-                out[a : a + 256] = shared.value.scores(all_texts[a : a + 256])
+            for a, b in slices(all_texts):
+                out[a:b] = shared.value.scores(all_texts[a:b])
         return pa.array(out)
 
     return score
