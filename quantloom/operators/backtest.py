@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +83,11 @@ def industry_of(symbol: str, group_by: dict) -> Column:
 
 
 class Backtest:
-    """One rebalance period of one panel."""
+    """One rebalance period of one panel.
+
+    Holdings are kept (in memory, or on disk where that is full) once they are first worked out, since
+    trades, returns, statistics and traces all derive from them; ``close`` lets them go.
+    """
 
     def __init__(self, df: DataFrame, spec: PanelSpec, period: int | str, config: ResearchConfig | None = None, analysis: AnalysisConfig | None = None):
         require(df, spec.date, spec.symbol, spec.price, spec.factor)
@@ -120,7 +125,11 @@ class Backtest:
         closing = full.join(F.broadcast(ends), "g").where((F.col("dt") == F.col("last")) & F.col("next_first").isNotNull())
         closing = closing.select(F.col("next_first").alias("dt"), "g", "quantile", "symbol", (F.col("w0") * F.col("grown")).alias("raw"), F.lit(None).cast("double").alias("ret"), F.lit(True).alias("closing"))
         out = full.select("dt", "g", "quantile", "symbol", "raw", "ret", F.lit(False).alias("closing")).unionByName(closing)
-        return out.withColumn("w", ratio(F.col("raw"), F.sum("raw").over(Window.partitionBy("dt", "quantile", "closing")))).select("dt", "g", "quantile", "symbol", "w", "ret", "closing")
+        return out.withColumn("w", ratio(F.col("raw"), F.sum("raw").over(Window.partitionBy("dt", "quantile", "closing")))).select("dt", "g", "quantile", "symbol", "w", "ret", "closing").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        if "weights" in self.__dict__:
+            self.weights.unpersist()
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -191,26 +200,24 @@ class Backtest:
         """A row of statistics for each leg."""
         s, rate = self.spec, self.config.base_rate
         days = self.panel.agg((F.unix_timestamp(F.max(s.date).cast("timestamp")) - F.unix_timestamp(F.min(s.date).cast("timestamp"))).alias("secs")).select((F.col("secs") / 86400.0).alias("days"))
-        in_time, out = Window.orderBy("dt"), None
-        for leg, (r, turnover) in self.legs.items():
-            path = self.series.select("dt", F.col(r).alias("r")).withColumn("nv", F.product(1 + F.col("r")).over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
-            path = path.withColumn("down", F.col("nv") / F.max("nv").over(in_time.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-            loss = F.when(F.col("r") < 0, F.col("r"))
-            one = path.agg(
-                F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.coalesce(F.stddev_samp("r"), F.stddev_pop("r")).alias("std"), F.avg(loss).alias("mean_loss"),
-                F.stddev_samp(loss).alias("loss_std"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win"), F.min("down").alias("mdd"), F.product(1 + F.col("r")).alias("final"),
-            )
-            traded = self.turnover.agg(F.avg(turnover).alias("traded"))
-            one = one.join(F.broadcast(days)).join(F.broadcast(traded))
-            year = F.sqrt(ratio(F.lit(365.25), ratio(F.col("days"), F.col("n"))))
-            gain = F.pow("final", ratio(F.lit(365.25), F.col("days"))) - 1
-            one = one.select(
-                F.lit(leg).alias("leg"), gain.alias("ann_return"), (F.col("std") * year).alias("ann_std"), ratio(gain - rate, F.col("std") * year).alias("ann_sharpe"),
-                ratio(gain - rate, F.col("loss_std") * year).alias("ann_sortino"), ratio(gain - rate, F.abs("mdd")).alias("ann_calmar"), F.col("traded").alias("mean_turnover"),
-                F.col("mdd").alias("max_drawdown"), F.col("win").alias("win_rate"), ratio(F.col("mean"), F.col("mean_loss")).alias("pl"), (F.col("final") - 1).alias("pnl"),
-            )
-            out = one if out is None else out.unionByName(one)
-        return out
+        legs = lambda df, at: df.select("dt", F.explode(F.array(*[F.struct(F.lit(leg).alias("leg"), F.col(names[at]).alias("r")) for leg, names in self.legs.items()])).alias("x")).select("dt", "x.leg", "x.r")
+        so_far = Window.partitionBy("leg").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+        path = legs(self.series, 0).withColumn("nv", F.product(1 + F.col("r")).over(so_far))
+        path = path.withColumn("down", F.col("nv") / F.max("nv").over(so_far) - 1)
+        loss = F.when(F.col("r") < 0, F.col("r"))
+        one = path.groupBy("leg").agg(
+            F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.coalesce(F.stddev_samp("r"), F.stddev_pop("r")).alias("std"), F.avg(loss).alias("mean_loss"),
+            F.stddev_samp(loss).alias("loss_std"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win"), F.min("down").alias("mdd"), F.product(1 + F.col("r")).alias("final"),
+        )
+        traded = legs(self.turnover, 1).groupBy("leg").agg(F.avg("r").alias("traded"))
+        one = one.join(F.broadcast(traded), "leg", "left").join(F.broadcast(days))
+        year = F.sqrt(ratio(F.lit(365.25), ratio(F.col("days"), F.col("n"))))
+        gain = F.pow("final", ratio(F.lit(365.25), F.col("days"))) - 1
+        return one.select(
+            "leg", gain.alias("ann_return"), (F.col("std") * year).alias("ann_std"), ratio(gain - rate, F.col("std") * year).alias("ann_sharpe"),
+            ratio(gain - rate, F.col("loss_std") * year).alias("ann_sortino"), ratio(gain - rate, F.abs("mdd")).alias("ann_calmar"), F.col("traded").alias("mean_turnover"),
+            F.col("mdd").alias("max_drawdown"), F.col("win").alias("win_rate"), ratio(F.col("mean"), F.col("mean_loss")).alias("pl"), (F.col("final") - 1).alias("pnl"),
+        )
 
     @cached_property
     def industries(self) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators.attribution import PortfolioExposures, PureExposures
 from ..operators.backtest import AnalysisConfig, Backtest, ResearchConfig, price_returns
 from ..operators.ic import ICAnalysis
 from ..operators.purifier import Purifier
+from ..operators.study import Study
 from ..sources import store
 from . import panels
 from .panels import DAILY_SQL, MONTHLY_SQL, NUDGE, SPEC, daily, monthly
@@ -88,14 +89,24 @@ HOURLY_SQL = "SELECT date_trunc('hour', ts) AS dt, user_id % 40 AS symbol, round
 _AUTO = """d AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY dt ORDER BY factor) AS DOUBLE) AS rk FROM p),
 e AS (SELECT *, lag(rk, 3) OVER (PARTITION BY symbol ORDER BY dt) AS before FROM d),
 au AS (SELECT dt, covar_pop(rk, before) / nullif(stddev_pop(CASE WHEN before IS NOT NULL THEN rk END) * stddev_pop(before), 0) AS autocorr FROM e GROUP BY dt)"""
+
+
+def _auto(horizon: int) -> str:
+    return _AUTO.replace("lag(rk, 3)", f"lag(rk, {horizon})")
+
+
+def _summary_sql(horizon: int) -> str:
+    return f"""WITH {_ic_sql(MONTHLY_SQL, horizon)}, {_auto(horizon)}, m AS (SELECT avg(ic) AS mu, count(ic) AS n FROM ic),
+c AS (SELECT any_value(n) AS n, any_value(mu) AS mu, sum((ic - mu) ** 2) AS m2, sum((ic - mu) ** 3) AS m3, sum((ic - mu) ** 4) AS m4 FROM ic, m WHERE ic IS NOT NULL)
+SELECT n, round(mu, 6) AS ic_mean, round(sqrt(m2 / (n - 1)), 6) AS ic_std, round((m3 / n) / power(m2 / n, 1.5), 6) AS skew, round((m4 / n) / power(m2 / n, 2) - 3, 6) AS kurtosis,
+  round(mu / (sqrt(m2 / (n - 1)) / sqrt(n)), 6) AS t_stat, round(mu / sqrt(m2 / (n - 1)), 6) AS ir, round((SELECT avg(autocorr) FROM au), 6) AS autocorr_mean FROM c"""
+
+
 IC_SQL = {
     "series": f"WITH {_ic_sql(MONTHLY_SQL, 3)}, {_AUTO} SELECT ic.dt AS dt, round(ic, 6) AS ic, round(CASE WHEN count(ic) OVER w >= 6 THEN avg(ic) OVER w END, 6) AS ic_rolling, round(sum(ic) OVER (ORDER BY ic.dt), 6) AS ic_cum, round(autocorr, 6) AS autocorr FROM ic LEFT JOIN au ON ic.dt = au.dt WHERE ic IS NOT NULL WINDOW w AS (ORDER BY ic.dt ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)",
     "pearson": f"WITH {_ic_sql(MONTHLY_SQL, 3, rank=False)} SELECT dt, round(ic, 6) AS ic FROM ic WHERE ic IS NOT NULL",
     "autocorrelation": f"WITH p AS ({MONTHLY_SQL}), {_AUTO} SELECT dt, round(autocorr, 6) AS autocorr FROM au",
-    "summary": f"""WITH {_ic_sql(MONTHLY_SQL, 3)}, {_AUTO}, m AS (SELECT avg(ic) AS mu, count(ic) AS n FROM ic),
-c AS (SELECT any_value(n) AS n, any_value(mu) AS mu, sum((ic - mu) ** 2) AS m2, sum((ic - mu) ** 3) AS m3, sum((ic - mu) ** 4) AS m4 FROM ic, m WHERE ic IS NOT NULL)
-SELECT n, round(mu, 6) AS ic_mean, round(sqrt(m2 / (n - 1)), 6) AS ic_std, round((m3 / n) / power(m2 / n, 1.5), 6) AS skew, round((m4 / n) / power(m2 / n, 2) - 3, 6) AS kurtosis,
-  round(mu / (sqrt(m2 / (n - 1)) / sqrt(n)), 6) AS t_stat, round(mu / sqrt(m2 / (n - 1)), 6) AS ir, round((SELECT avg(autocorr) FROM au), 6) AS autocorr_mean FROM c""",
+    "summary": _summary_sql(3),
     "periodic": f"WITH {_ic_sql(MONTHLY_SQL, 3)} SELECT CAST(date_trunc('year', dt) AS DATE) AS period, round(sum(ic), 6) AS ic_sum FROM ic WHERE ic IS NOT NULL GROUP BY 1",
     "fac_shift": f"WITH {_ic_sql(f'SELECT dt, symbol, price, lag(factor, 2) OVER (PARTITION BY symbol ORDER BY dt) AS factor FROM ({MONTHLY_SQL})', 1)} SELECT dt, round(ic, 6) AS ic FROM ic WHERE ic IS NOT NULL",
     "overnight": f"WITH {_ic_sql(HOURLY_SQL, 2)}, o AS (SELECT dt, ic, max(dt) OVER (PARTITION BY CAST(dt AS DATE)) AS last FROM ic WHERE ic IS NOT NULL) SELECT dt, round(ic, 6) AS ic FROM o WHERE dt + INTERVAL 2 HOUR <= last",
@@ -198,6 +209,17 @@ def backtest_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_backtest(spark, sf_dir, "Q").calendar("l"))
 
 
+def study_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all legs for two rebalance periods, from one plan."""
+    config = ResearchConfig(rebalance_periods=("Q", 3), return_horizons=(1, 3), tax_rate=CONFIG.tax_rate)
+    return rounded(Study(monthly(spark, sf_dir), SPEC, config).stats)
+
+
+def study_ic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the coefficients for two horizons."""
+    return rounded(Study(monthly(spark, sf_dir), SPEC, ResearchConfig(return_horizons=(1, 3))).ic_panel)
+
+
 #: Stands for a user's symbol map.
 GROUPS = {i: f"group{i % 3}" for i in range(1, 50)}
 
@@ -376,7 +398,7 @@ def queries() -> dict:
     out |= {f"ic_{k}": _ic(k) for k in ("series", "pearson", "autocorrelation", "summary", "periodic", "fac_shift", "overnight")}
     out |= {"ic_industries": ic_industries}
     out |= {"backtest_series_quarterly": _series("Q"), "backtest_series_every_3": _series(3), "backtest_series_yearly": _series("Y"), "backtest_series_halves": _series("H"), "backtest_series_weekly": _series("W", daily)}
-    out |= {f.__name__: f for f in (backtest_weights, backtest_turnover, backtest_stats, backtest_periodic, backtest_calendar, backtest_industries, backtest_trace)}
+    out |= {f.__name__: f for f in (backtest_weights, backtest_turnover, backtest_stats, backtest_periodic, backtest_calendar, backtest_industries, backtest_trace, study_stats, study_ic_panel)}
     out |= {f.__name__: f for f in (attribution_portfolio, attribution_portfolio_long, attribution_pure, attribution_daily_correlations, attribution_correlations)}
     return out | {f.__name__: f for f in (store_as_of, store_scan, store_merge, store_upsert_append, store_upsert_overwrite)}
 
@@ -387,6 +409,8 @@ def oracle_sql() -> dict[str, str]:
     out |= {"backtest_series_quarterly": backtest_sql("Q", _SERIES_FINAL), "backtest_series_every_3": backtest_sql(3, _SERIES_FINAL), "backtest_series_yearly": backtest_sql("Y", _SERIES_FINAL), "backtest_series_halves": backtest_sql("H", _SERIES_FINAL), "backtest_series_weekly": backtest_sql("W", _SERIES_FINAL, DAILY_SQL)}
     out |= {
         "backtest_weights": backtest_sql("Q", "SELECT dt, g, quantile, symbol, round(w, 6) AS w, round(ret, 6) AS ret, closing FROM w"),
+        "study_stats": f"SELECT *, 'Q' AS rebalance_period FROM ({backtest_sql('Q', _STATS_FINAL)}) UNION ALL SELECT *, '3' FROM ({backtest_sql(3, _STATS_FINAL)})",
+        "study_ic_panel": f"SELECT *, 1 AS horizon FROM ({_summary_sql(1)}) UNION ALL SELECT *, 3 FROM ({_summary_sql(3)})",
         "backtest_turnover": backtest_sql("Q", _TURN_FINAL),
         "backtest_stats": backtest_sql("Q", _STATS_FINAL),
         "backtest_periodic": backtest_sql("Q", "SELECT CAST(date_trunc('year', coalesce(realised, dt)) AS DATE) AS period, round(product(1 + ret_net_ls) - 1, 6) AS ls_return, round(product(1 + ret_net_5) - 1, 6) AS l_return, round(product(1 + ret_net_s_1) - 1, 6) AS s_return FROM s GROUP BY 1"),
