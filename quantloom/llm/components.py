@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 ROUNDS = 60
 
@@ -45,7 +45,7 @@ def contract(edges: DataFrame) -> DataFrame:
                 own = node != root
                 yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], ["a", "b"])
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

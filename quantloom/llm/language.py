@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches, table
+from .common import remainder, small_batches, table, tidy
 
 ORDER = 3
 SAMPLE = 400
@@ -66,7 +66,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 found, n = np.unique(all_grams[keep], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    got = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, gram long, n long")
+    got = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(tidy(run), "lang string, gram long, n long")
     return got.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -208,7 +208,7 @@ def predict_languages(docs: DataFrame, trees: ContextTrees | None, key: str = "d
                     names[i], scores[i] = shared.value.langs[b], s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
-    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double")
+    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, lang_pred string, score double")
     return got.withColumnRenamed("key", key)
 
 

@@ -29,14 +29,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, small_batches, table, tidy
 from .tokens import mix, slices, token_hashes
 
 JACCARD = 0.8
 BUCKETS = 1 << 20
 #: Partners that a prefix hands on for a line in each round; groups beyond WIDE are searched by blocks.
 ROUNDS, WIDE, BLOCK = (4, None), 512, 256
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Marks of lines and tokens that are asked for, in a table of fixed size.
 MARKS = 1 << 23
 #: Removed lines up to this many are broadcast (16 bytes each); more are shuffled.
@@ -150,7 +150,7 @@ def summed(rows: DataFrame, size: int, kind: str, fill, add, close=lambda total:
 
     shape = "part int, numbers binary"
     out = close(np.zeros(size, kind)).reshape(SLICES, -1)
-    for r in rows.mapInArrow(run, shape).repartition("part").mapInArrow(together, shape).collect():  # one table
+    for r in rows.mapInArrow(tidy(run), shape).repartition("part").mapInArrow(tidy(together), shape).collect():  # one table
         out[r["part"]] = np.frombuffer(bytes(r["numbers"]), kind)
     return out.ravel()
 
@@ -218,7 +218,7 @@ def line_rows(docs: DataFrame, rank, t: float) -> DataFrame:
             lines = pack(doc, no.astype("<i4"), sig, n.astype("<i4"), parity, again)
             yield pa.RecordBatch.from_arrays([pa.array([lines], pa.binary()), pa.array([tokens.tobytes()], pa.binary())], ["lines", "prefixes"])
 
-    return docs.mapInArrow(run, "lines binary, prefixes binary")
+    return docs.mapInArrow(tidy(run), "lines binary, prefixes binary")
 
 
 def line_marks(doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -406,7 +406,7 @@ def meet(rows: DataFrame, t: float, first: int | None, tokens=None, asked=None)
         none = pa.nulls(len(fit), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[late], doc[fit]])), pa.array(np.concatenate([line[late], line[fit]]).astype(np.int32)), pa.array(np.concatenate([signed[late], signed[fit]])), pa.concat_arrays([pa.array(signed[early]), none]), pa.array(np.concatenate([more, np.zeros(len(fit), bool)]))], NAMES)
 
-    got = rows.mapInArrow(deal, "part int, wide binary, narrow binary").repartition("part").mapInArrow(run, MET)
+    got = rows.mapInArrow(tidy(deal), "part int, wide binary, narrow binary").repartition("part").mapInArrow(tidy(run), MET)
     return got.groupBy("doc", "line", "sig", "other").agg(F.max("more").alias("more"))
 
 
@@ -444,7 +444,7 @@ def token_sets(involved: DataFrame, docs: DataFrame) -> DataFrame:
             halves = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.uint32).view(np.int32))) for x in (at & np.uint64(0xFFFFFFFF), at >> np.uint64(32))]
             yield pa.RecordBatch.from_arrays([pa.array(sig[first].view(np.int64)), pa.array(n[first].astype(np.int32)), *(pa.array(m[first].view(np.int64)) for m in maps), *halves], [c.split()[0] for c in SETS.split(", ")])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(tidy(run), SETS)
 
 
 def close_pairs(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -528,10 +528,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", jac
                 doc, line, _, _, _, again = unpack(raw, LINE)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[again != 0]), pa.array(line[again != 0])], ["doc", "line"])
 
-    gone = rows.mapInArrow(repeats, "doc long, line int")
+    gone = rows.mapInArrow(tidy(repeats), "doc long, line int")
     for more in removed:
         gone = gone.unionByName(more)
-    lines = rows.mapInArrow(count, "doc long, n long").groupBy("doc").agg(F.sum("n").alias("n_lines"))
+    lines = rows.mapInArrow(tidy(count), "doc long, n long").groupBy("doc").agg(F.sum("n").alias("n_lines"))
     return lines, materialize(gone.distinct())
 
 

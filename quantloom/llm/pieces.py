@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, small_batches, table
+from .common import TOKENIZER_DIR, small_batches, table, tidy
+from .tokens import slices
 
 SPACE = "▁"
 #: Distinct stretches that a worker keeps before it starts its pool anew.
-POOL = 400_000
+POOL = 100_000
 
 
 class CharMap:
@@ -197,12 +198,12 @@ class PieceCodec:
             if edge[-1] != len(align) - 1:
                 edge = self._edges(flat, _, len(align) - 1)
             ids.append(flat)
-            begins.append(align[edge[:-1]])
-            ends.append(align[edge[1:]])
+            begins.append(align[edge[:-1]].astype(np.int32))
+            ends.append(align[edge[1:]].astype(np.int32))
             text = "".join(map(self.decoded.__getitem__, own.tolist()))
             strips = total and (self.prefix or self.trim) and self.pieces[flat[0]].startswith(SPACE)
             decoded.append(text[1:] if strips else text)
-        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.cumsum([len(x) for x in ids], dtype=np.int64), np.concatenate([*begins, np.zeros(0, np.int64)]), np.concatenate([*ends, np.zeros(0, np.int64)]), decoded
+        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.cumsum([len(x) for x in ids], dtype=np.int64), np.concatenate([*begins, np.zeros(0, np.int32)]), np.concatenate([*ends, np.zeros(0, np.int32)]), decoded
 
     def _edges(self, flat: np.ndarray, normal: str, total: int) -> np.ndarray:
         """Piece edges of a text with unknown pieces, whose widths the vocabulary doesn't tell."""
@@ -246,14 +247,15 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, stops, begins, ends, decoded = own.encode_batch([t or "" for t in part.column(1).to_pylist()])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, to in slices(texts):
+                part = batch.slice(at, to - at)
+                ids, stops, begins, ends, decoded = own.encode_batch(texts[at:to])
                 offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, begins, ends)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array(decoded, pa.string())], ["key", "ids", "begins", "ends", "decoded"])
 
-    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
     return got.withColumnRenamed("key", key)
 
 

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, small_batches, table, tidy
 from .components import components, local_roots
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
 FAN, LEAF = 16, 48
 #: Pairs that are compared at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -74,7 +74,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
             fp = fingerprints([(t or "").encode() for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, fp long")
 
 
 def masks() -> list[int]:
@@ -185,7 +185,7 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
         a, b = linked(np.cumsum(new), fp)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return keyed.repartition("mask_no", "pattern").mapInArrow(run, "a long, b long")
+    return keyed.repartition("mask_no", "pattern").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

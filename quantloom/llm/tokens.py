@@ -31,8 +31,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 CHUNK = 1 << 18
 
 
-def slices(texts: list[bytes], limit: int = 1 << 20):
-    """(begin, end) of consecutive texts of about ``limit`` bytes together, one at least."""
+def slices(texts: list, limit: int = 1 << 20):
+    """(begin, end) of consecutive texts of about ``limit`` bytes or characters together, one at least."""
     begin = size = 0
     for i, t in enumerate(texts):
         if i > begin and size + len(t) > limit:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder, small_batches, table
+from .common import materialize, remainder, small_batches, table, tidy
 from .tokens import mix, slices, token_hashes
 
 BUCKETS = 1 << 22
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id",
                 counts = [pa.array(np.bincount(place, x[a:b][owner], len(found)).astype(np.int64)) for x in (p, u)]
                 yield pa.RecordBatch.from_arrays([pa.array(found), *counts], ["feature", "p", "u"])
 
-    seen = rows.mapInArrow(tally, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= 1)
+    seen = rows.mapInArrow(tidy(tally), "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= 1)
     seen = seen.where(F.col("p") >= min(LEAST, max(1, n_p // 4))).toPandas()
     used = np.sort(seen["feature"].to_numpy(np.int64)[screened(seen["p"].to_numpy(), seen["u"].to_numpy(), n_p, n_u)])
     shared = spark.sparkContext.broadcast(used)
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id",
                 words = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(np.searchsorted(shared.value, feature).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), words], ["p", "u", "words"])
 
-    got = rows.mapInArrow(run, "p boolean, u boolean, words array<int>").toPandas()
+    got = rows.mapInArrow(tidy(run), "p boolean, u boolean, words array<int>").toPandas()
     positive, unlabelled = [got.loc[got[c], "words"].tolist() for c in ("p", "u")]
     return fit(positive, unlabelled, used, min(max(n_toxic / n, 1e-4), 0.999))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, small_batches, table
+from .common import TOKENIZER_DIR, small_batches, table, tidy
 
 UNKNOWN = 1 << 32
 #: Distinct words that a worker remembers before it starts anew.
@@ -123,7 +123,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: st
             columns = [pa.array(words, pa.int64()), pa.array([s % UNKNOWN for s in sums], pa.int64()), pa.array([s // UNKNOWN for s in sums], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "n_words", "n_tokens", "n_unknown"])
 
-    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_words long, n_tokens long, n_unknown long")
+    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, n_words long, n_tokens long, n_unknown long")
     return got.withColumnRenamed("key", key)
 
 
