@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, small_batches, table, tidy
 from .components import components, local_roots
 
 COSINE = 0.93
@@ -117,7 +117,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes.astype(np.int32)), *(pa.array(cells[:, c]) for c in range(CELLS))], ["l", "v", "node", "copies", "d", *(f"c{c}" for c in range(CELLS))])
 
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    placed = nodes.mapInArrow(place, f"l {kinds['l']}, v {kind}, node long, copies long, d int, " + ", ".join(f"c{c} long" for c in range(CELLS)))
+    placed = nodes.mapInArrow(tidy(place), f"l {kinds['l']}, v {kind}, node long, copies long, d int, " + ", ".join(f"c{c} long" for c in range(CELLS)))
     order = ["l", "d", *(f"c{c}" for c in range(CELLS)), "node"]
     placed = placed.repartitionByRange(max(1, -(-n // (8 * INTERVAL))), *order).sortWithinPartitions(*order)
 
@@ -159,7 +159,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
         if held:
             yield out()
 
-    intervals = materialize(placed.mapInArrow(cut, f"serial long, l {kinds['l']}, d int, lo array<double>, hi array<double>, nodes array<long>, copies array<long>, vectors binary"))
+    intervals = materialize(placed.mapInArrow(tidy(cut), f"serial long, l {kinds['l']}, d int, lo array<double>, hi array<double>, nodes array<long>, copies array<long>, vectors binary"))
     # Intervals meet through the cells of the first dimension, a neighbouring cell included.
     cell = lambda c, by: F.floor(F.col(c)[0] / F.lit(width)) + by
     boxes = intervals.select("serial", "l", "d", "lo", "hi")
@@ -192,11 +192,14 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
                     yield pa.RecordBatch.from_arrays([pa.array(nodes_[has]), pa.array(links[has]), pa.array([root[i] for i in nodes_[has].tolist()], pa.int64())], ["node", "links", "root"])
 
     small_batches(spark, 16)
-    told = materialize(met.mapInArrow(join, "node long, links long, root long").groupBy("node", "root").agg(F.sum("links").alias("links")))
+    told = materialize(met.mapInArrow(tidy(join), "node long, links long, root long").groupBy("node", "root").agg(F.sum("links").alias("links")))
     small_batches(spark, 10_000)
-    found = components(told, "node", "root")
-    summed = told.groupBy("node").agg(F.sum("links").alias("links")).join(found, "node", "left")
-    nodes = nodes.join(summed, "node", "left").select("l", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    summed = told.groupBy("node").agg(F.sum("links").alias("links"))
+    if told.isEmpty():  # then there is nothing to connect
+        nodes = nodes.withColumns({"links": F.lit(0).cast("long"), "component": F.col("node")})
+    else:
+        nodes = nodes.join(summed.join(components(told, "node", "root"), "node", "left"), "node", "left")
+    nodes = nodes.select("l", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     linked = rows.where(usable).join(nodes, ["l", "v"]).select("k", "n_links", "component")
     alone = rows.where(~usable).select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component"))
     return linked.unionByName(alone).withColumnRenamed("k", key)
