@@ -1,8 +1,8 @@
 """License scans, in DataFrame functions only.
 
 Every line of a file (a header's statement) and the whole of a file are compared with license templates
-by the cosine of sparse TF-IDF vectors; document frequencies of the templates' words are counted over all
-files, a word that no template has counts as being in a hundredth of them. A line at ``LINE`` or more gives its file that license; a file whose
+by the cosine of sparse TF-IDF vectors; document frequencies of all words that lines and files with an
+anchor have are counted over all files. A line at ``LINE`` or more gives its file that license; a file whose
 whole text is at ``FILE`` or more, or that has a license file's name and a licensed line, is a license
 file and licenses its directory. Other files inherit from the license file in the nearest ancestor
 directory, by joins on directory paths.
@@ -40,8 +40,10 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 LINE, FILE = 0.8, 0.6
-#: Share of all documents that a word which no template has is taken to be in.
+#: For the SQL only, which takes a word that no template has to be in this share of all documents.
 OTHER = 0.01
+#: Paths of files with an anchor up to this many are broadcast; more are shuffled.
+BROADCAST_PATHS = 1_000_000
 NAMES = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$"
 WORD = "[a-z0-9]+"
 
@@ -57,7 +59,6 @@ class Weights:
 
     def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n: int):
         self.idf = {w: round(math.log((1 + n) / (1 + df.get(w, 0))) + 1, 9) for w in vocabulary(templates)}
-        self.other = round(math.log((1 + n) / (1 + OTHER * n)) + 1, 9)
         self.rows, anchors = [], set()
         for no, (name, text) in enumerate(templates):
             own = split_words(text)
@@ -80,12 +81,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def cosines(units: DataFrame, by: list[str], weights: Weights) -> DataFrame:
-    """(by, license, score) of the best template for each unit, a row of words ``w`` each."""
+def word_weights(rows: DataFrame, n: int, units: DataFrame) -> DataFrame:
+    """(word, idf) of all words of the units, rows of words ``w``, by their counts over the ``n`` rows with a ``text``."""
+    known = units.select(F.explode("w").alias("word")).distinct()
+    met = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    df = met.groupBy("word").agg(F.count("*").alias("df")).join(known, "word", "left_semi")  # a common word is one row
+    return materialize(df.select("word", F.round(F.log((1 + n) / (1 + F.col("df"))) + 1, 9).alias("idf")))
+
+
+def cosines(units: DataFrame, by: list[str], weights: Weights, idf: DataFrame) -> DataFrame:
+    """(by, license, score) of the best template for each unit, a row of words ``w`` each; ``idf`` has all their words."""
     spark = units.sparkSession
     terms = units.select(*by, F.explode("w").alias("word")).groupBy(*by, "word").agg(F.count("*").alias("tf"))
-    idf = F.broadcast(spark.createDataFrame(list(weights.idf.items()), "word string, idf double"))
-    sized = terms.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
+    sized = terms.join(idf, "word").withColumn("x", F.col("tf") * F.col("idf"))
     vectors = F.broadcast(spark.createDataFrame(weights.rows, "template int, license string, word string, y double, norm double"))
     length = sized.groupBy(*by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     dots = sized.join(vectors, "word").groupBy(*by, "template", "license", "norm").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
@@ -103,17 +111,21 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: li
     templates = templates or TEMPLATES
     met = F.array_intersect(words(F.col(text)), F.array(*[F.lit(w) for w in vocabulary(templates)]))
     df = files.select(F.explode(met).alias("word")).groupBy("word").count().collect()  # the templates' words
-    weights = Weights(templates, {r["word"]: r["count"] for r in df}, files.count())
+    n = files.count()
+    weights = Weights(templates, {r["word"]: r["count"] for r in df}, n)
     anchors = F.array(*[F.lit(a) for a in weights.anchors])
     rows = files.select(F.coalesce(F.col(path), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lines = rows.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("path", "line_no", words(F.col("line")).alias("w"))
     # Equal lines of a path are one unit, whatever row they are from.
     lines = materialize(lines.where(F.arrays_overlap("w", anchors)).groupBy("path", "w").agg(F.min("line_no").alias("line_no")))
-    own = cosines(lines.withColumn("unit", F.xxhash64("w")), ["path", "unit"], weights).where(F.col("score") >= LINE)
+    met = materialize(lines.select("path").distinct())
+    met = F.broadcast(met) if met.count() <= BROADCAST_PATHS else met
+    suspects = materialize(rows.join(met, "path", "left_semi").select("path", words(F.col("text")).alias("w")))
+    idf = word_weights(rows, n, suspects)  # a file has its lines' words
+    own = cosines(lines.withColumn("unit", F.xxhash64("w")), ["path", "unit"], weights, idf).where(F.col("score") >= LINE)
     best = F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"))).alias("best")
     own = materialize(own.groupBy("path").agg(best).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")))
-    suspects = rows.join(lines.select("path").distinct(), "path", "left_semi").select("path", words(F.col("text")).alias("w"))
-    whole = cosines(suspects, ["path"], weights).where(F.col("score") >= FILE).select("path", "license", "score")
+    whole = cosines(suspects, ["path"], weights, idf).where(F.col("score") >= FILE).select("path", "license", "score")
     named = own.where(F.col("path").rlike(NAMES))
     holders = whole.unionByName(named).select(parent(F.col("path")).alias("dir"), "license", "score", "path")
     first = F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"), F.col("path").alias("path"))).alias("best")
