@@ -10,7 +10,8 @@ sets do in tokens), and what is left is verified on the whole sets.
 Rarity comes from counts of all tokens of all texts in a table of fixed size (``BUCKETS``); any order that
 all lines share gives exact results. A prefix hands on, for each line, the earlier partners that look most
 similar; lines that none of these settles get more, and in the last round all of theirs, so nothing is
-capped. Whole sets are read once, for the lines that may have a partner at all. Equal lines of one
+capped. Whole sets are read once, for the lines that may have a partner at all, and again for such lines that
+only a later round compares. Equal lines of one
 batch of documents are settled there and then, whatever their number. Between the stages lines travel in
 packed columns, a row for each batch, or for each batch and range of tokens.
 
@@ -320,10 +321,10 @@ NAMES = ["doc", "line", "sig", "other", "more"]
 def meet(rows: DataFrame, t: float, first: int | None, tokens=None, asked=None) -> DataFrame:
     """Each line's earlier partners by shared prefix tokens, with the columns MET.
 
-    ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for;
-    without them, lines with any possible partner have a row without one besides.
+    ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for.
+    Lines that were compared and may match have a row without a partner besides.
     """
-    involve = asked is None
+    equals = asked is None
     spark = rows.sparkSession
     ranges = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -376,7 +377,7 @@ def meet(rows: DataFrame, t: float, first: int | None, tokens=None, asked=None)
         younger = own[own != oldest]
         keep = np.ones(len(token), bool)
         keep[younger] = False
-        again = own[(pos[own] == 0) & ((doc[own] != doc[oldest]) | (line[own] != line[oldest]))] if involve else own[:0]
+        again = own[(pos[own] == 0) & ((doc[own] != doc[oldest]) | (line[own] != line[oldest]))] if equals else own[:0]
         if len(again):
             signed = sig[again].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(line[again].astype(np.int32)), pa.array(signed), pa.array(signed), pa.array(np.zeros(len(again), bool))], NAMES)
@@ -396,13 +397,11 @@ def meet(rows: DataFrame, t: float, first: int | None, tokens=None, asked=None)
         keep = np.ones(len(late), bool)
         keep[1:] = (sig[early[1:]] != sig[early[:-1]]) | (sig[late[1:]] != sig[late[:-1]]) | (line[late[1:]] != line[late[:-1]]) | (doc[late[1:]] != doc[late[:-1]])
         late, early, more = late[keep], early[keep], more[keep]
-        if involve:  # one row for each line that fits any other, with no partner
-            order = fit[np.lexsort((line[fit], doc[fit]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (line[order[1:]] != line[order[:-1]])
-            fit = order[new]
-        else:
-            fit = fit[:0]
+        # One row for each line that fits any other, with no partner.
+        order = fit[np.lexsort((line[fit], doc[fit]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (line[order[1:]] != line[order[:-1]])
+        fit = order[new]
         none = pa.nulls(len(fit), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[late], doc[fit]])), pa.array(np.concatenate([line[late], line[fit]]).astype(np.int32)), pa.array(np.concatenate([signed[late], signed[fit]])), pa.concat_arrays([pa.array(signed[early]), none]), pa.array(np.concatenate([more, np.zeros(len(fit), bool)]))], NAMES)
 
@@ -488,7 +487,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", jac
     place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
     rank = spark.sparkContext.broadcast(place)
     rows = materialize(line_rows(docs, rank, jaccard))
-    removed, sets, open_ = [], None, None
+    removed, held, sets, open_ = [], [], None, None
     for first in ROUNDS:
         asked = tokens = None
         if open_ is not None:
@@ -496,14 +495,20 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", jac
                 break
             asked = spark.sparkContext.broadcast(marked(open_, lambda b: np.concatenate(line_marks(b.column(0).to_numpy(), b.column(1).to_numpy()))))
             tokens = spark.sparkContext.broadcast(marked(rows, lambda b, asked=asked: _prefix_marks(b, asked.value, jaccard)))
-        met = meet(rows, jaccard, first, tokens, asked)
-        if open_ is not None:
-            met = met.join(open_, ["doc", "line", "sig"], "left_semi")
-        met = materialize(met)
+        met = materialize(meet(rows, jaccard, first, tokens, asked))
+        involved = met.where("other is null")
+        pairs = met.where("sig <> other")
         if sets is None:
-            sets = token_sets(met.where("other is null").select("doc", "line"), docs).persist(StorageLevel.MEMORY_AND_DISK)
+            sets = token_sets(involved.select("doc", "line"), docs).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(sets)
             removed.append(met.where("sig = other").select("doc", "line").distinct())
-        pairs = met.where("sig <> other")
+        else:
+            pairs = pairs.join(open_, ["doc", "line", "sig"], "left_semi")
+            # In groups searched by blocks a line closes before all are compared: its partners may be new here.
+            new = materialize(involved.join(sets.select(F.col("s").alias("sig")), "sig", "left_anti").select("doc", "line"))
+            if not new.isEmpty():
+                held.append(token_sets(new, docs).persist(StorageLevel.MEMORY_AND_DISK))
+                sets = sets.unionByName(held[-1])
         near = materialize(close_pairs(pairs.select("sig", "other").distinct(), sets, jaccard))
         # The closest partner settles most lines; the others' partners are verified after it.
         best = materialize(near.groupBy("sig").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
@@ -512,8 +517,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", jac
         rest = near.select("sig", "other").join(settled, "sig", "left_anti").join(best, ["sig", "other"], "left_anti")
         settled = materialize(settled.unionByName(verified(materialize(rest), sets, jaccard).select("sig").distinct()))
         removed.append(pairs.join(settled, "sig", "left_semi").select("doc", "line").distinct())
-        open_ = materialize(pairs.where("more").select("doc", "line", "sig").distinct().join(settled, "sig", "left_anti"))
-    if sets is not None:
+        # The join puts its key first, and marks are made from the first two columns.
+        open_ = materialize(pairs.where("more").select("doc", "line", "sig").distinct().join(settled, "sig", "left_anti").select("doc", "line", "sig"))
+    for sets in held:
         sets.unpersist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
