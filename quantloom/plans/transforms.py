@@ -112,9 +112,9 @@ NEUTRALIZE = {
     "kernelridge": ({}, None),
     "huber": ({}, None),
     "rank": ({}, None),
-    "theilsen": ({"max_subpopulation": 200}, None),
-    "random_forest": ({"n_estimators": 5, "max_depth": 4}, None),
-    "GBDT": ({"n_estimators": 10}, None),
+    "theilsen": ({}, None),
+    "random_forest": ({}, None),
+    "GBDT": ({}, None),
     "PCA": ({}, None),
     "ICA": ({}, None),
     "bayesianridge": ({}, None),
