@@ -1,21 +1,27 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles are five words. An item must be contained to
-``CONTAINMENT`` of its distinct shingles. Items are partitioned by size (powers of two); all items of a
-partition with sizes up to u get the u - ceil(0.8 u) + 1 least hashes of their shingles as a sketch. By
-the pigeonhole principle a document that contains an item has a shingle of that sketch, so the candidate
-search loses nothing. Candidates, documents not smaller than what they must contain, are verified by
-counting the distinct shingles themselves.
+``CONTAINMENT`` of its distinct shingles. Items are partitioned by size: powers of two, so that a partition
+has one upper size u. An item's signature is the u - ceil(0.8 u) + 1 least hashes of its shingles; the largest
+of them over a partition is that partition's threshold. A document's signature for a partition is all of its
+shingle hashes up to the threshold (a MinHash sketch in proportion to the document's size, so that a short
+item in a very long document is no less visible), and only that is searched. By the pigeonhole principle a
+document that contains an item shares a hash of the item's signature, so the search loses nothing; documents
+smaller than what they must contain are left out by size. Candidates are verified by counting the distinct
+shingles themselves.
+
+All partitions and shingle widths are searched in one pass over the texts. Candidates' texts are read again
+for verification: by a broadcast list where there are at most ``BROADCAST_CANDIDATES``, else by a shuffled join.
 
 Defined results: an item of fewer than five words is one shingle of that many words; items without words
-match nothing; null texts have no words; rows with a null id are left out; rows of one id are one text
-each, and their shingles are counted together; repeated items give a row for each id.
+match nothing; null texts have no words; a null id is an id like any other; rows of one id are one text
+each, and their shingles are counted together; repeated items give a row for each id, items that share an id
+are one item with all their shingles; items with a null id are left out; very long texts are taken whole; an
+empty table gives an empty result; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +31,8 @@ SHINGLE, CONTAINMENT = 5, 0.8
 WORD = r"[\p{L}\p{N}]+"
 #: Item shingles up to this many are broadcast (32 bytes each, or so); more are shuffled.
 BROADCAST_SHINGLES = 200_000
+#: Ids of candidates up to this many are broadcast (16 bytes each, or so); more are shuffled.
+BROADCAST_CANDIDATES = 500_000
 
 
 def words(text: Column) -> Column:
@@ -37,12 +45,13 @@ def joined(array: Column, at: Column, n: int) -> Column:
 
 
 def hashed(array: Column, at: Column, n: int) -> Column:
+    """Hash of a shingle by the hashes of its words."""
     return F.xxhash64(*[F.get(array, at + i) for i in range(n)])
 
 
 def item_shingles(items: DataFrame, key: str, text: str, containment: float) -> DataFrame:
-    """(item, width, shingle, print, n_item, needed, sketched) of the items' distinct shingles."""
-    w = items.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), words(text).alias("w")).where(F.size("w") > 0)
+    """(item, width, shingle, print, n_item, needed, partition, sketched) of the items' distinct shingles."""
+    w = items.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("width", F.least(F.size("w"), F.lit(SHINGLE)))
     at = F.explode(F.sequence(F.lit(0), F.size("w") - F.col("width")))
     rows = w.select("item", "width", "w", at.alias("at"))
@@ -50,40 +59,56 @@ def item_shingles(items: DataFrame, key: str, text: str, containment: float) ->
     hashes = lambda a, i, n: F.xxhash64(*[F.xxhash64(F.get(a, i + k)) for k in range(n)])
     distinct = rows.select("item", "width", wide(joined).alias("shingle"), wide(hashes).alias("print")).distinct()
     sizes = distinct.groupBy("item").agg(F.count("*").alias("n_item"), F.sort_array(F.collect_set("print")).alias("least"))
-    upper = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1) - 1  # the largest size of the item's partition
+    partition = F.floor(F.log2("n_item")).cast("int")
+    upper = F.pow(F.lit(2.0), partition + 1) - 1  # the largest size of the item's partition
     depth = (upper - F.ceil(upper * containment - 1e-9) + 1).cast("int")
-    sizes = sizes.select("item", "n_item", F.ceil(F.col("n_item") * containment - 1e-9).cast("long").alias("needed"), F.slice("least", F.lit(1), depth).alias("sketch"))
+    sizes = sizes.select("item", "n_item", partition.alias("partition"), F.ceil(F.col("n_item") * containment - 1e-9).cast("long").alias("needed"), F.slice("least", F.lit(1), depth).alias("sketch"))
     return distinct.join(sizes, "item").withColumn("sketched", F.array_contains("sketch", F.col("print"))).drop("sketch")
 
 
+def signatures(texts: DataFrame, thresholds: dict[int, int]) -> DataFrame:
+    """(doc, n_doc, width, print): the texts' shingle hashes up to the threshold of each width.
+
+    A text is cut into words once for all widths. The signatures for the partitions of one width are nested:
+    what is up to a smaller threshold is up to the largest one, which is what is given."""
+    own = texts.select("doc", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w"))
+    least = min(thresholds)
+    own = own.where(F.size("w") >= least).select("doc", F.size("w").alias("n"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("at"))
+    kinds = []
+    for width, threshold in sorted(thresholds.items()):
+        print_ = F.when(F.col("at") + width <= F.col("n"), hashed(F.col("w"), F.col("at"), width))
+        kinds.append(F.struct(F.lit(width).alias("width"), print_.alias("print"), F.lit(threshold).alias("most")))
+    own = own.select("doc", "n", (kinds[0] if len(kinds) == 1 else F.explode(F.array(*kinds))).alias("own")).where("own.print <= own.most")
+    return own.select("doc", (F.col("n") - F.col("own.width") + 1).alias("n_doc"), "own.width", "own.print")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(key, item_key, n_shared, n_item, containment) of all items contained in documents."""
     shingles = materialize(item_shingles(items, item_key, item_text, containment))
-    found = shingles.groupBy("width").count().collect()  # at most SHINGLE rows
-    widths = sorted(r["width"] for r in found)
-    small = sum(r["count"] for r in found) <= BROADCAST_SHINGLES
+    #: One row for each width and size partition: a few dozen.
+    found = shingles.groupBy("width", "partition").agg(F.count("*").alias("n"), F.max(F.when(F.col("sketched"), F.col("print"))).alias("threshold")).collect()
+    small = sum(r["n"] for r in found) <= BROADCAST_SHINGLES
     send = F.broadcast if small else (lambda df: df)
-    texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
-    pairs = None
-    for width in widths:
-        sketch = shingles.where(f"width = {width} and sketched").select("print", "item", "needed")
-        own = texts.select("doc", F.transform(words("t"), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= width)
-        own = own.select("doc", F.size("w").alias("n"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("at"))
-        own = own.select("doc", (F.col("n") - width + 1).alias("n_doc"), hashed(F.col("w"), F.col("at"), width).alias("print"))
-        met = own.join(send(sketch), "print").where("n_doc >= needed").select("doc", "item").distinct()
-        pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    if not found:
         return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}, n_shared long, n_item long, containment double")
-    pairs = materialize(pairs)
-    suspects = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", words("t").alias("w"))
+    thresholds = {width: max(r["threshold"] for r in found if r["width"] == width) for width in {r["width"] for r in found}}
+    sketch = shingles.where("sketched").select("print", "item", "needed", "width")
+    met = signatures(texts, thresholds).join(send(sketch), ["width", "print"]).where("n_doc >= needed")
+    pairs = materialize(met.select("doc", "item").distinct())
+    suspect = pairs.select(F.col("doc").alias("own")).distinct()
+    few = suspect.count() <= BROADCAST_CANDIDATES
+    suspects = texts.join(F.broadcast(suspect) if few else suspect, F.col("doc").eqNullSafe(F.col("own")), "left_semi").select("doc", words(F.col("t")).alias("w"))
     hits = None
-    for width in widths:
+    for width in sorted(thresholds):
         own = suspects.where(F.size("w") >= width).select("doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("at"))
         own = own.select("doc", joined(F.col("w"), F.col("at"), width).alias("shingle"))
-        met = own.join(send(shingles.where(f"width = {width}").select("shingle", "item", "n_item", "needed")), "shingle")
-        hits = met if hits is None else hits.unionByName(met)
-    hits = hits.distinct().groupBy("doc", "item", "n_item", "needed").agg(F.count("*").alias("n_shared"))
-    hits = hits.where("n_shared >= needed").join(pairs, ["doc", "item"], "left_semi")
+        told = send(shingles.where(f"width = {width}").select("shingle", "item", "n_item", "needed"))
+        part = own.join(told, "shingle")
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.distinct().groupBy("doc", "item", "n_item", "needed").agg(F.count("*").alias("n_shared")).where("n_shared >= needed")
+    pairs = pairs.select(F.col("doc").alias("own"), F.col("item").alias("own_item"))
+    hits = hits.join(pairs, F.col("doc").eqNullSafe(F.col("own")) & (F.col("item") == F.col("own_item")), "left_semi")
     return hits.select(F.col("doc").alias(key), F.col("item").alias(item_key), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
@@ -100,7 +125,7 @@ WITH iw AS (
   SELECT DISTINCT item_id, width, array_to_string(list_slice(w, i + 1, i + width), ' ') AS shingle
   FROM (SELECT item_id, w, width, unnest(range(0, len(w) - width + 1)) AS i FROM iw2)
 ), n AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id
-), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE text IS NOT NULL
 ), widths AS (SELECT DISTINCT width FROM ish
 ), dsh AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + width), ' ') AS shingle, width
