@@ -5,13 +5,18 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the public tokenizer files are; a parameter of the operators that need one.
-TOKENIZER_DIR = "/opt/tokenizers"
+#: The model that the registered queries use; a parameter of the operators that need one.
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: Bytes of a text column that a Python function takes at once, a whole text at least.
+PORTION = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +26,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the folder that the session names.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, notebooks) is a temporary folder chosen.
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder is chosen in local mode (tests, notebooks), where
+    there is but one machine; on a cluster that is an error. What the optimizer has inferred of the columns
+    is dropped with the lineage: a checkpoint keeps it, and round by round it would grow without end.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantloom-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quantloom-"))
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch to Python holds: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], sizes: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, where a few keys may have very many rows of ``left``.
+
+    ``sizes`` has the keys and ``n``, their rows among the ``total`` ones of ``left``; by many or few only the
+    work is dealt. Keys with more rows than a fraction of a usual partition are cut into pieces by a hash of
+    the columns ``by``, and meet a copy of their rows of ``right`` in each piece. There can't be more such
+    keys than sixteen for each partition, so their list is broadcast. Null keys match nothing.
+    """
+    share = max(256, total // (16 * partitions(left.sparkSession)))
+    many = F.broadcast(sizes.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("int").alias("__pieces")))
+    pieces = F.coalesce("__pieces", F.lit(1))
+    dealt = left.join(many, on, "left").withColumn("__piece", F.pmod(F.xxhash64(*by), pieces).cast("int")).drop("__pieces")
+    copies = right.join(many, on, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
+    return dealt.join(copies, [*on, "__piece"], how).drop("__piece")
+
+
+def meeting_cells(rows: DataFrame, on: list[str], by: list[str], sizes: DataFrame, total: int) -> DataFrame:
+    """``rows`` with a column ``cell``, so that any two rows of a key meet in some cell of it.
+
+    A key with more than a fraction of a usual partition's rows is cut into k blocks by a hash of ``by``, and a
+    row goes to the k cells that pair its block with another; other keys have one cell."""
+    share = max(4096, total // (16 * partitions(rows.sparkSession)))
+    many = F.broadcast(sizes.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("int").alias("__blocks")))
+    own, blocks = F.pmod(F.xxhash64(*by), F.col("__blocks")).cast("int"), F.col("__blocks")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.least(own, other) * blocks + F.greatest(own, other))
+    cells = F.when(blocks.isNull(), F.array(F.lit(0))).otherwise(cells)
+    return rows.join(many, on, "left").withColumn("cell", F.explode(cells)).drop("__blocks")
 
 
 def release() -> None:
@@ -54,6 +93,21 @@ def tidy(run):
     return whole
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text column has about ``PORTION`` bytes at most, or is a single row.
+
+    Whatever the session's batch size, this bounds what is expanded into Python objects at once."""
+    for batch in batches:
+        at, sizes = 0, pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        while at < batch.num_rows:
+            to, total = at + 1, sizes[at]
+            while to < batch.num_rows and to - at < rows and total + sizes[to] <= PORTION:
+                total += sizes[to]
+                to += 1
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the decimal id modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus

@@ -7,12 +7,19 @@ halving them again and again, skipping halves that are provably distant, and com
 double precision. Only the principal dimensions are fitted on a bounded sample (``FIT`` vectors): they
 decide how much is skipped, never what is found.
 
+Intervals hold vectors of ``INTERVAL`` bytes in the type that they came in: the more vectors travel together,
+the fewer pairs of intervals carry them, and the recursion does the skipping within. Boxes meet by the cells
+of the first dimension; a label with very many boxes in a cell is cut into pieces, so a dense label is dealt
+over many tasks. What a task holds is two intervals, whatever the label's size; a label without structure in
+its principal dimensions is compared pair by pair, as for any exact join.
+
 Equal vectors of a label are one node with a multiplicity. An interval pair hands on each node's number
 of links and stars round smallest connected nodes, not its pairs.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a null
 label or id, link with nothing and are components of their own; vectors of different lengths don't link;
-repeated rows are equal vectors. Only the named columns are read.
+repeated rows are equal vectors; an empty table gives an empty result. Only the named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -24,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, tidy
+from .common import materialize, spread_join, table, tidy
 from .components import components, local_roots
 
 COSINE = 0.93
-#: Principal dimensions kept, those that make cells, vectors in an interval, vectors compared at once.
-DIMENSIONS, CELLS, INTERVAL, LEAF = 8, 4, 1024, 128
+#: Principal dimensions kept, those that make cells, bytes of an interval's vectors, vectors compared at once.
+DIMENSIONS, CELLS, INTERVAL, LEAF = 8, 4, 1 << 20, 128
 FIT = 4096
 SLACK = 1e-9
 
@@ -91,7 +98,6 @@ def join_intervals(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray
 def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component): other vectors of the label linked with, smallest key reachable."""
     spark = rows.sparkSession
-    small_batches(spark, 10_000)
     finite = lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
     good = F.col("k").isNotNull() & F.col("l").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0)
     rows = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<float>" if "float" in rows.schema[vector].dataType.simpleString() else "array<double>").alias("v"))
@@ -119,7 +125,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
     placed = nodes.mapInArrow(tidy(place), f"l {kinds['l']}, v {kind}, node long, copies long, d int, " + ", ".join(f"c{c} long" for c in range(CELLS)))
     order = ["l", "d", *(f"c{c}" for c in range(CELLS)), "node"]
-    placed = placed.repartitionByRange(max(1, -(-n // (8 * INTERVAL))), *order).sortWithinPartitions(*order)
+    wide = 4 if kind == "array<float>" else 8
+    typical = nodes.agg(F.coalesce(F.avg(F.size("v")), F.lit(1.0))).first()[0]
+    placed = placed.repartitionByRange(max(1, -(-n * int(wide * typical + 1) // (8 * INTERVAL))), *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Intervals of one label and vector length: a row each."""
@@ -135,7 +143,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
             shadow = unit(vectors) @ axes(fitted.value, d)
             node, copies = (np.concatenate([h[i] for h in held]) for i in (1, 2))
             lo, hi = shadow.min(axis=0), shadow.max(axis=0)
-            own = [[serial], [label_], [d], [lo.tolist()], [hi.tolist()], [node.tolist()], [copies.tolist()], [vectors.astype("<f8").tobytes()]]
+            own = [[serial], [label_], [d], [lo.tolist()], [hi.tolist()], [node.tolist()], [copies.tolist()], [vectors.astype(f"<f{wide}").tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, [pa.int64(), label_type, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()], strict=True)], ["serial", "l", "d", "lo", "hi", "nodes", "copies", "vectors"])
 
         for batch in batches:
@@ -145,11 +153,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
             labels, sizes = batch.column(0).to_pylist(), batch.column(4).to_pylist()
             at = 0
             while at < batch.num_rows:
-                if held and (name != (labels[at], sizes[at]) or sum(len(h[1]) for h in held) >= INTERVAL):
+                room = max(LEAF, INTERVAL // (wide * sizes[at])) - sum(len(h[1]) for h in held)
+                if held and (name != (labels[at], sizes[at]) or room <= 0):
                     yield out()
                     held = []
+                    continue
                 name = (labels[at], sizes[at])
-                room = INTERVAL - sum(len(h[1]) for h in held)
                 to = at + 1
                 while to < batch.num_rows and to - at < room and (labels[to], sizes[to]) == name:
                     to += 1
@@ -162,14 +171,16 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
     intervals = materialize(placed.mapInArrow(tidy(cut), f"serial long, l {kinds['l']}, d int, lo array<double>, hi array<double>, nodes array<long>, copies array<long>, vectors binary"))
     # Intervals meet through the cells of the first dimension, a neighbouring cell included.
     cell = lambda c, by: F.floor(F.col(c)[0] / F.lit(width)) + by
-    boxes = intervals.select("serial", "l", "d", "lo", "hi")
-    left = boxes.select(F.col("serial").alias("a"), F.col("l").alias("la"), F.col("d").alias("da"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo", 0), cell("hi", 0))).alias("ca"))
-    right = boxes.select(F.col("serial").alias("b"), F.col("l").alias("lb"), F.col("d").alias("db"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(cell("lo", -1), cell("hi", 1))).alias("cb"))
+    boxes = materialize(intervals.select("serial", "l", "d", "lo", "hi"))
+    left = boxes.select(F.col("serial").alias("a"), "l", "d", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo", 0), cell("hi", 0))).alias("c"))
+    right = boxes.select(F.col("serial").alias("b"), "l", "d", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(cell("lo", -1), cell("hi", 1))).alias("c"))
     apart = F.zip_with(
         F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
     )
     near = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x) <= 2 - 2 * cosine + SLACK
-    pairs = left.join(right, (F.col("la") == F.col("lb")) & (F.col("da") == F.col("db")) & (F.col("ca") == F.col("cb")) & (F.col("a") <= F.col("b"))).where(near).select("a", "b").distinct()
+    cells = ["l", "d", "c"]
+    pairs = spread_join(left, right, cells, ["a"], left.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")), left.count())
+    pairs = pairs.where(F.col("a") <= F.col("b")).where(near).select("a", "b").distinct()
     side = lambda s: intervals.select(F.col("serial").alias(s), F.col("d").alias(f"d_{s}"), F.col("nodes").alias(f"nodes_{s}"), F.col("copies").alias(f"copies_{s}"), F.col("vectors").alias(f"vectors_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "d_a", "nodes_a", "copies_a", "vectors_a", "nodes_b", "copies_b", "vectors_b")
 
@@ -177,7 +188,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
         for batch in batches:
             for r in range(batch.num_rows):
                 a, b, d, nodes_a, copies_a, raw_a, nodes_b, copies_b, raw_b = (c[r].as_py() for c in batch.columns)
-                x, y = (unit(np.frombuffer(raw, "<f8").reshape(-1, d)) for raw in (raw_a, raw_b))
+                x, y = (unit(np.frombuffer(raw, f"<f{wide}").reshape(-1, d)) for raw in (raw_a, raw_b))
                 turn = axes(fitted.value, d)
                 p, q = join_intervals(x, y, x @ turn, y @ turn, cosine)
                 if a == b:
@@ -191,16 +202,15 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
                     has = np.flatnonzero(links)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes_[has]), pa.array(links[has]), pa.array([root[i] for i in nodes_[has].tolist()], pa.int64())], ["node", "links", "root"])
 
-    small_batches(spark, 16)
     told = materialize(met.mapInArrow(tidy(join), "node long, links long, root long").groupBy("node", "root").agg(F.sum("links").alias("links")))
-    small_batches(spark, 10_000)
     summed = told.groupBy("node").agg(F.sum("links").alias("links"))
     if told.isEmpty():  # then there is nothing to connect
         nodes = nodes.withColumns({"links": F.lit(0).cast("long"), "component": F.col("node")})
     else:
         nodes = nodes.join(summed.join(components(told, "node", "root"), "node", "left"), "node", "left")
+    sizes = nodes.select("l", "v", F.col("copies").alias("n"))
     nodes = nodes.select("l", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    linked = rows.where(usable).join(nodes, ["l", "v"]).select("k", "n_links", "component")
+    linked = spread_join(rows.where(usable), nodes, ["l", "v"], ["k"], sizes, rows.count()).select("k", "n_links", "component")
     alone = rows.where(~usable).select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component"))
     return linked.unionByName(alone).withColumnRenamed("k", key)
 

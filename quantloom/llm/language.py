@@ -9,8 +9,9 @@ training are tabulated for all languages at once; others are worked out when the
 Training is bounded: about ``SAMPLE`` whole documents of each language, chosen by a hash of the id.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as all texts are where
-nothing could be learned; equal code lengths go to the first language in alphabetical order. Only the id,
-text and (in training) lang columns are read; repeated rows give repeated results.
+nothing could be learned; equal code lengths go to the first language in alphabetical order; a very long
+text is coded whole, in windows; an empty table gives an empty result. Only the id, text and (in training)
+lang columns are read, so others may have any name; repeated rows give repeated results, null ids are passed on.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches, table, tidy
+from .common import portions, remainder, table, tidy
 
 ORDER = 3
 SAMPLE = 400
@@ -50,10 +51,9 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) of all byte quadruples."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in sorted(set(langs)):
                 own = [t.encode() for t, k in zip(texts, langs, strict=True) if k == name and t]
@@ -188,14 +188,12 @@ def has_letter(text: str) -> bool:
 
 def predict_languages(docs: DataFrame, trees: ContextTrees | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score): the language of the shortest code, and its share of the posterior."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column(1).to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             spoken = [i for i, t in enumerate(texts) if scorer and t and has_letter(t)]

@@ -5,19 +5,26 @@ if an earlier one, by (id, line number), has a Jaccard similarity of ``JACCARD``
 tokens stay. Tokens are put in order of rarity; lines with J >= t share one of their first
 n - ceil(t n) + 1 tokens, so lines meet by those prefixes. Pairs that meet are thinned out by length, by
 the token's positions, and by a 64-bit parity map of the sets (which can't differ in more bits than the
-sets do in tokens), and what is left is verified on the whole sets.
+sets do in tokens), and what is left is verified on the whole sets of 64-bit token hashes.
 
-Rarity comes from counts of all tokens of all texts in a table of fixed size (``BUCKETS``); any order that
-all lines share gives exact results. A prefix hands on, for each line, the earlier partners that look most
-similar; lines that none of these settles get more, and in the last round all of theirs, so nothing is
+Rarity comes from counts of all tokens of all texts in a table of fixed size (``BUCKETS``). Any order that
+all lines share gives exact results, and frequent tokens stand out in it whatever the input's size, so it
+needn't grow. A prefix hands on, for each line, the earlier partners that look most similar; lines that none
+of these settles get more from the tokens that have more, and in the last round all of theirs, so nothing is
 capped. Whole sets are read once, for the lines that may have a partner at all, and again for such lines that
-only a later round compares. Equal lines of one
-batch of documents are settled there and then, whatever their number. Between the stages lines travel in
-packed columns, a row for each batch, or for each batch and range of tokens.
-
-Defined results: null and empty texts have one empty line; rows with a null id come first in the order;
-rows that share an id share decisions by line number, and equal numbers don't match; an empty table gives an empty result. Only the id and
-text columns are read. Ids are integers.
+only a later round compares: texts are asked by marks of the lines in a table that grows with their number,
+or, beyond what may be broadcast, by a shuffled join. Equal lines of one batch of documents are settled there
+and then, whatever their number. A prefix token that very many lines share is cut into blocks that meet two
+by two. Between the stages lines travel in packed columns, a row for each batch, or for each batch and range
+of tokens.
+
+Equal lines are told by 64 bits of a sum of token hashes, the 64-bit parity map and the number of tokens.
+
+Defined results: null and empty texts have one empty line; rows with a null id come first in the order; rows
+that share an id (or have none) are documents of their own, in order of a hash of their texts, and only those
+that share the text too are one document, which is judged once; equal lines within a text are repeats as in
+any other; very long texts and lines are taken whole; an empty table gives an empty result. Only the id and
+text columns are read, so others may have any name. Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,20 +37,24 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, tidy
+from .common import materialize, partitions, portions, spread_join, table, tidy
 from .tokens import mix, slices, token_hashes
 
 JACCARD = 0.8
 BUCKETS = 1 << 20
 #: Partners that a prefix hands on for a line in each round; groups beyond WIDE are searched by blocks.
-ROUNDS, WIDE, BLOCK = (4, None), 512, 256
+ROUNDS, WIDE, BLOCK = (4, 64, None), 512, 256
 PAIRS = 1 << 18
-#: Marks of lines and tokens that are asked for, in a table of fixed size.
-MARKS = 1 << 23
+#: Bits of the marks of each line or token that is asked for, and of all marks at most: more aren't broadcast.
+MARK_BITS, MOST_MARKS = 16, 1 << 26
 #: Removed lines up to this many are broadcast (16 bytes each); more are shuffled.
 BROADCAST_LINES = 1_000_000
-#: Pairs up to this many are broadcast (8 bytes for each line).
+#: Pairs up to this many are broadcast (16 bytes for each line).
 BROADCAST_PAIRS = 200_000
+#: Ids that repeat up to this many are broadcast (8 bytes each).
+BROADCAST_REPEATS = 1_000_000
+#: Lines that meet at one token in one cell, and the share of a portion's prefix tokens that makes one heavy.
+CROWD, HEAVY = 20_000, 1 / 2048
 NO_ID = -(1 << 63)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -76,18 +87,26 @@ def unpack(raw: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-#: Widths that integers are packed in.
+#: Widths that integers are packed in; none for zeros.
 WIDTHS = ("<i1", "<i2", "<i4", "<i8")
 
 
 def pack_narrow(*columns: np.ndarray) -> bytes:
-    """Signed columns of equal length, each in the narrowest width that holds it, after the widths."""
-    codes = [next(i for i, w in enumerate(WIDTHS) if not len(c) or (c.min() >= np.iinfo(w).min and c.max() <= np.iinfo(w).max)) for c in columns]
-    return bytes(codes) + b"".join(c.astype(WIDTHS[i]).tobytes() for c, i in zip(columns, codes, strict=True))
+    """Signed columns of equal length, each in the narrowest width that holds it, after length and widths."""
+    codes = [next(i for i, w in enumerate(WIDTHS) if c.min() >= np.iinfo(w).min and c.max() <= np.iinfo(w).max) if c.any() else len(WIDTHS) for c in columns]
+    own = [c.astype(WIDTHS[i]).tobytes() for c, i in zip(columns, codes, strict=True) if i < len(WIDTHS)]
+    return len(columns[0]).to_bytes(4, "little") + bytes(codes) + b"".join(own)
 
 
 def unpack_narrow(raw: bytes, n: int) -> list[np.ndarray]:
-    return [c.astype(np.int64) for c in unpack(raw[n:], tuple(WIDTHS[i] for i in raw[:n]))]
+    size, at, out = int.from_bytes(raw[:4], "little"), 4 + n, []
+    for code in raw[4 : 4 + n]:
+        if code == len(WIDTHS):
+            out.append(np.zeros(size, np.int64))
+            continue
+        out.append(np.frombuffer(raw, WIDTHS[code], size, at).astype(np.int64))
+        at += size * np.dtype(WIDTHS[code]).itemsize
+    return out
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -174,13 +193,26 @@ def count_tokens(docs: DataFrame, text: str) -> np.ndarray:
     return summed(docs.select(text), BUCKETS, "<u4", fill, _saturating)
 
 
-#: Columns of a batch's lines; of the prefix tokens that go with them; of lines met by a token. To the last
-#: belong, in narrow integers, differences of documents and line numbers, sizes, positions and who asks.
-LINE = ("<i8", "<i4", "<u8", "<i4", "<u8", "u1")
+#: 64-bit columns of a portion's lines; of lines met by a token. To both belong, in narrow integers, differences
+#: of documents, what tells documents of one id apart, line numbers, sizes; and whether an equal line comes
+#: earlier in the portion, or positions and who asks.
+LINE = ("<u8", "<u8")
 PREFIX = ("<u4",)
 MEETING = ("<u4", "<u8", "<u8")
 
 
+def pack_lines(doc, sub, line, sig, parity, n, again) -> bytes:
+    wide = pack(sig, parity)
+    return len(wide).to_bytes(4, "little") + wide + pack_narrow(np.diff(doc, prepend=np.int64(0)), sub, line, n, again)
+
+
+def unpack_lines(raw: bytes) -> list[np.ndarray]:
+    """doc, sub, line, sig, parity, n, again"""
+    size = int.from_bytes(raw[:4], "little")
+    doc, sub, line, n, again = unpack_narrow(raw[4 + size :], 5)
+    return [np.cumsum(doc), sub, line, *unpack(raw[4 : 4 + size], LINE), n, again]
+
+
 def prefix_sizes(n: np.ndarray, again: np.ndarray, t: float) -> np.ndarray:
     return np.where(again != 0, 0, n - need(n, t) + 1)
 
@@ -190,18 +222,32 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def keyed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """All columns, and what tells documents apart: ``__doc``, the id, and ``__sub``, zero or, for ids that
+    aren't one row's own, a hash of the text."""
+    one = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+    repeats = materialize(docs.groupBy(one.alias("__repeated")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("__repeated") == NO_ID)).select("__repeated"))
+    n, told = repeats.count(), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    docs = docs.withColumn("__doc", one)
+    if n > BROADCAST_REPEATS:
+        return docs.withColumn("__sub", told)
+    if not n:
+        return docs.withColumn("__sub", F.lit(0).cast("long"))
+    met = docs.join(F.broadcast(repeats), F.col("__doc") == F.col("__repeated"), "left")
+    return met.withColumn("__sub", F.when(F.col("__repeated").isNotNull(), told).otherwise(F.lit(0).cast("long"))).drop("__repeated")
+
+
 def line_rows(docs: DataFrame, rank, t: float) -> DataFrame:
-    """(lines, prefixes): the packed lines with tokens of each batch, and their prefix tokens.
+    """(lines, prefixes, heavy): the packed lines with tokens of each portion of the rows (doc, text, sub), the
+    prefix tokens that go with them, and those tokens that many of them have, with counts.
 
-    ``again`` marks lines with an earlier equal line in the batch; others have prefixes, 32 bits of each
+    ``again`` marks lines with an earlier equal line in the portion; others have prefixes, 32 bits of each
     token: a chance equality only makes a pair more to verify.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+        for batch in portions(batches):
+            ids, subs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             raw, feeds, owner, number = lines_in([x or b"" for x in batch.column(1).to_pylist()])
             raw = _FOLD[raw]
             h, start = token_hashes(raw, _TOKEN[raw])
@@ -209,46 +255,88 @@ def line_rows(docs: DataFrame, rank, t: float) -> DataFrame:
             if not len(start):
                 continue
             sig, parity = np.add.reduceat(mix(h), start), np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start)
-            doc, no = ids[owner[line]], number[line]
-            order = np.lexsort((no, doc, sig))
-            begin = np.flatnonzero(np.concatenate([[True], sig[order[1:]] != sig[order[:-1]]]))
+            doc, sub, no = ids[owner[line]], subs[owner[line]], number[line]
+            order = np.lexsort((no, sub, doc, n, parity, sig))
+            begin = np.flatnonzero(np.concatenate([[True], differ(order, sig, parity, n)]))
             lead = order[np.repeat(begin, np.diff(np.append(begin, len(order))))]
-            again = np.zeros(len(sig), np.uint8)
-            again[order] = (doc[order] != doc[lead]) | (no[order] != no[lead])
+            again = np.zeros(len(sig), np.int64)
+            again[order] = (doc[order] != doc[lead]) | (sub[order] != sub[lead]) | (no[order] != no[lead])
             tokens = (h[spans(start, prefix_sizes(n, again, t))] >> np.uint64(32)).astype("<u4")
-            lines = pack(doc, no.astype("<i4"), sig, n.astype("<i4"), parity, again)
-            yield pa.RecordBatch.from_arrays([pa.array([lines], pa.binary()), pa.array([tokens.tobytes()], pa.binary())], ["lines", "prefixes"])
+            kinds, counts = np.unique(tokens, return_counts=True)
+            many = counts >= max(16, HEAVY * len(tokens))
+            columns = [pack_lines(doc, sub, no, sig, parity, n, again), tokens.tobytes(), pack(kinds[many].astype("<u4"), counts[many].astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["lines", "prefixes", "heavy"])
+
+    return docs.mapInArrow(tidy(run), "lines binary, prefixes binary, heavy binary")
+
+
+def differ(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Whether each row but the first in the order isn't equal to the one before in all the columns."""
+    out = np.zeros(max(0, len(order) - 1), bool)
+    for c in columns:
+        own = c[order]
+        out |= own[1:] != own[:-1]
+    return out
 
-    return docs.mapInArrow(tidy(run), "lines binary, prefixes binary")
 
+def crowds(rows: DataFrame) -> dict[int, int]:
+    """Prefix tokens that very many lines have, and how many blocks to cut those into.
+
+    Heavy tokens are counted portion by portion, so that few of all tokens are looked at, and no more than the
+    reciprocal of ``HEAVY`` can pass in any portion; counts only deal work, they decide nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                token, n = unpack(raw, ("<u4", "<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
-def line_marks(doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two marks of each line."""
+    total = rows.agg(F.coalesce(F.sum(F.length("prefixes")), F.lit(0))).first()[0] // 4
+    share = max(CROWD, total // (16 * partitions(rows.sparkSession)))
+    found = rows.select("heavy").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > share)
+    return {r["token"]: -(-r["n"] // share) for r in found.collect()}  # no more than sixteen for each partition
+
+
+def line_marks(doc: np.ndarray, line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two marks of each line; documents of one id have the same."""
     h = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
-    return (h & np.uint64(MARKS - 1)).astype(np.int64), (h >> np.uint64(40) & np.uint64(MARKS - 1)).astype(np.int64)
+    return (h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(37) & np.uint64(size - 1)).astype(np.int64)
 
 
 def is_marked(bits: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Whether the lines are marked; one in hundreds of others may be too."""
-    a, b = line_marks(doc, line)
+    """Whether the lines are marked; about one in a hundred others may be too."""
+    a, b = line_marks(doc, line, len(bits))
     return bits[a] & bits[b]
 
 
-def marked(rows: DataFrame, number) -> np.ndarray:
-    """Bits of all marks ``number(batch)`` of the rows, packed."""
+def token_marks(token: np.ndarray, size: int) -> np.ndarray:
+    return (mix(token.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def marked(rows: DataFrame, n: int, number) -> np.ndarray | None:
+    """Bits of all marks ``number(batch, size)`` of the ``n`` rows, packed; None if they are too many."""
+    size = max(1 << 16, 1 << (MARK_BITS * n).bit_length())
+    if size > MOST_MARKS:
+        return None
 
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        total[number(batch)] = 1
+        total[number(batch, size)] = 1
+
+    return summed(rows, size, "u1", fill, np.bitwise_or, np.packbits)
 
-    return summed(rows, MARKS, "u1", fill, np.bitwise_or, np.packbits)
 
+def marked_lines(rows: DataFrame) -> np.ndarray | None:
+    """Marks of the lines that the rows begin with: doc, line."""
+    rows = rows.select("doc", "line")
+    return marked(rows, rows.count(), lambda b, size: np.concatenate(line_marks(b.column(0).to_numpy(), b.column(1).to_numpy(), size)))
 
-def older(doc, line, a, b) -> np.ndarray:
+
+def older(doc, sub, line, a, b) -> np.ndarray:
     """Whether row a comes before row b."""
-    return (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
+    return (doc[a] < doc[b]) | ((doc[a] == doc[b]) & ((sub[a] < sub[b]) | ((sub[a] == sub[b]) & (line[a] < line[b]))))
 
 
-def partners(token, doc, line, parity, n, pos, probe, t: float, first: int | None):
+def partners(token, doc, sub, line, parity, n, pos, probe, t: float, first: int | None):
     """(row, earlier row, whether there are more) for rows that share a token and may match, and all such rows.
 
     Rows are in order of token, then size. ``first``: how many of the partners to give, those with the closest parity maps.
@@ -265,9 +353,9 @@ def partners(token, doc, line, parity, n, pos, probe, t: float, first: int | Non
         gap = np.bitwise_count(parity[a] ^ parity[b])
         ok = gap.astype(np.float64) <= (n[a] + n[b]) * (1 - t) / (1 + t) + 1e-9
         a, b, gap = a[ok], b[ok], gap[ok]
-        swap = older(doc, line, a, b)
+        swap = older(doc, sub, line, a, b)
         late, early = np.where(swap, b, a), np.where(swap, a, b)
-        ok = probe[late] & older(doc, line, early, late)
+        ok = probe[late] & older(doc, sub, line, early, late)
         return late[ok], early[ok], gap[ok]
 
     found = []
@@ -283,7 +371,7 @@ def partners(token, doc, line, parity, n, pos, probe, t: float, first: int | Non
         found.append(fits(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)))
         at = to
     for s, size in zip(starts[sizes > WIDE], sizes[sizes > WIDE], strict=True):
-        by_age = s + np.lexsort((line[s : s + size], doc[s : s + size]))
+        by_age = s + np.lexsort((line[s : s + size], sub[s : s + size], doc[s : s + size]))
         place = np.empty(size, np.int64)
         place[by_age - s] = np.arange(size)
         open_ = probe[by_age].copy()
@@ -296,7 +384,7 @@ def partners(token, doc, line, parity, n, pos, probe, t: float, first: int | Non
             for a0 in range(0, len(young), PAIRS // BLOCK):
                 own = young[a0 : a0 + PAIRS // BLOCK]
                 a, b = np.repeat(by_age[own], len(old)), np.tile(old, len(own))
-                ok = older(doc, line, b, a) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * t - 1e-9)
+                ok = older(doc, sub, line, b, a) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * t - 1e-9)
                 found.append(fits(a[ok], b[ok]))
                 np.add.at(held, place[found[-1][0] - s], 1)
             if first is not None:
@@ -304,7 +392,7 @@ def partners(token, doc, line, parity, n, pos, probe, t: float, first: int | Non
     late, early, gap = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
     fit = np.zeros(len(token), bool)
     fit[late] = fit[early] = True
-    order = np.lexsort((line[early], doc[early], gap, late))
+    order = np.lexsort((line[early], sub[early], doc[early], gap, late))
     late, early = late[order], early[order]
     begin = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(late)))
@@ -314,118 +402,150 @@ def partners(token, doc, line, parity, n, pos, probe, t: float, first: int | Non
     return late[keep], early[keep], more[keep], np.flatnonzero(fit)
 
 
-MET = "doc long, line int, sig long, other long, more boolean"
-NAMES = ["doc", "line", "sig", "other", "more"]
+MET = "doc long, sub long, line int, sig long, par long, other long, opar long, token long"
+NAMES = [c.split()[0] for c in MET.split(", ")]
 
 
-def meet(rows: DataFrame, t: float, first: int | None, tokens=None, asked=None) -> DataFrame:
-    """Each line's earlier partners by shared prefix tokens, with the columns MET.
+def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int], tokens=None, asked=None, again: bool = True) -> DataFrame:
+    """What lines meet by shared prefix tokens, with the columns MET: (sig, par) is a line, (other, opar) an
+    earlier partner of it. Rows without a partner tell of lines that were compared and may match, or, with a
+    token, that there are more partners of the line at it than ``first``.
 
-    ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for.
-    Lines that were compared and may match have a row without a partner besides.
+    ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for, if not
+    all. ``again``: whether to tell of equal lines.
     """
-    equals = asked is None
     spark = rows.sparkSession
-    ranges = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(256, 4 * partitions(spark))
+    crowd_token = np.array(sorted(crowded), np.uint32)
+    crowd_blocks = np.array([crowded[k] for k in sorted(crowded)], np.int64)
+
+    def cells(token, sig):
+        """Rows to take, and the cell of each: a token that isn't crowded has one."""
+        if not len(crowd_token):
+            return np.arange(len(token)), np.zeros(len(token), np.int64)
+        at = np.minimum(np.searchsorted(crowd_token, token), len(crowd_token) - 1)
+        blocks = np.where(crowd_token[at] == token, crowd_blocks[at], 1)
+        row, other = np.repeat(np.arange(len(token)), blocks), spans(np.zeros(len(token), np.int64), blocks)
+        own = (sig[row] % blocks[row].astype(np.uint64)).astype(np.int64)
+        return row, np.minimum(own, other) * blocks[row] + np.maximum(own, other)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.unpackbits(tokens.value).astype(bool) if tokens else None
         ask = np.unpackbits(asked.value).astype(bool) if asked else None
         for batch in batches:
             for lines, prefixes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc, line, sig, n, parity, again = unpack(lines, LINE)
+                doc, sub, line, sig, parity, n, more = unpack_lines(lines)
                 (token,) = unpack(prefixes, PREFIX)
-                p = prefix_sizes(n, again, t)
-                own, pos = np.repeat(np.arange(len(n)), p), spans(np.zeros(len(n), np.int64), p).astype("<i4")
-                probe = np.ones(len(n), np.uint8) if ask is None else is_marked(ask, doc, line).astype(np.uint8)
+                p = prefix_sizes(n, more, t)
+                own, pos = np.repeat(np.arange(len(n)), p), spans(np.zeros(len(n), np.int64), p)
+                probe = np.ones(len(n), np.int64) if ask is None else is_marked(ask, doc, line).astype(np.int64)
                 if use is not None:
-                    chosen = np.flatnonzero(use[token & np.uint32(MARKS - 1)])
+                    chosen = np.flatnonzero(use[token_marks(token, len(use))])
                     token, own, pos = token[chosen], own[chosen], pos[chosen]
-                part = ((token.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+                row, cell = cells(token, sig[own])
+                token, own, pos = token[row], own[row], pos[row]
+                part = (((token.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64) + cell).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                token, own, pos, part = token[order], own[order], pos[order], part[order]
+                token, own, pos, part, cell = token[order], own[order], pos[order], part[order], cell[order]
                 cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-                wide, narrow, place = (token, sig[own], parity[own]), (n[own], pos, probe[own]), (doc[own], line[own].astype(np.int64))
+                wide, narrow, place = (token, sig[own], parity[own]), (sub[own], n[own], pos, probe[own], cell), (doc[own], line[own])
                 ends = [*cuts[1:], len(part)][: len(cuts)]
                 packed = [pack(*(c[i:j] for c in wide)) for i, j in zip(cuts, ends, strict=True)]
                 small = [pack_narrow(*(np.diff(c[i:j], prepend=np.int64(0)) for c in place), *(c[i:j] for c in narrow)) for i, j in zip(cuts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(packed, pa.binary()), pa.array(small, pa.binary())], ["part", "wide", "narrow"])
 
+    def told(columns: dict) -> pa.RecordBatch:
+        size = len(columns["doc"])
+        kinds = {"line": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(size, pa.int64()) for c in NAMES], NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(raw, MEETING) + unpack_narrow(small, 5) for batch in batches for raw, small in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        got = [unpack(raw, MEETING) + unpack_narrow(small, 7) for batch in batches for raw, small in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         if not got:
             return
         columns = [np.concatenate([np.cumsum(x) for x in c] if i in (3, 4) else c) for i, c in enumerate(zip(*got, strict=True))]
         del got
+        if columns[9].any():  # cells of crowded tokens are tokens of their own
+            columns[0] = columns[0].astype(np.uint64) | columns[9].astype(np.uint64) << np.uint64(32)
 
         def shared(order):
             """Of rows in order of tokens those that share theirs."""
             same = columns[0][order[1:]] == columns[0][order[:-1]]
             return order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
 
-        order = shared(np.argsort((columns[0].astype(np.uint64) << np.uint64(32)) | (columns[1] >> np.uint64(32))))
-        token, sig, _, doc, line, _, pos, _ = columns
+        def by(high, low):
+            """Rows in order of two numbers of 32 bits, or of any."""
+            return np.argsort((high.astype(np.uint64) << np.uint64(32)) | low, kind="stable") if high.dtype.itemsize == 4 else np.lexsort((low, high))
+
+        token, sig, parity, doc, line, sub, n, pos, _, _ = columns
+        order = shared(by(token, sig >> np.uint64(32)))
         # Equal lines meet at every token: the oldest stands for all, the others are told of once.
-        equal = (token[order[1:]] == token[order[:-1]]) & (sig[order[1:]] == sig[order[:-1]])
+        equal = ~differ(order, token, sig, parity, n)
         run_of = np.cumsum(np.concatenate([[True], ~equal])) if len(order) else np.zeros(0, np.int64)
         many = np.flatnonzero(np.concatenate([[False], equal]) | np.concatenate([equal, [False]])) if len(order) else np.zeros(0, np.int64)
         own = order[many]
-        by_age = np.lexsort((line[own], doc[own], run_of[many]))
+        by_age = np.lexsort((line[own], sub[own], doc[own], run_of[many]))
         own, runs = own[by_age], run_of[many][by_age]
         first_of = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
         oldest = own[np.repeat(first_of, np.diff(np.append(first_of, len(runs))))]
-        younger = own[own != oldest]
         keep = np.ones(len(token), bool)
-        keep[younger] = False
-        again = own[(pos[own] == 0) & ((doc[own] != doc[oldest]) | (line[own] != line[oldest]))] if equals else own[:0]
-        if len(again):
-            signed = sig[again].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(line[again].astype(np.int32)), pa.array(signed), pa.array(signed), pa.array(np.zeros(len(again), bool))], NAMES)
+        keep[own[own != oldest]] = False
+        same_place = (doc[own] == doc[oldest]) & (sub[own] == sub[oldest]) & (line[own] == line[oldest])
+        repeats = own[(pos[own] == 0) & ~same_place] if again else own[:0]
+        if len(repeats):
+            s, p = sig[repeats].view(np.int64), parity[repeats].view(np.int64)
+            yield told({"doc": doc[repeats], "sub": sub[repeats], "line": line[repeats], "sig": s, "par": p, "other": s, "opar": p})
         order = order[keep[order]]
-        order = shared(order[np.argsort((token[order].astype(np.uint64) << np.uint64(32)) | columns[5][order].astype(np.uint64), kind="stable")])
-        token, sig, parity, doc, line, n, pos, probe = (c[order] for c in columns)
+        order = shared(order[by(token[order], n[order].astype(np.uint64))])
+        token, sig, parity, doc, line, sub, n, pos, probe, _ = (c[order] for c in columns)
         del columns
         if not len(token):
             return
-        late, early, more, fit = partners(token, doc, line, parity, n, pos, probe.astype(bool), t, first)
+        late, early, more, fit = partners(token, doc, sub, line, parity, n, pos, probe.astype(bool), t, first)
         if not len(late):
             return
-        signed = sig.view(np.int64)
+        place = lambda at: {"doc": doc[at], "sub": sub[at], "line": line[at], "sig": sig[at].view(np.int64), "par": parity[at].view(np.int64)}
+        open_ = np.unique(late[more])
+        yield told(place(open_) | {"token": token[open_].astype(np.int64) & 0xFFFFFFFF})
         # The same partner by several tokens counts once.
-        order = np.lexsort((~more, sig[early], sig[late], line[late], doc[late]))
-        late, early, more = late[order], early[order], more[order]
+        order = np.lexsort((parity[early], sig[early], line[late], sub[late], doc[late]))
+        late, early = late[order], early[order]
         keep = np.ones(len(late), bool)
-        keep[1:] = (sig[early[1:]] != sig[early[:-1]]) | (sig[late[1:]] != sig[late[:-1]]) | (line[late[1:]] != line[late[:-1]]) | (doc[late[1:]] != doc[late[:-1]])
-        late, early, more = late[keep], early[keep], more[keep]
+        keep[1:] = differ(late, doc, sub, line) | differ(early, sig, parity)
+        late, early = late[keep], early[keep]
+        yield told(place(late) | {"other": sig[early].view(np.int64), "opar": parity[early].view(np.int64)})
         # One row for each line that fits any other, with no partner.
-        order = fit[np.lexsort((line[fit], doc[fit]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (line[order[1:]] != line[order[:-1]])
-        fit = order[new]
-        none = pa.nulls(len(fit), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[late], doc[fit]])), pa.array(np.concatenate([line[late], line[fit]]).astype(np.int32)), pa.array(np.concatenate([signed[late], signed[fit]])), pa.concat_arrays([pa.array(signed[early]), none]), pa.array(np.concatenate([more, np.zeros(len(fit), bool)]))], NAMES)
+        order = fit[np.lexsort((line[fit], sub[fit], doc[fit]))]
+        yield told(place(order[np.concatenate([[True], differ(order, doc, sub, line)])]))
 
-    got = rows.mapInArrow(tidy(deal), "part int, wide binary, narrow binary").repartition("part").mapInArrow(tidy(run), MET)
-    return got.groupBy("doc", "line", "sig", "other").agg(F.max("more").alias("more"))
+    got = rows.select("lines", "prefixes").mapInArrow(tidy(deal), "part int, wide binary, narrow binary").repartition("part").mapInArrow(tidy(run), MET)
+    return got.distinct()
 
 
-SETS = "s long, n int, " + ", ".join(f"map{i} long" for i in range(4)) + ", low array<int>, high array<int>"
+MAPS = [f"map{i}" for i in range(4)]
+SETS = "s long, p long, n int, " + ", ".join(f"{m} long" for m in MAPS) + ", tokens array<long>"
 
 
 def token_sets(involved: DataFrame, docs: DataFrame) -> DataFrame:
-    """Sizes, 256-bit parity maps and token hashes, in two halves, of the lines (doc, line); some others may
-    be among them, and a set twice."""
+    """Sizes, 256-bit parity maps and token hashes of the lines (doc, sub, line); some others may be among
+    them, and a set twice."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(marked(involved, lambda b: np.concatenate(line_marks(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+    marks = marked_lines(involved)
+    shared = spark.sparkContext.broadcast(marks)
+    if marks is None:  # then texts are shuffled to what is asked of them
+        asked = involved.groupBy("doc", "sub").agg(F.collect_set("line").alias("lines"))
+        docs = docs.join(asked, ["doc", "sub"]).select("doc", "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+        wanted = np.unpackbits(shared.value).astype(bool) if shared.value is not None else None
+        for batch in portions(batches):
             raw, feeds, owner, number = lines_in([x or b"" for x in batch.column(1).to_pylist()])
-            own = np.flatnonzero(is_marked(wanted, ids[owner], number))
+            if wanted is not None:
+                own = np.flatnonzero(is_marked(wanted, batch.column(0).to_numpy()[owner], number))
+            else:
+                lists = batch.column(2)
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                own = np.sort(np.searchsorted(owner, row) + lists.flatten().to_numpy())
             if not len(own):
                 continue
             begin = np.concatenate([[0], feeds[:-1] + 1])[own]
@@ -434,122 +554,123 @@ def token_sets(involved: DataFrame, docs: DataFrame) -> DataFrame:
             h, start, n, _ = sets_of(h, np.searchsorted(np.flatnonzero(raw == 10), start), None)
             if not len(start):
                 continue
-            sig = np.add.reduceat(mix(h), start)
+            sig, parity = np.add.reduceat(mix(h), start), np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start)
             bit, part = np.uint64(1) << (h >> np.uint64(56) & np.uint64(63)), h >> np.uint64(62)
             maps = [np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), start) for i in range(4)]
-            first = np.unique(sig, return_index=True)[1]
+            order = np.lexsort((n, parity, sig))
+            first = order[np.concatenate([[True], differ(order, sig, parity, n)])]
             at = h[spans(start[first], n[first])]
             offsets = pa.array(np.concatenate([[0], np.cumsum(n[first])]).astype(np.int32))
-            halves = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.uint32).view(np.int32))) for x in (at & np.uint64(0xFFFFFFFF), at >> np.uint64(32))]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[first].view(np.int64)), pa.array(n[first].astype(np.int32)), *(pa.array(m[first].view(np.int64)) for m in maps), *halves], [c.split()[0] for c in SETS.split(", ")])
+            columns = [sig[first], parity[first], *(m[first] for m in maps)]
+            columns = [pa.array(c.view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(n[first].astype(np.int32)), *columns[2:], pa.ListArray.from_arrays(offsets, pa.array(at.view(np.int64)))], [c.split()[0] for c in SETS.split(", ")])
 
     return docs.mapInArrow(tidy(run), SETS)
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (sig, par, other, opar), each with columns of both sets, named by ``_a`` and ``_b``."""
+    total = pairs.count()
+    for keys, tag in ((["other", "opar"], "b"), (["sig", "par"], "a")):
+        side = sets.select(F.col("s").alias(keys[0]), F.col("p").alias(keys[1]), *[F.col(c).alias(f"{c}_{tag}") for c in columns])
+        rest = ["sig", "par"] if tag == "b" else ["other", "opar"]
+        pairs = spread_join(pairs, side, keys, rest, pairs.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), total)
+    return pairs
+
+
+PAIR = ["sig", "par", "other", "opar"]
+
+
 def close_pairs(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """(sig, other, gap): the pairs whose 256-bit parity maps allow a match; gap is how much they differ."""
-    names = [f"map{i}" for i in range(4)]
-    side = lambda key, tag: sets.select(F.col("s").alias(key), F.col("n").alias(f"n_{tag}"), *[F.col(m).alias(f"{m}_{tag}") for m in names])
-    both = pairs.join(side("sig", "a"), "sig").join(side("other", "b"), "other")
-    gap = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in names), F.lit(0))
+    """PAIR and gap: the pairs whose 256-bit parity maps allow a match; gap is how much they differ."""
+    both = with_sets(pairs, sets, ["n", *MAPS])
+    gap = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MAPS), F.lit(0))
     bound = (F.col("n_a") + F.col("n_b")) * ((1 - t) / (1 + t)) + 1e-9
-    return both.select("sig", "other", gap.alias("gap"), bound.alias("bound")).where("gap <= bound").select("sig", "other", "gap").distinct()
+    return both.select(*PAIR, gap.alias("gap"), bound.alias("bound")).where("gap <= bound").select(*PAIR, "gap").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Of the pairs (sig, other) those whose whole token sets are similar enough.
-
-    Half of each hash bounds the overlap from above; where it decides by less than two tokens, whole hashes do.
-    """
+    """Of the pairs those whose whole token sets are similar enough."""
     if (n := pairs.count()) <= BROADCAST_PAIRS:  # then only sets that are asked for need be shuffled
-        sets = sets.join(F.broadcast(pairs.select(F.explode(F.array("sig", "other")).alias("s")).distinct()), "s", "left_semi")
+        ends = F.explode(F.array(F.struct(F.col("sig").alias("s"), F.col("par").alias("p")), F.struct(F.col("other").alias("s"), F.col("opar").alias("p"))))
+        sets = sets.join(F.broadcast(pairs.select(ends.alias("e")).select("e.s", "e.p").distinct()), ["s", "p"], "left_semi")
     if not n:
-        return pairs.select("sig", "other")
-
-    def overlaps(pairs: DataFrame, of) -> DataFrame:
-        a, b = sets.select(F.col("s").alias("sig"), F.col("n").alias("na"), of.alias("ta")), sets.select(F.col("s").alias("other"), F.col("n").alias("nb"), of.alias("tb"))
-        met = pairs.select("sig", "other").join(a, "sig").join(b, "other")
-        return met.select("sig", "other", F.size(F.array_intersect("ta", "tb")).alias("shared"), ((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9).alias("least"))
-
-    halves = materialize(overlaps(pairs, F.col("low")).where("shared >= least"))
-    whole = F.zip_with("low", "high", lambda x, y: F.shiftleft(y.cast("long"), 32) + x)
-    unsure = halves.where("shared < least + 2")
-    return halves.where("shared >= least + 2").select("sig", "other").unionByName(overlaps(unsure, whole).where("shared >= least").select("sig", "other"))
+        return pairs.select(*PAIR)
+    met = with_sets(pairs.select(*PAIR), sets, ["n", "tokens"])
+    least = (F.col("n_a") + F.col("n_b")) * (t / (1 + t)) - 1e-9
+    return met.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= least).select(*PAIR)
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", jaccard: float = JACCARD) -> tuple[DataFrame, DataFrame]:
-    """(doc, lines with tokens) of all documents that have any, and (doc, line) of all removed lines."""
+def repeated_lines(docs: DataFrame, jaccard: float = JACCARD) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc, text, sub): (doc, sub, n_lines), lines with tokens of all documents that have any, and
+    (doc, sub, line) of all removed lines."""
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
     counts = count_tokens(docs, "text")
     place = np.empty(BUCKETS, np.uint32)
     place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
     rank = spark.sparkContext.broadcast(place)
     rows = materialize(line_rows(docs, rank, jaccard))
+    crowded = crowds(rows)
+    at, line = ["doc", "sub", "line"], ["sig", "par"]
     removed, held, sets, open_ = [], [], None, None
     for first in ROUNDS:
         asked = tokens = None
         if open_ is not None:
             if open_.isEmpty():
                 break
-            asked = spark.sparkContext.broadcast(marked(open_, lambda b: np.concatenate(line_marks(b.column(0).to_numpy(), b.column(1).to_numpy()))))
-            tokens = spark.sparkContext.broadcast(marked(rows, lambda b, asked=asked: _prefix_marks(b, asked.value, jaccard)))
-        met = materialize(meet(rows, jaccard, first, tokens, asked))
-        involved = met.where("other is null")
-        pairs = met.where("sig <> other")
+            own, used = marked_lines(open_), open_.select("token").distinct()
+            asked = None if own is None else spark.sparkContext.broadcast(own)
+            use = marked(used, used.count(), lambda b, size: token_marks(b.column(0).to_numpy(), size))
+            tokens = None if use is None else spark.sparkContext.broadcast(use)
+        met = materialize(meet(rows, jaccard, first, crowded, tokens, asked, again=sets is None))
+        involved = met.where("other is null and token is null")
+        pairs = met.where("other is not null and (sig <> other or par <> opar)")
         if sets is None:
-            sets = token_sets(involved.select("doc", "line"), docs).persist(StorageLevel.MEMORY_AND_DISK)
+            sets = token_sets(involved.select(*at), docs).persist(StorageLevel.MEMORY_AND_DISK)
             held.append(sets)
-            removed.append(met.where("sig = other").select("doc", "line").distinct())
+            removed.append(met.where("sig = other and par = opar").select(*at).distinct())
         else:
-            pairs = pairs.join(open_, ["doc", "line", "sig"], "left_semi")
+            pairs = pairs.join(open_.select(*at).distinct(), at, "left_semi")
             # In groups searched by blocks a line closes before all are compared: its partners may be new here.
-            new = materialize(involved.join(sets.select(F.col("s").alias("sig")), "sig", "left_anti").select("doc", "line"))
+            new = materialize(involved.join(sets.select(F.col("s").alias("sig"), F.col("p").alias("par")), line, "left_anti").select(*at))
             if not new.isEmpty():
                 held.append(token_sets(new, docs).persist(StorageLevel.MEMORY_AND_DISK))
                 sets = sets.unionByName(held[-1])
-        near = materialize(close_pairs(pairs.select("sig", "other").distinct(), sets, jaccard))
+        near = materialize(close_pairs(pairs.select(*PAIR).distinct(), sets, jaccard))
         # The closest partner settles most lines; the others' partners are verified after it.
-        best = materialize(near.groupBy("sig").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
-        settled = verified(best, sets, jaccard).select("sig").distinct()
-        settled = materialize(settled)
-        rest = near.select("sig", "other").join(settled, "sig", "left_anti").join(best, ["sig", "other"], "left_anti")
-        settled = materialize(settled.unionByName(verified(materialize(rest), sets, jaccard).select("sig").distinct()))
-        removed.append(pairs.join(settled, "sig", "left_semi").select("doc", "line").distinct())
-        # The join puts its key first, and marks are made from the first two columns.
-        open_ = materialize(pairs.where("more").select("doc", "line", "sig").distinct().join(settled, "sig", "left_anti").select("doc", "line", "sig"))
+        best = near.groupBy(*line).agg(F.min_by(F.struct("other", "opar"), F.struct("gap", "other", "opar")).alias("best"))
+        best = materialize(best.select(*line, "best.other", "best.opar"))
+        settled = materialize(verified(best, sets, jaccard).select(*line).distinct())
+        rest = near.select(*PAIR).join(settled, line, "left_anti").join(best, PAIR, "left_anti")
+        settled = materialize(settled.unionByName(verified(materialize(rest), sets, jaccard).select(*line).distinct()))
+        removed.append(pairs.join(settled, line, "left_semi").select(*at).distinct())
+        open_ = materialize(met.where("token is not null").join(settled, line, "left_anti").select(*at, "token"))
     for sets in held:
         sets.unpersist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                doc, n = np.unique(unpack(raw, LINE)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n.astype(np.int64))], ["doc", "n"])
+                doc, sub = unpack_lines(raw)[:2]
+                begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])]))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(sub[begin]), pa.array(np.diff(np.append(begin, len(doc))))], ["doc", "sub", "n"])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                doc, line, _, _, _, again = unpack(raw, LINE)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[again != 0]), pa.array(line[again != 0])], ["doc", "line"])
+                doc, sub, line, _, _, _, again = unpack_lines(raw)
+                own = again != 0
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(sub[own]), pa.array(line[own].astype(np.int32))], at)
 
-    gone = rows.mapInArrow(tidy(repeats), "doc long, line int")
+    gone = rows.select("lines").mapInArrow(tidy(repeats), "doc long, sub long, line int")
     for more in removed:
         gone = gone.unionByName(more)
-    lines = rows.mapInArrow(tidy(count), "doc long, n long").groupBy("doc").agg(F.sum("n").alias("n_lines"))
+    lines = rows.select("lines").mapInArrow(tidy(count), "doc long, sub long, n long").groupBy("doc", "sub").agg(F.sum("n").alias("n_lines"))
     return lines, materialize(gone.distinct())
 
 
-def _prefix_marks(batch: pa.RecordBatch, asked: np.ndarray, t: float) -> np.ndarray:
-    """Marks of the prefix tokens of the lines asked for."""
-    wanted, out = np.unpackbits(asked).astype(bool), [np.zeros(0, np.int64)]
-    for lines, prefixes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        doc, line, _, n, _, again = unpack(lines, LINE)
-        (token,) = unpack(prefixes, PREFIX)
-        own = np.repeat(is_marked(wanted, doc, line), prefix_sizes(n, again, t))
-        out.append((token[own] & np.uint32(MARKS - 1)).astype(np.int64))
-    return np.concatenate(out)
+def _texts(keyed: DataFrame, text: str) -> DataFrame:
+    return keyed.select(F.col("__doc").alias("doc"), F.col(text).cast("binary").alias("text"), F.col("__sub").alias("sub"))
 
 
 def without(text: Column, removed: Column) -> Column:
@@ -560,20 +681,20 @@ def without(text: Column, removed: Column) -> Column:
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their texts' removed lines left out; all rows and columns stay."""
-    gone = repeated_lines(docs, key, text)[1]
+    keyed = keyed_rows(docs, key, text)
+    gone = repeated_lines(_texts(keyed, text))[1]
     few = gone.count() <= BROADCAST_LINES
-    gone = gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    name, lines_ = "__line_doc", "__line_removed"
-    gone = gone.select(F.col("doc").alias(name), F.col("removed").alias(lines_))
-    met = docs.join(F.broadcast(gone) if few else gone, F.coalesce(docs[key].cast("long"), F.lit(NO_ID)) == F.col(name), "left")
-    return met.select(*[without(docs[c], F.col(lines_)).alias(c) if c == text else docs[c] for c in docs.columns])
+    gone = gone.groupBy("doc", "sub").agg(F.sort_array(F.collect_list("line")).alias("__removed"))
+    gone = gone.withColumnsRenamed({"doc": "__gone_doc", "sub": "__gone_sub"})
+    met = keyed.join(F.broadcast(gone) if few else gone, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__sub") == F.col("__gone_sub")), "left")
+    return met.select(*[without(F.col(c), F.col("__removed")).alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document, how many lines have tokens and which line numbers are removed."""
-    docs = table(spark, sf_dir, "documents")
-    counts, gone = repeated_lines(docs)
-    gone = gone.groupBy("doc").agg(F.count("*").alias("n_removed"), F.sort_array(F.collect_list("line")).alias("removed"))
-    ids = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    out = ids.join(counts, "doc", "left").join(gone, "doc", "left")
+    keyed = keyed_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    counts, gone = repeated_lines(_texts(keyed, "text"))
+    gone = gone.groupBy("doc", "sub").agg(F.count("*").alias("n_removed"), F.sort_array(F.collect_list("line")).alias("removed"))
+    ids = keyed.select("doc_id", F.col("__doc").alias("doc"), F.col("__sub").alias("sub"))
+    out = ids.join(counts.join(gone, ["doc", "sub"], "left"), ["doc", "sub"], "left")
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.coalesce("removed", F.array().cast("array<int>")), ",").alias("removed_lines"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, small_batches, table, tidy
+from .common import MODEL, portions, table, tidy
 from .tokens import slices
 
 SPACE = "▁"
@@ -241,12 +241,11 @@ def codec(model_path: str) -> PieceCodec:
 
 def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, begins, ends, decoded): piece ids, their source byte spans, the decoded text."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at, to in slices(texts):
                 part = batch.slice(at, to - at)
@@ -270,9 +269,6 @@ def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-MODEL = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
-
-
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
     """Digests of every document's encoding and decoding."""
     return digests(encode_documents(table(spark, sf_dir, "documents"), model_path))

@@ -3,14 +3,17 @@
 A fingerprint is the bitwise majority of the XXH64 hashes (seed 42) of a text's three-word shingles.
 Equal fingerprints are one node. Two fingerprints that differ in at most two bits agree on one of three
 segments, and outside it on one of three subsegments, so each node goes to nine groups, each a masked bit
-pattern that all its members share. Within a group the members are sorted by the Gray rank of the other
-bits; runs of neighbours become index nodes that hold the bits on which the run agrees, less those that
-nodes above them hold. A search adds up differences on its way down and leaves out whole runs beyond the
-limit. A group is handed on as stars round its smallest members, not as all its pairs.
+pattern that all its members share: these patterns are the top of the index, and where it is cut into
+partitions. Below it the fingerprints are in order of Gray rank; runs of neighbours become index nodes that
+hold the bits on which the run agrees, less those that nodes above them hold. A search starts at each
+fingerprint's root, adds up differences on its way down and leaves out whole runs beyond the limit. All
+links come from this search, whatever a group's size. A group is handed on as stars round its smallest
+members, not as all its pairs; a pattern with very many members is cut into blocks that meet two by two.
 
 Defined results: a null or empty text has fingerprint zero, which is linked like any other; repeated rows
 are rows of the same fingerprint; a null id is no component's name unless its component has no other (then
-null). Only the id and text columns are read, so other columns may have any name.
+null); very long texts are hashed whole; an empty table gives an empty result. Only the id and text columns
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import materialize, small_batches, table, tidy
+from .common import materialize, meeting_cells, portions, spread_join, table, tidy
 from .components import components, local_roots
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
-FAN, LEAF = 16, 48
-#: Pairs that are compared at once.
-PAIRS = 1 << 18
+FAN = 16
+#: Fingerprints that are searched for at once.
+QUERIES = 1 << 14
+#: Ids of removed or kept documents up to this many are broadcast (16 bytes each, or so); more are shuffled.
+BROADCAST_IDS = 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -64,22 +70,21 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): fingerprints as signed 64-bit numbers."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+@F.arrow_udf(LongType())
+def fingerprint(texts: pa.Array) -> pa.Array:
+    """Fingerprints as signed 64-bit numbers."""
+    out = [fingerprints([(t or "").encode() for t in part.column(0).to_pylist()]) for part in portions([pa.RecordBatch.from_arrays([texts], ["text"])], 0)]
+    return pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = fingerprints([(t or "").encode() for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, fp long")
+def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp): fingerprints as signed 64-bit numbers."""
+    return docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp"))
 
 
-def masks() -> list[int]:
-    """Nine bit masks, one at least of which covers only equal bits of two fingerprints within the limit."""
-    out, parts = [], LIMIT + 1
+def masks(limit: int = LIMIT) -> list[int]:
+    """Bit masks (nine for two bits), one of which covers only equal bits of two fingerprints within the limit."""
+    out, parts = [], limit + 1
     cut = lambda bits: [bits[i * len(bits) // parts : (i + 1) * len(bits) // parts] for i in range(parts)]
     for segment in cut(list(range(64))):
         for inner in cut([b for b in range(64) if b not in segment]):
@@ -95,131 +100,131 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index of fingerprints that are in Gray order."""
-
-    def __init__(self, fp: np.ndarray):
-        self.fp = fp
-        shared, value, levels = np.full(len(fp), ~np.uint64(0)), fp, []
-        while len(value) > FAN:
-            cuts = np.arange(0, len(value), FAN)
-            lead = np.repeat(value[cuts], np.diff([*cuts, len(value)]))
-            differ = np.bitwise_or.reduceat(value ^ lead, cuts)
+    """Hierarchical index over fingerprints in order of (group, Gray rank).
+
+    The lowest nodes are the fingerprints; ``FAN`` neighbours of a group are a node of the next level, up to
+    one root for each group. A node keeps those bits on which all that is below it agrees and which no node
+    above it has, so that differences add up on the way down."""
+
+    def __init__(self, group: np.ndarray, fp: np.ndarray):
+        self.fp, self.levels = fp, []
+        value, shared = fp, np.full(len(fp), ~np.uint64(0))
+        while True:
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            sizes = np.diff(np.append(starts, len(group)))
+            if not len(group) or sizes.max() == 1:
+                self.levels.append((value, shared, np.arange(len(value)), np.zeros(len(value), np.int64)))
+                break
+            nth = np.arange(len(group)) - np.repeat(starts, sizes)
+            cuts = np.flatnonzero(nth % FAN == 0)
+            width = np.diff(np.append(cuts, len(group)))
+            differ = np.bitwise_or.reduceat(value ^ np.repeat(value[cuts], width), cuts)
             up = np.bitwise_and.reduceat(shared, cuts) & ~differ
-            levels.append((value, shared & ~np.repeat(up, np.diff([*cuts, len(value)]))))
-            shared, value = up, value[cuts]
-        levels.append((value, shared))
-        self.levels = levels[::-1]
-
-    def links(self, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all pairs that differ in at most ``limit`` bits, the smaller place first."""
-        found_a, found_b = [], []
-        depth = len(self.levels)
-        step = max(1, PAIRS // (4 * FAN * FAN))
-        for begin in range(0, len(self.fp), step):
-            own = np.arange(begin, min(begin + step, len(self.fp)))
-            q, node = np.repeat(own, len(self.levels[0][0])), np.tile(np.arange(len(self.levels[0][0])), len(own))
-            gap = np.zeros(len(q), np.int64)
-            for level, (value, residue) in enumerate(self.levels):
-                gap = gap + np.bitwise_count((self.fp[q] ^ value[node]) & residue[node])
-                span = FAN ** (depth - 1 - level)
-                keep = (gap <= limit) & ((node + 1) * span > q + 1)
+            self.levels.append((value, shared & ~np.repeat(up, width), cuts, width))
+            value, shared, group = value[cuts], up, group[cuts]
+        #: From the roots down: value, bits, and where a node's children are in the next level, and how many.
+        self.levels.reverse()
+        self.levels = [(v, bits, *(self.levels[i + 1][2:] if i + 1 < len(self.levels) else (None, None))) for i, (v, bits, _, _) in enumerate(self.levels)]
+        #: Past the last fingerprint below each node.
+        last, self.lasts = np.arange(1, len(fp) + 1), []
+        for _, _, first, width in self.levels[::-1]:
+            last = last if first is None else last[first + width - 1]
+            self.lasts.insert(0, last)
+
+    def links(self, limit: int = LIMIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs of a group that differ in at most ``limit`` bits, the smaller place first."""
+        if not len(self.fp):
+            return
+        root_of = np.searchsorted(self.lasts[0], np.arange(len(self.fp)), "right")
+        for begin in range(0, len(self.fp), QUERIES):
+            q = np.arange(begin, min(begin + QUERIES, len(self.fp)))
+            node, gap = root_of[q], np.zeros(len(q), np.int64)
+            for (value, bits, first, width), last in zip(self.levels, self.lasts, strict=True):
+                gap = gap + np.bitwise_count((self.fp[q] ^ value[node]) & bits[node])
+                keep = (gap <= limit) & (last[node] > q + 1)
                 q, node, gap = q[keep], node[keep], gap[keep]
-                if level < depth - 1:
-                    below = len(self.levels[level + 1][0])
-                    size = np.minimum((node + 1) * FAN, below) - node * FAN
-                    child = np.repeat(node * FAN - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                if first is not None:
+                    size = width[node]
+                    child = np.repeat(first[node] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     q, gap, node = np.repeat(q, size), np.repeat(gap, size), child
-            found_a.append(q)
-            found_b.append(node)
-        return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def linked(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, smaller connected fingerprint) over all groups; ``group`` and ``fp`` in order."""
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    sizes = np.diff([*starts, len(group)])
-    us, vs = [], []
-    small = (sizes > 1) & (sizes <= LEAF)
-    s, n = starts[small], sizes[small]
-    rows = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    last = np.repeat(s + n, n)
-    partners = last - rows - 1
-    cum = np.concatenate([[0], np.cumsum(partners)])
-    at = 0
-    while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(cum, cum[at] + PAIRS)))
-        count = partners[at:to]
-        a = np.repeat(rows[at:to], count)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
-        hit = np.bitwise_count(fp[a] ^ fp[b]) <= LIMIT
-        us.append(fp[a[hit]])
-        vs.append(fp[b[hit]])
-        at = to
-    for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-        own = fp[s : s + n]
-        a, b = GrayIndex(own).links()
-        us.append(own[a])
-        vs.append(own[b])
-    if not us:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    node, root = local_roots(np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64))
+            yield q, node
+
+
+def linked(group: np.ndarray, fp: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, smaller connected fingerprint) over all groups; in order of group and Gray rank."""
+    found = [np.zeros((2, 0), np.int64)]
+    for a, b in GrayIndex(group, fp).links(limit):
+        node, root = local_roots(fp[a].view(np.int64), fp[b].view(np.int64))
+        found.append(np.stack([node, root])[:, node != root])
+    node, root = local_roots(*np.concatenate(found, axis=1))
     return node[node != root], root[node != root]
 
 
-def link_fingerprints(distinct: DataFrame) -> DataFrame:
-    """(a, b): edges that connect all fingerprints ``fp`` within the limit of each other."""
-    small_batches(distinct.sparkSession, 10_000)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
+def link_fingerprints(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(a, b): edges that connect all fingerprints ``fp`` within the limit of each other.
+
+    A masked pattern with very many fingerprints is cut into blocks that meet two by two."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(limit)]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask_no", "pattern"))
+    sizes = materialize(keyed.groupBy("mask_no", "pattern").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # A pattern that only one fingerprint has links nothing: most go before anything is dealt.
+    keyed = keyed.join(sizes.select("mask_no", "pattern"), ["mask_no", "pattern"], "left_semi")
+    keyed = meeting_cells(keyed, ["mask_no", "pattern"], ["fp"], sizes, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         rows = pa.Table.from_batches(got)
-        fp, no, pattern = (rows.column(c).to_numpy() for c in ("fp", "mask_no", "pattern"))
+        fp, no, pattern, cell = (rows.column(c).to_numpy() for c in ("fp", "mask_no", "pattern", "cell"))
         fp, pattern = fp.view(np.uint64), pattern.view(np.uint64)
-        order = np.lexsort((gray_rank(fp ^ pattern), pattern, no))
-        fp, no, pattern = fp[order], no[order], pattern[order]
-        new = np.concatenate([[True], (no[1:] != no[:-1]) | (pattern[1:] != pattern[:-1])])
-        a, b = linked(np.cumsum(new), fp)
+        order = np.lexsort((gray_rank(fp ^ pattern), cell, pattern, no))
+        fp, no, pattern, cell = fp[order], no[order], pattern[order], cell[order]
+        new = np.concatenate([[True], (no[1:] != no[:-1]) | (pattern[1:] != pattern[:-1]) | (cell[1:] != cell[:-1])])
+        a, b = linked(np.cumsum(new), fp, limit)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return keyed.repartition("mask_no", "pattern").mapInArrow(tidy(run), "a long, b long")
+    return keyed.repartition("mask_no", "pattern", "cell").mapInArrow(tidy(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, fp, component): fingerprint, and the smallest key of those reachable by links."""
+    return _grouped(docs, key, text, limit).select(F.col("key").alias(key), "fp", F.col("name").alias("component"))
+
+
+def _grouped(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """(key, fp, root, name): of each row its fingerprint, its component's smallest fingerprint and key."""
     prints = materialize(fingerprint_documents(docs, key, text))
-    nodes = prints.groupBy("fp").agg(F.min("key").alias("least"))
-    nodes = materialize(nodes)
-    found = materialize(components(link_fingerprints(nodes)))
-    named = found.join(nodes, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("least").alias("name"))
-    of_node = found.join(named, "component").select(F.col("node").alias("fp"), "name")
-    of_node = nodes.join(of_node, "fp", "left").select("fp", F.coalesce("name", "least").alias("component"))
-    return prints.join(of_node, "fp").select(F.col("key").alias(key), "fp", "component")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = materialize(components(link_fingerprints(nodes, limit)))
+    rooted = nodes.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
+    rooted = materialize(rooted.select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("n")))
+    of_node = spread_join(rooted.select("fp", "root"), named.select("root", "name"), ["root"], ["fp"], named.select("root", "n"), rooted.count())
+    return spread_join(prints, materialize(of_node), ["fp"], ["key"], rooted.select("fp", "n"), prints.count())
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the smallest key of each component; one row where a key repeats.
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest key, null keys last.
 
-    Rows with a null key stay if their component has no key at all.
+    Rows are told apart by key and fingerprint, so that texts that share a key, or have none, are judged each
+    by its own. Rows that agree in both are one document: one of them stays, whichever.
     """
-    groups = materialize(near_duplicates(docs, key, text))
-    repeats = groups.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    gone = groups.where(~F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__gone")).distinct()
-    some_null = not gone.where("__gone is null").isEmpty()
-    kept = docs.join(gone.where("__gone is not null"), docs[key] == F.col("__gone"), "left_anti")
-    if some_null:  # rows without a key can't be told apart by it, so their fingerprints are joined again
-        with_key, without = kept.where(docs[key].isNotNull()), kept.where(docs[key].isNull())
-        named = groups.where(F.col("component").isNotNull()).select(F.col("fp").alias("__fp")).distinct()
-        numbered = without.withColumn("__row", F.monotonically_increasing_id())
-        prints = fingerprint_documents(numbered, "__row", text)
-        bound = prints.join(named, F.col("fp") == F.col("__fp"), "left_semi").select(F.col("key").alias("__bound"))
-        kept = with_key.unionByName(numbered.join(bound, F.col("__row") == F.col("__bound"), "left_anti").drop("__row"))
-    if repeats.isEmpty():
-        return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    groups = materialize(_grouped(docs, key, text, limit).select("key", "fp", "root"))
+    first = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("fp").alias("fp"))
+    kept = groups.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.key").alias("__key"), F.col("first.fp").alias("__print"))
+    kept = materialize(kept)
+    n_rows, n_kept = groups.count(), kept.count()
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
+    if groups.select("key").distinct().count() == n_rows and groups.where("key is null").isEmpty():  # the key tells rows apart
+        if n_rows - n_kept <= n_kept:
+            gone = groups.select("key").join(kept, F.col("key") == F.col("__key"), "left_anti").withColumnRenamed("key", "__gone")
+            return docs.join(small(gone, n_rows - n_kept), docs[key] == F.col("__gone"), "left_anti")
+        return docs.join(small(kept, n_kept), docs[key] == F.col("__key"), "left_semi")
+    own = docs.withColumn("__fp", fingerprint(F.col(text)))
+    own = own.join(small(kept, n_kept), own[key].eqNullSafe(F.col("__key")) & (F.col("__fp") == F.col("__print")), "left_semi")
+    return own.dropDuplicates([key, "__fp"]).drop("__fp")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

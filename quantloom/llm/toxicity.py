@@ -14,7 +14,9 @@ rows among all labelled training rows.
 
 Defined results: null and empty texts get the score of a text without words; a document that several
 label rows mark is toxic if one of them says so, null labels are ignored; where there is nothing to learn
-from, scores are 0. Only the id and text columns are read in scoring; repeated rows get equal scores.
+from, scores are 0; a very long text is scored whole; an empty table gives an empty result; equal scores have
+no order among them. Only the id and text columns are read (and the label in training), so others may have any
+name; repeated rows get equal scores, rows with a null id are scored and not trained on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder, small_batches, table, tidy
+from .common import materialize, remainder, table, tidy
 from .tokens import mix, slices, token_hashes
 
 BUCKETS = 1 << 22
@@ -146,7 +148,6 @@ def _chance(key: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Learn from the rows for which the SQL condition ``usable`` holds; None if no toxic row is known."""
     spark = docs.sparkSession
-    small_batches(spark)
     told = labels.where(usable).where(F.col(label).isNotNull()).groupBy(F.col(key)).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     n, n_toxic = told.agg(F.count("*"), F.sum("toxic")).first()
     n_docs = docs.where(usable).count()
@@ -196,7 +197,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id",
 
 def scorer(spark: SparkSession, model: Model | None):
     """A column function: text -> score."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -5,7 +5,7 @@ match so far is popped) and the number of tokens popped on the way, so that gree
 counting reads each character once and builds no piece.
 
 Defined results: words are stretches without white space; a word that greedy matching can't cover
-counts as one unknown token; null and empty texts have no words. Only the id and text columns are read;
+counts as one unknown token; null and empty texts have no words; a very long text or word is counted whole. Only the id and text columns are read;
 repeated rows give repeated results, an empty table an empty one, null ids are passed on.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, small_batches, table, tidy
+from .common import MODEL, portions, table, tidy
 
 UNKNOWN = 1 << 32
 #: Distinct words that a worker remembers before it starts anew.
@@ -107,12 +107,11 @@ def automaton(path: str) -> Automaton:
 
 def count_tokens(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_tokens, n_unknown) of each row."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = automaton(vocab_path)
-        for batch in batches:
+        for batch in portions(batches):
             if len(known) > MEMORY:
                 known.clear()
             words, sums = [], []
@@ -127,7 +126,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: st
     return got.withColumnRenamed("key", key)
 
 
-VOCABULARY = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
+VOCABULARY = MODEL
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, vocab_path: str = VOCABULARY) -> DataFrame:
