@@ -45,22 +45,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], sizes: DataFrame, total: int, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, where a few keys may have very many rows of ``left``.
-
-    ``sizes`` has the keys and ``n``, their rows among the ``total`` ones of ``left``; by many or few only the
-    work is dealt. Keys with more rows than a fraction of a usual partition are cut into pieces by a hash of
-    the columns ``by``, and meet a copy of their rows of ``right`` in each piece. There can't be more such
-    keys than sixteen for each partition, so their list is broadcast. Null keys match nothing.
-    """
-    share = max(256, total // (16 * partitions(left.sparkSession)))
-    many = F.broadcast(sizes.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("int").alias("__pieces")))
-    pieces = F.coalesce("__pieces", F.lit(1))
-    dealt = left.join(many, on, "left").withColumn("__piece", F.pmod(F.xxhash64(*by), pieces).cast("int")).drop("__pieces")
-    copies = right.join(many, on, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
-    return dealt.join(copies, [*on, "__piece"], how).drop("__piece")
-
-
 def meeting_cells(rows: DataFrame, on: list[str], by: list[str], sizes: DataFrame, total: int) -> DataFrame:
     """``rows`` with a column ``cell``, so that any two rows of a key meet in some cell of it.
 

@@ -1,7 +1,8 @@
 """Connected components of large graphs by alternating large-star and small-star rounds.
 
-Neighbourhood minima are partial aggregations and meet the edges again in joins that cut nodes with very
-many edges into pieces, so that no node ends in one task. Each round is cut by checkpoints.
+Neighbourhood minima are partial aggregations. They are written before they meet the edges again: both sides of
+that join are then plain shuffles, and adaptive execution splits a node with very many edges over several tasks
+(an aggregation in the same stage would forbid it). Each round is cut by checkpoints.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, tidy
+from .common import materialize, tidy
 
 ROUNDS = 60
 
@@ -60,12 +61,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if n_edges == now.select("a").distinct().count() and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break  # every node has one edge, to the centre of its star
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = spread_join(both.where("b > a"), least.select("a", "m"), ["a"], ["b"], least.select("a", "n"), 2 * n_edges)
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        large = both.where("b > a").join(least, "a")
         large = materialize(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        small = spread_join(large, least.select("a", "m"), ["a"], ["b"], least.select("a", "n"), n_edges)
-        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = materialize(small.where("a <> b").distinct())
     else:
         raise RuntimeError(f"components didn't settle within {ROUNDS} rounds")

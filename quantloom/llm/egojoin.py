@@ -9,8 +9,8 @@ decide how much is skipped, never what is found.
 
 Intervals hold vectors of ``INTERVAL`` bytes in the type that they came in: the more vectors travel together,
 the fewer pairs of intervals carry them, and the recursion does the skipping within. Boxes meet by the cells
-of the first dimension; a label with very many boxes in a cell is cut into pieces, so a dense label is dealt
-over many tasks. What a task holds is two intervals, whatever the label's size; a label without structure in
+of the first dimension, in a join that adaptive execution splits where a label has very many boxes in a cell;
+pairs of intervals are dealt evenly. What a task holds is two intervals, whatever the label's size; a label without structure in
 its principal dimensions is compared pair by pair, as for any exact join.
 
 Equal vectors of a label are one node with a multiplicity. An interval pair hands on each node's number
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, table, tidy
+from .common import materialize, table, tidy
 from .components import components, local_roots
 
 COSINE = 0.93
@@ -179,8 +179,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
     )
     near = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x) <= 2 - 2 * cosine + SLACK
     cells = ["l", "d", "c"]
-    pairs = spread_join(left, right, cells, ["a"], left.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")), left.count())
-    pairs = pairs.where(F.col("a") <= F.col("b")).where(near).select("a", "b").distinct()
+    pairs = left.join(right, cells).where(F.col("a") <= F.col("b")).where(near).select("a", "b").distinct()
     side = lambda s: intervals.select(F.col("serial").alias(s), F.col("d").alias(f"d_{s}"), F.col("nodes").alias(f"nodes_{s}"), F.col("copies").alias(f"copies_{s}"), F.col("vectors").alias(f"vectors_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "d_a", "nodes_a", "copies_a", "vectors_a", "nodes_b", "copies_b", "vectors_b")
 
@@ -208,9 +207,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", v
         nodes = nodes.withColumns({"links": F.lit(0).cast("long"), "component": F.col("node")})
     else:
         nodes = nodes.join(summed.join(components(told, "node", "root"), "node", "left"), "node", "left")
-    sizes = nodes.select("l", "v", F.col("copies").alias("n"))
-    nodes = nodes.select("l", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    linked = spread_join(rows.where(usable), nodes, ["l", "v"], ["k"], sizes, rows.count()).select("k", "n_links", "component")
+    nodes = materialize(nodes.select("l", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    linked = rows.where(usable).join(nodes, ["l", "v"]).select("k", "n_links", "component")
     alone = rows.where(~usable).select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component"))
     return linked.unionByName(alone).withColumnRenamed("k", key)
 

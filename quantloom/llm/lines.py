@@ -37,13 +37,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, portions, spread_join, table, tidy
+from .common import materialize, partitions, portions, table, tidy
 from .tokens import mix, slices, token_hashes
 
 JACCARD = 0.8
 BUCKETS = 1 << 20
 #: Partners that a prefix hands on for a line in each round; groups beyond WIDE are searched by blocks.
-ROUNDS, WIDE, BLOCK = (4, 64, None), 512, 256
+ROUNDS, WIDE, BLOCK = (4, None), 512, 256
 PAIRS = 1 << 18
 #: Bits of the marks of each line or token that is asked for, and of all marks at most: more aren't broadcast.
 MARK_BITS, MOST_MARKS = 16, 1 << 26
@@ -569,12 +569,12 @@ def token_sets(involved: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """The pairs (sig, par, other, opar), each with columns of both sets, named by ``_a`` and ``_b``."""
-    total = pairs.count()
+    """The pairs (sig, par, other, opar), each with columns of both sets, named by ``_a`` and ``_b``.
+
+    Many lines may have the same partner: partners are joined first, as the next shuffle leaves adaptive
+    execution free to split them."""
     for keys, tag in ((["other", "opar"], "b"), (["sig", "par"], "a")):
-        side = sets.select(F.col("s").alias(keys[0]), F.col("p").alias(keys[1]), *[F.col(c).alias(f"{c}_{tag}") for c in columns])
-        rest = ["sig", "par"] if tag == "b" else ["other", "opar"]
-        pairs = spread_join(pairs, side, keys, rest, pairs.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), total)
+        pairs = pairs.join(sets.select(F.col("s").alias(keys[0]), F.col("p").alias(keys[1]), *[F.col(c).alias(f"{c}_{tag}") for c in columns]), keys)
     return pairs
 
 
@@ -641,8 +641,8 @@ def repeated_lines(docs: DataFrame, jaccard: float = JACCARD) -> tuple[DataFrame
         best = near.groupBy(*line).agg(F.min_by(F.struct("other", "opar"), F.struct("gap", "other", "opar")).alias("best"))
         best = materialize(best.select(*line, "best.other", "best.opar"))
         settled = materialize(verified(best, sets, jaccard).select(*line).distinct())
-        rest = near.select(*PAIR).join(settled, line, "left_anti").join(best, PAIR, "left_anti")
-        settled = materialize(settled.unionByName(verified(materialize(rest), sets, jaccard).select(*line).distinct()))
+        rest = materialize(near.select(*PAIR).join(settled, line, "left_anti").join(best, PAIR, "left_anti"))
+        settled = materialize(settled.unionByName(verified(rest, sets, jaccard).select(*line).distinct()))
         removed.append(pairs.join(settled, line, "left_semi").select(*at).distinct())
         open_ = materialize(met.where("token is not null").join(settled, line, "left_anti").select(*at, "token"))
     for sets in held:

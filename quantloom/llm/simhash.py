@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialize, meeting_cells, portions, spread_join, table, tidy
+from .common import materialize, meeting_cells, portions, table, tidy
 from .components import components, local_roots
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
@@ -196,13 +196,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 def _grouped(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     """(key, fp, root, name): of each row its fingerprint, its component's smallest fingerprint and key."""
     prints = materialize(fingerprint_documents(docs, key, text))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")))
     found = materialize(components(link_fingerprints(nodes, limit)))
     rooted = nodes.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
-    rooted = materialize(rooted.select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
-    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("n")))
-    of_node = spread_join(rooted.select("fp", "root"), named.select("root", "name"), ["root"], ["fp"], named.select("root", "n"), rooted.count())
-    return spread_join(prints, materialize(of_node), ["fp"], ["key"], rooted.select("fp", "n"), prints.count())
+    rooted = materialize(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("name")))
+    # Written first, so that these joins are of plain shuffles, and hot components and fingerprints can be split.
+    of_node = materialize(rooted.select("fp", "root").join(named, "root"))
+    return prints.join(of_node, "fp")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
