@@ -1,14 +1,15 @@
 """SentencePiece encoding with byte offsets, and decoding.
 
 The source text is normalised by longest-prefix matches in the model's compiled character map (a
-double-array trie); every normalised byte remembers the source byte it came from, so each piece is
-projected to a span of original bytes. Normalised text is cut where no piece of the vocabulary can
-reach across, and each distinct stretch is segmented once and kept in a bounded pool; documents are
-then put together from pooled stretches with array operations.
+double-array trie) and its user-defined symbols; every normalised byte remembers the source byte it came
+from, so each piece is projected to a span of original bytes. There is one way for all models: what no entry
+of the map can start with is copied in bulk (all of it, where the map is empty). Normalised text is cut where
+no piece of the vocabulary can reach across, and each distinct stretch is segmented once, by the library, and
+kept in a bounded pool; documents are then put together from pooled stretches with array operations.
 
 Defined results: a null text counts as empty; an empty text has no pieces and decodes to the empty
-string. Only the id and text columns are read, so other columns may have any name; repeated rows give
-repeated results, an empty table gives an empty one, null ids are passed on.
+string; a very long text is encoded whole. Only the id and text columns are read, so other columns may have any
+name; repeated rows give repeated results, an empty table gives an empty one, null ids are passed on.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import MODEL, portions, table, tidy
 from .tokens import slices
 
 SPACE = "▁"
+_MARK = SPACE.encode()
 #: Distinct stretches that a worker keeps before it starts its pool anew.
 POOL = 100_000
 
@@ -40,6 +42,14 @@ class CharMap:
             self.units = np.frombuffer(blob, "<u4", n // 4, 4).tolist()
             self.strings = blob[4 + n :]
 
+    def starts(self) -> np.ndarray:
+        """Which bytes an entry can start with."""
+        out = np.zeros(256, bool)
+        if self.units is not None:
+            at = (self.units[0] >> 10) << ((self.units[0] & 0x200) >> 6)
+            out[[b for b in range(1, 256) if at ^ b < len(self.units) and self.units[at ^ b] & 0x800000FF == b]] = True
+        return out
+
     def longest(self, key: bytes, start: int) -> tuple[int, bytes] | None:
         """(matched bytes, replacement) of the longest entry that is a prefix of key[start:]."""
         if self.units is None:
@@ -63,19 +73,24 @@ class CharMap:
 class PieceCodec:
     """Encodes and decodes as the model says. Offsets are bytes of the original UTF-8 text."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model: str | bytes):
+        """``model``: a model file's path, or its content."""
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        content = model
+        if isinstance(model, str):
+            with open(model, "rb") as f:
+                content = f.read()
         model = pb.ModelProto()
-        with open(model_path, "rb") as f:
-            model.ParseFromString(f.read())
+        model.ParseFromString(content)
         spec = model.normalizer_spec
         self.prefix, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.map = CharMap(spec.precompiled_charsmap)
         kinds = pb.ModelProto.SentencePiece
         self.user = sorted((p.piece.encode() for p in model.pieces if p.type == kinds.USER_DEFINED), key=len, reverse=True)
-        self.plain = self.map.units is None and not self.trim and not self.user and self.escape
+        self.starts = self.map.starts()
+        self.starts[[u[0] for u in self.user]] = True
         self.pieces = [p.piece for p in model.pieces]
         self.byte_of = {i: int(p.piece[3:5], 16) for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.control = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
@@ -99,50 +114,49 @@ class PieceCodec:
 
     # -- normalisation -----------------------------------------------------------------------------
 
+    def _rewritten(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text's bytes after the character map, and where each came from."""
+        todo = np.flatnonzero(self.starts[raw] & (raw & 0xC0 != 0x80))
+        if not len(todo):
+            return raw, np.arange(len(raw))
+        text, parts, origins, at = raw.tobytes(), [], [], 0
+        for start in todo.tolist():
+            if start < at:
+                continue
+            hit = next(((len(u), u) for u in self.user if text.startswith(u, start)), None) or self.map.longest(text, start)
+            if hit is None:
+                continue
+            parts += [text[at:start], hit[1]]
+            origins += [np.arange(at, start), np.full(len(hit[1]), start)]
+            at = start + hit[0]
+        return np.frombuffer(b"".join([*parts, text[at:]]), np.uint8), np.concatenate([*origins, np.arange(at, len(text))])
+
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its bytes (and its end) the source byte it came from."""
-        if not text:
-            return "", np.zeros(1, np.int64)
-        if self.plain:
-            out = text.replace(" ", SPACE)
-            raw = np.frombuffer(text.encode(), np.uint8)
-            grow = np.where(raw == 32, 3, 1)
-            align = np.repeat(np.arange(len(raw), dtype=np.int64), grow)
-            lead = [np.zeros(3, np.int64)] if self.prefix else []
-            return (SPACE + out if self.prefix else out), np.concatenate([*lead, align, [len(raw)]])
-        raw, steps, at = text.encode(), [], 0
-        while at < len(raw):
-            hit = next(((len(u), u) for u in self.user if raw.startswith(u, at)), None) or self.map.longest(raw, at)
-            if hit is None:
-                n = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
-                hit = (n, raw[at : at + n])
-            steps.append((at, hit[1]))
-            at += hit[0]
-        mark = SPACE.encode() if self.escape else b" "
-        out, align, spaced = bytearray(), [], self.trim
-        if self.trim:
-            while steps and steps[0][1] == b" ":
-                steps.pop(0)
-        if not steps:
-            return "", np.array([len(raw)], np.int64)
-        if self.prefix:
-            out += mark
-            align += [steps[0][0]] * len(mark)
-        for where, piece in steps:
-            while spaced and self.trim and piece.startswith(b" "):
-                piece = piece[1:]
-            if piece:
-                for b in piece:
-                    new = mark if b == 32 else bytes([b])
-                    out += new
-                    align += [where] * len(new)
-                spaced = piece.endswith(b" ")
-        end = len(raw)
-        if self.trim:
-            while out.endswith(mark):
-                end = align[len(out) - len(mark)]
-                del out[-len(mark) :], align[len(out) :]
-        return out.decode(), np.array([*align, end], np.int64)
+        source = np.frombuffer(text.encode(), np.uint8)
+        raw, origin = self._rewritten(source)
+        space = raw == 32
+        if self.trim:  # no spaces at the beginning, and one of a run
+            solid = np.flatnonzero(~space)
+            keep = ~space
+            keep[1:] |= ~space[:-1]
+            keep[: solid[0] if len(solid) else len(raw)] = False
+            raw, origin, space = raw[keep], origin[keep], space[keep]
+        if not len(raw):
+            return "", np.array([len(source)], np.int64)
+        mark = _MARK if self.escape else b" "
+        if self.escape:
+            size = np.where(space, len(mark), 1)
+            first = (np.cumsum(size) - size)[space]
+            raw, origin = np.repeat(raw, size), np.repeat(origin, size)
+            for i, b in enumerate(mark):
+                raw[first + i] = b
+        lead = mark if self.prefix else b""
+        out, align = lead + raw.tobytes(), np.concatenate([np.full(len(lead), origin[0]), origin, [len(source)]])
+        size = len(out)
+        while self.trim and out.endswith(mark, 0, size):  # marks of the text itself too
+            size -= len(mark)
+        return out[:size].decode(), align[: size + 1]
 
     # -- segmentation ------------------------------------------------------------------------------
 
@@ -178,38 +192,52 @@ class PieceCodec:
                 out.append(self.pieces[i].replace(SPACE, " "))
         return "".join(out) + (_bytes_text(run) if run else "")
 
+    def _leading(self, ids) -> int:
+        """How many spaces that a text's decoding begins with go: the prefix, or, if extra white space is removed, one of
+        each piece up to the first that has more."""
+        gone = 0
+        if not (self.prefix or self.trim):
+            return 0
+        for i in ids:
+            if i in self.control:
+                continue
+            if i in self.byte_of or i == self.unknown or not self.pieces[i].startswith(SPACE):
+                break
+            gone += 1
+            if not self.trim or self.pieces[i] != SPACE:
+                break
+        return gone
+
     def decode(self, ids: list[int]) -> str:
-        text = self._surface(ids)
-        first = next((i for i in ids if i not in self.control), None)
-        strips = (self.prefix or self.trim) and first is not None and first not in self.byte_of and self.pieces[first].startswith(SPACE)
-        return text[1:] if strips else text
+        return self._surface(ids)[self._leading(ids) :]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """ids of all texts, where each text's ids end, begins and ends of source spans, decoded texts."""
         normal = [self.normalize(t) for t in texts]
         pooled = self._pool([(self.cut.findall(n) if self.cut else [n]) if n else [] for n, _ in normal])
         ids, begins, ends, decoded = [], [], [], []
-        for (_, align), own in zip(normal, pooled, strict=True):
+        for (plain, align), own in zip(normal, pooled, strict=True):
             size = self.begin[own + 1] - self.begin[own]
             total = int(size.sum())
             before = np.cumsum(size) - size
             flat = self.flat[np.repeat(self.begin[own] - before, size) + np.arange(total)]
             edge = np.concatenate([[0], np.cumsum(self.width[flat], dtype=np.int64)])
             if edge[-1] != len(align) - 1:
-                edge = self._edges(flat, _, len(align) - 1)
+                edge = self._edges(flat, plain, len(align) - 1)
             ids.append(flat)
             begins.append(align[edge[:-1]].astype(np.int32))
             ends.append(align[edge[1:]].astype(np.int32))
             text = "".join(map(self.decoded.__getitem__, own.tolist()))
-            strips = total and (self.prefix or self.trim) and self.pieces[flat[0]].startswith(SPACE)
-            decoded.append(text[1:] if strips else text)
+            decoded.append(text[self._leading(flat) :])
         return np.concatenate([*ids, np.zeros(0, np.int32)]), np.cumsum([len(x) for x in ids], dtype=np.int64), np.concatenate([*begins, np.zeros(0, np.int32)]), np.concatenate([*ends, np.zeros(0, np.int32)]), decoded
 
     def _edges(self, flat: np.ndarray, normal: str, total: int) -> np.ndarray:
         """Piece edges of a text with unknown pieces, whose widths the vocabulary doesn't tell."""
         got = self.segmenter.encode(normal, out_type="immutable_proto").pieces
         edge = np.cumsum([0, *(len(p.surface.encode()) for p in got)])
-        return edge if len(edge) == len(flat) + 1 and edge[-1] == total else np.linspace(0, total, len(flat) + 1).astype(np.int64)
+        if [p.id for p in got] != flat.tolist() or edge[-1] != total:
+            raise RuntimeError("pieces don't cover their text")
+        return edge
 
 
 def _bytes_text(run: bytearray) -> str:
