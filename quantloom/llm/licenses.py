@@ -1,18 +1,19 @@
 """License scans, in DataFrame functions only.
 
-Every line of a file (a header's statement) and the whole of a file are compared with license templates
-by the cosine of sparse TF-IDF vectors; document frequencies of all words that lines and files with an
-anchor have are counted over all files. A line at ``LINE`` or more gives its file that license; a file whose
-whole text is at ``FILE`` or more, or that has a license file's name and a licensed line, is a license
-file and licenses its directory. Other files inherit from the license file in the nearest ancestor
-directory, by joins on directory paths.
+Units of a file are compared with license templates (statements, headers, whole licence texts) by the cosine of
+sparse TF-IDF vectors: every line, every block of lines between blank ones (a notice that is wrapped over several
+lines), and the whole file. Document frequencies of all words are counted over all files. A line or block at
+``LINE`` or more gives its file that license; a file whose whole text is at ``FILE`` or more, or that has a license
+file's name and a licensed line or block, is a license file and licenses its directory. Other files inherit from
+the license file in the nearest ancestor directory, by joins on directory paths.
 
 A text can reach a threshold only if it has one of a template's anchors, words without which too little
-of the template is left, the heaviest first; lines without an anchor are put aside before any word is counted.
+of the template is left, the heaviest first; units without an anchor are put aside before any vector is made.
 
 Defined results: null texts are empty and have no license of their own; empty paths lie in the root; rows
-of one path are one file with all their lines; the best license is the one with the highest cosine, then
-the first by name. Only the named columns are read.
+of one path are one file with all their units; the best license is the one with the highest cosine, then
+the first by name; very long texts are taken whole; an empty table gives an empty result. Only the named columns
+are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -38,10 +39,36 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    # Headers.
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    # Tags.
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    # Whole licence texts.
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 LINE, FILE = 0.8, 0.6
-#: For the SQL only, which takes a word that no template has to be in this share of all documents.
-OTHER = 0.01
+#: What is between blocks of lines.
+BLANK = r"\n[ \t\r]*\n"
 #: Paths of files with an anchor up to this many are broadcast; more are shuffled.
 BROADCAST_PATHS = 1_000_000
 NAMES = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$"
@@ -81,12 +108,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def word_weights(rows: DataFrame, n: int, units: DataFrame) -> DataFrame:
-    """(word, idf) of all words of the units, rows of words ``w``, by their counts over the ``n`` rows with a ``text``."""
-    known = units.select(F.explode("w").alias("word")).distinct()
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, df): how many of the rows with a ``text`` have each word."""
     met = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    df = met.groupBy("word").agg(F.count("*").alias("df")).join(known, "word", "left_semi")  # a common word is one row
-    return materialize(df.select("word", F.round(F.log((1 + n) / (1 + F.col("df"))) + 1, 9).alias("idf")))
+    return materialize(met.groupBy("word").agg(F.count("*").alias("df")))
+
+
+def word_weights(counts: DataFrame, n: int, units: DataFrame) -> DataFrame:
+    """(word, idf) of all words of the units, rows of words ``w``, by their counts over ``n`` rows."""
+    known = units.select(F.explode("w").alias("word")).distinct()
+    met = counts.join(known, "word", "left_semi")
+    return materialize(met.select("word", F.round(F.log((1 + n) / (1 + F.col("df"))) + 1, 9).alias("idf")))
 
 
 def cosines(units: DataFrame, by: list[str], weights: Weights, idf: DataFrame) -> DataFrame:
@@ -109,19 +141,19 @@ def parent(path: Column) -> Column:
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(path, license, score, effective, origin, inherited_from) of every distinct path."""
     templates = templates or TEMPLATES
-    met = F.array_intersect(words(F.col(text)), F.array(*[F.lit(w) for w in vocabulary(templates)]))
-    df = files.select(F.explode(met).alias("word")).groupBy("word").count().collect()  # the templates' words
-    n = files.count()
-    weights = Weights(templates, {r["word"]: r["count"] for r in df}, n)
-    anchors = F.array(*[F.lit(a) for a in weights.anchors])
     rows = files.select(F.coalesce(F.col(path), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = rows.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("path", "line_no", words(F.col("line")).alias("w"))
-    # Equal lines of a path are one unit, whatever row they are from.
-    lines = materialize(lines.where(F.arrays_overlap("w", anchors)).groupBy("path", "w").agg(F.min("line_no").alias("line_no")))
+    counts, n = word_counts(rows), files.count()
+    df = counts.where(F.col("word").isin(vocabulary(templates))).collect()  # the templates' words
+    weights = Weights(templates, {r["word"]: r["df"] for r in df}, n)
+    anchors = F.array(*[F.lit(a) for a in weights.anchors])
+    found = F.explode(F.concat(F.split("text", "\n"), F.split("text", BLANK)))
+    lines = rows.select("path", found.alias("line")).select("path", words(F.col("line")).alias("w"))
+    # Equal units of a path are one, whatever row they are from, as are a line and a block of that line.
+    lines = materialize(lines.where(F.arrays_overlap("w", anchors)).select("path", "w").distinct())
     met = materialize(lines.select("path").distinct())
     met = F.broadcast(met) if met.count() <= BROADCAST_PATHS else met
     suspects = materialize(rows.join(met, "path", "left_semi").select("path", words(F.col("text")).alias("w")))
-    idf = word_weights(rows, n, suspects)  # a file has its lines' words
+    idf = word_weights(counts, n, suspects)  # a file has its units' words
     own = cosines(lines.withColumn("unit", F.xxhash64("w")), ["path", "unit"], weights, idf).where(F.col("score") >= LINE)
     best = F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"))).alias("best")
     own = materialize(own.groupBy("path").agg(best).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")))
@@ -172,7 +204,7 @@ def sql(templates: list[tuple[str, str]] | None = None) -> str:
         keys = ", ".join(f"d.{k}" for k in by.split(", "))
         on = " AND ".join(f"d.{k} = s.{k}" for k in by.split(", "))
         return f"""(WITH t AS (SELECT {by}, word, count(*) AS tf FROM (SELECT {by}, unnest(w) AS word FROM {units}) GROUP BY {by}, word),
-  x AS (SELECT t.*, tf * coalesce(idf, (SELECT round(ln((1 + n) / (1 + {OTHER} * n)) + 1, 9) FROM total)) AS x FROM t LEFT JOIN idf ON t.word = idf.word),
+  x AS (SELECT t.*, tf * round(ln((1 + n) / (1 + df)) + 1, 9) AS x FROM t JOIN seen ON t.word = seen.word, total),
   s AS (SELECT {by}, sqrt(sum(x * x)) AS length FROM x GROUP BY {by}),
   d AS (SELECT {by}, template, license, norm, sum(x * y) AS dot FROM x JOIN vec ON x.word = vec.word GROUP BY {by}, template, license, norm)
   SELECT {keys}, license, round(dot / (norm * length), 6) AS score FROM d JOIN s ON {on})"""
@@ -184,7 +216,7 @@ idf AS (SELECT r.word AS word, round(ln((1 + n) / (1 + coalesce(df, 0))) + 1, 9)
 vec AS (SELECT template, license, raw.word AS word, tf * idf AS y, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM raw JOIN idf ON raw.word = idf.word),
 f AS (SELECT coalesce(CAST(source AS VARCHAR), 'unknown') || '/' || coalesce(CAST(lang AS VARCHAR), 'unknown') || '/' ||
   coalesce(CAST(CAST(floor(doc_id / {PER_DIRECTORY}) AS BIGINT) AS VARCHAR), 'unknown') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'unknown') AS path, coalesce(text, '') AS text FROM documents),
-l AS (SELECT DISTINCT path, regexp_extract_all(lower(line), {part}) AS w FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f)),
+l AS (SELECT DISTINCT path, regexp_extract_all(lower(line), {part}) AS w FROM (SELECT path, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{BLANK}'))) AS line FROM f)),
 lu AS (SELECT path, w, row_number() OVER () AS unit FROM l WHERE len(w) > 0),
 wu AS (SELECT path, regexp_extract_all(lower(text), {part}) AS w FROM f),
 ls AS {cosine("lu", "path, unit")},
