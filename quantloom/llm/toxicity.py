@@ -105,35 +105,54 @@ def screened(seen: np.ndarray, base: np.ndarray, n_positive: int, n_unlabelled:
     return (seen >= min(LEAST, max(1, n_positive // 4))) & (np.abs(z) >= Z)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+class Sparse:
+    """0/1 rows by the places of their ones, and what the risk needs of them."""
+
+    def __init__(self, docs: list[np.ndarray], width: int):
+        self.row, self.n, self.width = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), len(docs), width
+        self.place = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def margin(self, w: np.ndarray) -> np.ndarray:
+        return w[-1] + np.bincount(self.row, w[self.place], self.n)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """Gradient by weights and bias of a sum whose gradient by margins is ``g``."""
+        return np.append(np.bincount(self.place, g[self.row], self.width), g.sum())
+
+
+def risk(w: np.ndarray, p: Sparse, u: Sparse, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk ``prior R+(P) + max(0, R-(U) - prior R-(P))`` with logistic loss, and its gradient: what
+    the corrected part has of it vanishes where that part is negative."""
+    zp, zu = p.margin(w), u.margin(w)
+    value, grad = prior * np.logaddexp(0, -zp).mean(), prior * p.back((sigmoid(zp) - 1) / p.n)
+    corrected = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if corrected >= 0:
+        value += corrected
+        grad += u.back(sigmoid(zu) / u.n) - prior * p.back(sigmoid(zp) / p.n)
+    return float(value), grad
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], used: np.ndarray, prior: float) -> Model:
     """Minimise the non-negative risk over all rows by Adam; rows hold places in ``used``.
 
     In the end the bias is set so that the unlabelled documents' mean score is the class prior.
     """
-
-    def sparse(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        return np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), len(docs)
-
-    p, u = sparse(positive), sparse(unlabelled)
+    p, u = Sparse(positive, len(used)), Sparse(unlabelled, len(used))
     w = np.zeros(len(used) + 1)
     w[-1] = np.log(prior / (1 - prior))
     mean, power = np.zeros_like(w), np.zeros_like(w)
-    margin = lambda x: w[-1] + np.bincount(x[0], w[x[1]], x[2])
-    back = lambda x, g: np.append(np.bincount(x[1], g[x[0]], len(used)), g.sum())
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     average = np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        zp, zu = margin(p), margin(u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        corrected = back(u, sigmoid(zu) / u[2]) - prior * back(p, sigmoid(zp) / p[2])
-        grad = prior * back(p, (sigmoid(zp) - 1) / p[2])
-        if negative >= 0:
-            grad += corrected
+        _, grad = risk(w, p, u, prior)
         grad[:-1] += DECAY * w[:-1]
         mean, power = 0.9 * mean + 0.1 * grad, 0.999 * power + 0.001 * grad**2
         w = w - RATE * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(power / (1 - 0.999**step)) + 1e-8)
         average += w * (2 * step > STEPS) / (STEPS // 2)
-    bare = np.bincount(u[0], average[:-1][u[1]], u[2])
+    bare = u.margin(np.append(average[:-1], 0.0))
     low, high = -60.0, 60.0
     for _ in range(60):
         bias = (low + high) / 2
