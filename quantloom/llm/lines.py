@@ -470,6 +470,8 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
 
         def shared(order):
             """Of rows in order of tokens those that share theirs."""
+            if not len(order):
+                return order
             same = columns[0][order[1:]] == columns[0][order[:-1]]
             return order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
 
