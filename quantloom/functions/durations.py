@@ -1,4 +1,4 @@
-"""Durations such as "1d", "5min" or "1d12h": units y, m (month), d, h, min, s."""
+"""Durations such as "1d", "5min" or "1d12h": units y, m (month), d, h, min, s; and steps that dates are cut to."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import calendar
 import re
 from datetime import datetime, timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 PART = r"(\d+)(y|min|m|d|h|s)"
 #: How many of a unit make one of the next.
 CARRY = (("s", 60), ("min", 60), ("h", 24), ("d", 30), ("m", 12))
@@ -53,3 +56,29 @@ def bar_frequency(width: timedelta) -> str | None:
     """The aggregation step that suits bars of a width."""
     seconds = width.total_seconds()
     return next((step for low, high, step in STEPS if low <= seconds < high), None)
+
+
+#: Seconds of the units of a step, and months of those that have no fixed length.
+STEP_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+STEP_MONTHS = {"mo": 1, "q": 3, "y": 12}
+
+
+def truncated(date: Column, step: str) -> Column:
+    """The start of the step that a date lies in: "30s", "5m" (minutes), "1h", "5d", "1w" (from Mondays), "1mo",
+    "1q", "1y", counted from the beginning of 1970."""
+    met = re.fullmatch(r"(\d+)(mo|[smhdwqy])", step)
+    if not met or not int(met[1]):
+        raise ValueError(f"not a step: {step!r}")
+    n, unit = int(met[1]), met[2]
+    when = date.cast("timestamp")
+    if unit in STEP_MONTHS:
+        months = (F.year(when) - 1970) * 12 + F.month(when) - 1
+        size = n * STEP_MONTHS[unit]
+        return F.add_months(F.lit("1970-01-01").cast("date"), (F.floor(months / size) * size).cast("int")).cast("timestamp")
+    size, offset = n * STEP_SECONDS[unit], 3 * 86400 if unit == "w" else 0
+    return F.timestamp_seconds(F.floor((F.unix_timestamp(when) + offset) / size) * size - offset)
+
+
+def aggregated(date: Column, step: str | None) -> Column:
+    """``truncated``, with the months of the calendar for the step "20d" that daily bars have."""
+    return F.date_trunc("month", date) if step == "20d" else truncated(date, step)

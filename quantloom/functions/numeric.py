@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -88,6 +90,23 @@ def correlation(x: Column, y: Column) -> Column:
     return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def student_p_value(t: Column, freedom: Column) -> Column:
+    """Two-sided p of Student's t for whole degrees of freedom, by the finite series of its distribution; null below 1."""
+    angle = F.atan(F.abs(t) / F.sqrt(freedom))
+    square, odd = F.pow(F.cos(angle), F.lit(2.0)), freedom % 2 == 1
+    # Terms of the series: each is the one before times cos^2 and a ratio of neighbours, odd over even or even over odd.
+    last = F.floor((freedom - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    start = F.struct(F.lit(1.0).alias("total"), F.lit(1.0).alias("term"))
+
+    def add(so_far: Column, i: Column) -> Column:
+        share = F.when(odd, 2.0 * i / (2.0 * i + 1)).otherwise((2.0 * i - 1) / (2.0 * i))
+        return F.struct((so_far["total"] + so_far["term"] * share * square).alias("total"), (so_far["term"] * share * square).alias("term"))
+
+    series = F.when(last < 0, 0.0).otherwise(F.aggregate(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), start, add)["total"])
+    inside = F.when(odd, 2 / math.pi * (angle + F.sin(angle) * F.cos(angle) * series)).otherwise(F.sin(angle) * series)
+    return F.when((freedom >= 1) & t.isNotNull() & ~F.isnan(t), F.greatest(1 - inside, F.lit(0.0)))
+
+
 # The same expressions as DuckDB SQL, for oracles.
 
 

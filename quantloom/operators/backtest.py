@@ -3,19 +3,24 @@
 Everything derives from one lazy table of holdings. Membership and bin are fixed when an epoch starts;
 weights then drift with returns. At the next epoch's start the old portfolio is closed out at its drifted
 weights, and the difference to the new one is traded.
+
+Bins and returns don't depend on the rebalance period: they are worked out once (``Cells``), kept, and shared by
+all periods of a study, as is the date dimension by all that follows from it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.durations import aggregated, bar_frequency
 from ..functions.numeric import ratio
-from ..panel import PanelSpec, lag_factor, require
+from ..panel import PanelSpec, bar_seconds, lag_factor, require, with_industry
 from .calendar import epochs
 
 
@@ -53,83 +58,106 @@ class AnalysisConfig:
     rank_ic: bool = True
     log_scale: bool = False
     agg_freq: str | None = None
-    group_by: dict | None = field(default=None, hash=False)
+    #: symbol -> industry: a mapping, or a DataFrame of these two columns.
+    group_by: object | None = field(default=None, hash=False)
 
 
-def price_returns(df: DataFrame, spec: PanelSpec, bars: int = 1) -> DataFrame:
+def price_returns(df: DataFrame, spec: PanelSpec, bars: int = 1, history: WindowSpec | None = None) -> DataFrame:
     """``price_fut`` and ``fut_ret``: price and return ``bars`` rows of the symbol later.
 
     Zero prices are unknown, and so is a loss of everything.
     """
     p = F.col(spec.price)
-    out = df.withColumn("price_fut", F.lead(p, bars).over(spec.history()))
+    out = df.withColumn("price_fut", F.lead(p, bars).over(history or spec.history()))
     out = out.withColumns({spec.price: F.when(p != 0, p), "price_fut": F.when(F.col("price_fut") != 0, F.col("price_fut"))})
     r = F.col("price_fut") / F.col(spec.price) - 1
     return out.withColumn("fut_ret", F.when(r != -1, r))
 
 
-def binned(df: DataFrame, spec: PanelSpec, bins: int) -> DataFrame:
-    """``quantile`` 1 (lowest factors) to ``bins``; rows without a factor take up places, then go."""
+def bin_of(spec: PanelSpec, bins: int) -> Column:
+    """1 (lowest factors) to ``bins``, by place among all rows of the date; symbols break ties."""
     day = spec.cross_section()
     at = F.row_number().over(day.orderBy(F.col(spec.factor).asc_nulls_first(), spec.symbol)) - 1
-    q = F.floor(at * bins / F.count(F.lit(1)).over(day)) + 1
-    return df.withColumn("quantile", F.least(q, F.lit(bins)).cast("int")).where(F.col(spec.factor).isNotNull())
+    return F.least(F.floor(at * bins / F.count(F.lit(1)).over(day)) + 1, F.lit(bins)).cast("int")
+
+
+def binned(df: DataFrame, spec: PanelSpec, bins: int) -> DataFrame:
+    """``quantile`` 1 (lowest factors) to ``bins``; rows without a factor take up places, then go."""
+    return df.withColumn("quantile", bin_of(spec, bins)).where(F.col(spec.factor).isNotNull())
+
+
+class Cells:
+    """(dt, symbol, quantile, ret, live) of a whole panel, kept once worked out: a row that is ``live`` has a bin
+    and a next price, so that a position can be held over it."""
 
+    def __init__(self, df: DataFrame, spec: PanelSpec, config: ResearchConfig):
+        panel = lag_factor(df, spec, config.fac_shift)
+        known = F.col(spec.factor).isNotNull()
+        rows = panel.select(spec.date, spec.symbol, spec.price, spec.factor).withColumn("quantile", bin_of(spec, config.bins)).withColumn("__known", known)
+        # Prices of rows without a factor are not seen, as if the rows weren't there.
+        rows = price_returns(rows, spec, 1, Window.partitionBy(spec.symbol, "__known").orderBy(spec.date))
+        live = F.col("__known") & F.col("price_fut").isNotNull()
+        self.all = rows.select(F.col(spec.date).alias("dt"), F.col(spec.symbol).alias("symbol"), "quantile", F.col("fut_ret").alias("ret"), live.alias("live")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = self.all.where("live").drop("live")
 
-def industry_of(symbol: str, group_by: dict) -> Column:
-    """A symbol's group, ``Unlabeled`` if it has none."""
-    pairs = [F.lit(x) for item in group_by.items() for x in item]
-    return F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*pairs), lambda k, _: k == F.col(symbol))), F.lit(0)), F.lit("Unlabeled")) if pairs else F.lit("Unlabeled")
+    def close(self) -> None:
+        self.all.unpersist()
 
 
 class Backtest:
     """One rebalance period of one panel.
 
-    Holdings are kept (in memory, or on disk where that is full) once they are first worked out, since
-    trades, returns, statistics and traces all derive from them; ``close`` lets them go.
+    Cells, dates, holdings and trades are kept (in memory, or on disk where that is full) once they are first
+    worked out, since returns, statistics and traces all derive from them; ``close`` lets them go.
     """
 
-    def __init__(self, df: DataFrame, spec: PanelSpec, period: int | str, config: ResearchConfig | None = None, analysis: AnalysisConfig | None = None):
+    def __init__(self, df: DataFrame, spec: PanelSpec, period: int | str, config: ResearchConfig | None = None, analysis: AnalysisConfig | None = None, cells: Cells | None = None):
         require(df, spec.date, spec.symbol, spec.price, spec.factor)
         self.config, self.analysis, self.period = config or ResearchConfig(), analysis or AnalysisConfig(), period
-        self.spec = spec
-        self.panel = lag_factor(df, spec, self.config.fac_shift)
+        self.spec, self._kept = spec, []
+        self._own_cells = cells is None
+        self.cells = cells or Cells(df, spec, self.config)
 
-    @cached_property
+    @property
     def base(self) -> DataFrame:
         """(dt, symbol, quantile, ret) of every bar that a position can be held over."""
-        s = self.spec
-        rows = price_returns(binned(self.panel, s, self.config.bins), s).where(F.col("price_fut").isNotNull())
-        return rows.select(F.col(s.date).alias("dt"), F.col(s.symbol).alias("symbol"), "quantile", F.col("fut_ret").alias("ret"))
+        return self.cells.rows
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def close(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+        if self._own_cells:
+            self.cells.close()
 
     @cached_property
     def epochs(self) -> DataFrame:
-        return epochs(self.base.select("dt"), "dt", self.period)
+        return self._keep(epochs(self.base.select("dt"), "dt", self.period))
 
     @cached_property
     def weights(self) -> DataFrame:
         """(dt, g, quantile, symbol, w, ret, closing): drifting weights; ``closing`` rows are an old epoch's
         at the start of the next."""
-        dim = F.broadcast(self.epochs.where("g >= 0"))
+        dim = self.epochs.where("g >= 0")  # dates: adaptive execution broadcasts them where they are few
         facts = self.base.join(dim, "dt")
         held = facts.where("rebalance").select("symbol", "g", "quantile")
         held = held.withColumn("w0", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("g", "quantile")))
         # Every member on every date of its epoch, whether it traded or not.
-        full = held.join(F.broadcast(self.epochs.where("g >= 0").select("dt", "g")), "g")
+        full = held.join(dim.select("dt", "g"), "g")
         full = full.join(facts.select("dt", "symbol", "ret"), ["dt", "symbol"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
         path = Window.partitionBy("symbol", "g").orderBy("dt")
         full = full.withColumn("grown", F.product(1 + F.col("ret")).over(path.rowsBetween(Window.unboundedPreceding, 0)))
         full = full.withColumn("raw", F.col("w0") * F.coalesce(F.lag("grown").over(path), F.lit(1.0)))
         ends = self.epochs.where("g >= 0").groupBy("g").agg(F.max("dt").alias("last"), F.min("dt").alias("first"))
         ends = ends.select("g", "last", F.lead("first").over(Window.orderBy("g")).alias("next_first"))
-        closing = full.join(F.broadcast(ends), "g").where((F.col("dt") == F.col("last")) & F.col("next_first").isNotNull())
+        closing = full.join(ends, "g").where((F.col("dt") == F.col("last")) & F.col("next_first").isNotNull())
         closing = closing.select(F.col("next_first").alias("dt"), "g", "quantile", "symbol", (F.col("w0") * F.col("grown")).alias("raw"), F.lit(None).cast("double").alias("ret"), F.lit(True).alias("closing"))
         out = full.select("dt", "g", "quantile", "symbol", "raw", "ret", F.lit(False).alias("closing")).unionByName(closing)
-        return out.withColumn("w", ratio(F.col("raw"), F.sum("raw").over(Window.partitionBy("dt", "quantile", "closing")))).select("dt", "g", "quantile", "symbol", "w", "ret", "closing").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def close(self) -> None:
-        if "weights" in self.__dict__:
-            self.weights.unpersist()
+        share = ratio(F.col("raw"), F.sum("raw").over(Window.partitionBy("dt", "quantile", "closing")))
+        return self._keep(out.withColumn("w", share).select("dt", "g", "quantile", "symbol", "w", "ret", "closing"))
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -138,7 +166,7 @@ class Backtest:
         A bin that has only an old or only a new portfolio isn't traded."""
         fee_buy, fee_sell = self.config.fees()
         first = self.epochs.where("rebalance and g >= 0")
-        new = self.weights.where("not closing").join(F.broadcast(first.select("dt", F.col("g").alias("g0"))), "dt").where("g = g0")
+        new = self.weights.where("not closing").join(first.select("dt", F.col("g").alias("g0")), "dt").where("g = g0")
         new = new.select("dt", "quantile", "symbol", F.col("g").alias("g_new"), F.col("w").alias("w_new"))
         old = self.weights.where("closing").select("dt", "quantile", "symbol", F.col("g").alias("g_old"), F.col("w").alias("w_old"))
         both = new.join(old, ["dt", "quantile", "symbol"], "full_outer")
@@ -149,7 +177,7 @@ class Backtest:
         buy = F.when(start, F.col("w_new")).when(paired & (change > 0), change).otherwise(0.0)
         sell = F.when(~F.coalesce(start, F.lit(False)) & paired & (change < 0), -change).otherwise(0.0)
         out = both.select("dt", "quantile", "symbol", F.coalesce("g_new", "g_old").alias("g"), buy.alias("buy"), sell.alias("sell"))
-        return out.withColumns({"turnover": F.col("buy") + F.col("sell"), "cost": F.col("buy") * fee_buy + F.col("sell") * fee_sell})
+        return self._keep(out.withColumns({"turnover": F.col("buy") + F.col("sell"), "cost": F.col("buy") * fee_buy + F.col("sell") * fee_sell}))
 
     def _wide(self, long: DataFrame, values: list[str]) -> DataFrame:
         """One column ``value_bin`` for each value and bin."""
@@ -198,8 +226,8 @@ class Backtest:
     @cached_property
     def stats(self) -> DataFrame:
         """A row of statistics for each leg."""
-        s, rate = self.spec, self.config.base_rate
-        days = self.panel.agg((F.unix_timestamp(F.max(s.date).cast("timestamp")) - F.unix_timestamp(F.min(s.date).cast("timestamp"))).alias("secs")).select((F.col("secs") / 86400.0).alias("days"))
+        rate, second = self.config.base_rate, lambda f: F.unix_timestamp(f("dt").cast("timestamp"))
+        days = self.cells.all.agg(((second(F.max) - second(F.min)) / 86400.0).alias("days"))
         legs = lambda df, at: df.select("dt", F.explode(F.array(*[F.struct(F.lit(leg).alias("leg"), F.col(names[at]).alias("r")) for leg, names in self.legs.items()])).alias("x")).select("dt", "x.leg", "x.r")
         so_far = Window.partitionBy("leg").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
         path = legs(self.series, 0).withColumn("nv", F.product(1 + F.col("r")).over(so_far))
@@ -224,7 +252,7 @@ class Backtest:
         """Mean daily net return of the outer bins by industry, and their difference."""
         b = self.config.bins
         labelled = self.weights.join(self.trades.select("dt", "quantile", "symbol", "g", "cost"), ["dt", "quantile", "symbol", "g"], "left").where(F.col("quantile").isin(1, b))
-        labelled = labelled.withColumn("industry", industry_of("symbol", self.analysis.group_by or {}))
+        labelled = with_industry(labelled, "symbol", self.analysis.group_by)
         r, cost = F.coalesce(F.sum(F.col("w") * F.col("ret")), F.lit(0.0)), F.coalesce(F.sum("cost"), F.lit(0.0))
         daily = labelled.groupBy("dt", "industry", "quantile").agg((r - cost).alias("long"), (-r - cost).alias("short"))
         mean = daily.groupBy("industry", "quantile").agg(F.avg("long").alias("long"), F.avg("short").alias("short"))
@@ -237,6 +265,18 @@ class Backtest:
         when = F.date_trunc(freq, F.coalesce("realised", "dt")).cast("date").alias("period")
         return self.series.groupBy(when).agg(*[(F.product(1 + F.col(r)) - 1).alias(f"{leg}_return") for leg, (r, _) in self.legs.items()])
 
+    def stepped(self) -> DataFrame:
+        """Compounded returns of the legs by the configured step, or by the one that suits the bars.
+
+        Steps are those of the date a return is realised; bars of a year or more have none, and no rows."""
+        step = self.analysis.agg_freq
+        if not step:
+            width = bar_seconds(self.cells.all, PanelSpec("dt", "symbol", "ret", "quantile"))
+            step = bar_frequency(timedelta(seconds=width)) if width else None
+        rows = self.series if step and (self.analysis.agg_freq or step != "1y") else self.series.where(F.lit(False))
+        when = aggregated(F.coalesce("realised", "dt"), step or "1y").alias("agg_date")
+        return rows.groupBy(when).agg(*[(F.product(1 + F.col(r)) - 1).alias(f"{leg}_return") for leg, (r, _) in self.legs.items()])
+
     def calendar(self, leg: str = "l") -> DataFrame:
         """Year by month: the leg's compounded return beyond the long-short one; months without data are 0."""
         r, _ = self.legs[leg]

@@ -1,9 +1,10 @@
 """Neutralizers: fifteen ways to take known exposures out of a factor, date by date.
 
 Rows with a null in the factor or in a regressor are left out, as the fit can't use them. Linear fits are
-windows over the date: regressors are made orthogonal to each other one after the other, and the factor
-to all of them, so any number of them needs one exchange. Ridge needs no more than windows for one or two
-regressors. Other fits run numpy on one date's rows at a time.
+windows over the date for a few regressors: they are made orthogonal to each other one after the other, and the
+factor to all of them, in one exchange. Many regressors (categories), and all fits that need but means and
+covariances (ridge, lasso, elastic net, Bayesian ridge, principal and independent components), aggregate moments by
+date and solve those. The other fits run numpy on one date's rows at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank, ratio
 from ..panel import PanelSpec, require
-from . import regress
+from . import moments, regress
 
 #: A regressor that keeps less than this share of its variance once others are taken out adds nothing.
 DEPENDENT = 1e-12
@@ -31,7 +32,7 @@ def prepare(df: DataFrame, spec: PanelSpec, neutralizer_cols: list[str], dummy_c
     dummies = list(dummy_cols or [])
     require(df, spec.date, spec.symbol, spec.factor, *neutralizer_cols, *dummies)
     value = {f"__x{i}": F.col(c).cast("double") for i, c in enumerate(neutralizer_cols)}
-    out = df.withColumns(value) if value else df
+    out, known = (df.withColumns(value) if value else df), [spec.factor, *value]
     if scale_X and value:
         stats = df.agg(*[f(F.col(c)).alias(f"{n}_{x}") for x, c in zip(value, neutralizer_cols, strict=True) for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
         out = out.withColumns({x: (F.col(x) - stats[f"mean_{x}"]) / (stats[f"std_{x}"] or 1.0) for x in value if stats[f"mean_{x}"] is not None})
@@ -40,7 +41,7 @@ def prepare(df: DataFrame, spec: PanelSpec, neutralizer_cols: list[str], dummy_c
         new = {f"__x{len(value) + i}": F.when(F.col(c) == level, 1.0).otherwise(0.0) for i, level in enumerate(levels[1:])}
         value |= new
         out = out.withColumns(new) if new else out
-    return out.dropna(subset=[spec.factor, *value]), list(value)
+    return out.dropna(subset=known), list(value)
 
 
 def _less(df: DataFrame, spec: PanelSpec, target: str, column: str, intercept: bool) -> Column:
@@ -72,7 +73,20 @@ def _clean(out: DataFrame, df: DataFrame) -> DataFrame:
 def multiOLS(df: DataFrame, spec: PanelSpec, neutralizer_cols: list[str], dummy_cols=None, scale_X: bool = False) -> DataFrame:
     """Residual of ordinary least squares with intercept; without regressors, the factor less its mean."""
     rows, x = prepare(df, spec, neutralizer_cols, dummy_cols, scale_X)
-    return _clean(orthogonal_residual(rows, spec, x), df)
+    return _clean(_least_squares(rows, spec, x), df)
+
+
+def _least_squares(rows: DataFrame, spec: PanelSpec, x: list[str]) -> DataFrame:
+    """Windows chain a pass for each regressor; beyond a few, moments are one pass for all."""
+    return orthogonal_residual(rows, spec, x) if len(x) <= moments.FEW else moments.residuals(rows, spec, x, moments.ols)
+
+
+def _solved(df: DataFrame, spec: PanelSpec, neutralizer_cols, dummy_cols, scale_X, solve, keep_mean: bool = False, **parameters) -> DataFrame:
+    """Residuals by moments; the frame has ``__coef_mean`` besides the columns of ``df``."""
+    rows, x = prepare(df, spec, neutralizer_cols, dummy_cols, scale_X)
+    if not x:
+        return orthogonal_residual(rows, spec, []).withColumn("__coef_mean", F.lit(None).cast("double"))
+    return moments.residuals(rows, spec, x, partial(solve, **parameters), keep_mean)
 
 
 def _fitted(df: DataFrame, spec: PanelSpec, neutralizer_cols, dummy_cols, scale_X, fit, **parameters) -> DataFrame:
@@ -84,33 +98,17 @@ def _fitted(df: DataFrame, spec: PanelSpec, neutralizer_cols, dummy_cols, scale_
 
 def ridge(df: DataFrame, spec: PanelSpec, neutralizer_cols: list[str], dummy_cols=None, scale_X: bool = False, alpha: float = 1.0) -> DataFrame:
     """Residual of ridge regression, intercept unpenalised."""
-    rows, x = prepare(df, spec, neutralizer_cols, dummy_cols, scale_X)
-    if len(x) > 2:
-        return _clean(regress.residuals(rows, spec, x, partial(regress.ridge, alpha=alpha)), df)
-    day = spec.cross_section()
-    out = rows.withColumns({c: F.col(c) - F.avg(c).over(day) for c in [spec.factor, *x]})
-    dot = lambda a, b: F.sum(F.col(a) * F.col(b)).over(day)
-    y = spec.factor
-    if len(x) == 1:
-        out = out.withColumn(y, F.col(y) - dot(x[0], y) / (dot(x[0], x[0]) + alpha) * F.col(x[0]))
-    elif len(x) == 2:
-        a, b = x
-        out = out.withColumns({"__aa": dot(a, a) + alpha, "__bb": dot(b, b) + alpha, "__ab": dot(a, b), "__ay": dot(a, y), "__by": dot(b, y)})
-        out = out.withColumn("__det", F.col("__aa") * F.col("__bb") - F.col("__ab") * F.col("__ab"))
-        beta_a = ratio(F.col("__ay") * F.col("__bb") - F.col("__by") * F.col("__ab"), F.col("__det"))
-        beta_b = ratio(F.col("__by") * F.col("__aa") - F.col("__ay") * F.col("__ab"), F.col("__det"))
-        out = out.withColumn(y, F.col(y) - F.coalesce(beta_a, F.lit(0.0)) * F.col(a) - F.coalesce(beta_b, F.lit(0.0)) * F.col(b))
-    return _clean(out, df)
+    return _clean(_solved(df, spec, neutralizer_cols, dummy_cols, scale_X, moments.ridge, alpha=alpha), df)
 
 
 def lasso(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, alpha=0.01, max_iter=1000) -> DataFrame:
     """Residual of L1-penalised least squares."""
-    return _fitted(df, spec, neutralizer_cols, dummy_cols, scale_X, regress.lasso, alpha=alpha, max_iter=max_iter)
+    return _clean(_solved(df, spec, neutralizer_cols, dummy_cols, scale_X, moments.lasso, alpha=alpha, max_iter=max_iter), df)
 
 
 def elasticnet(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, alpha=1.0, l1_ratio=0.5, max_iter=300) -> DataFrame:
     """Residual of least squares with both penalties."""
-    return _fitted(df, spec, neutralizer_cols, dummy_cols, scale_X, regress.elastic_net, alpha=alpha, l1_ratio=l1_ratio, max_iter=max_iter)
+    return _clean(_solved(df, spec, neutralizer_cols, dummy_cols, scale_X, moments.elastic_net, alpha=alpha, l1_ratio=l1_ratio, max_iter=max_iter), df)
 
 
 def polynomial(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, degree: int = 2) -> DataFrame:
@@ -124,7 +122,7 @@ def polynomial(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, degre
             value = value * F.col(c)
         made[f"__p{i}"] = value
     out = rows.withColumns(made) if made else rows
-    return _clean(orthogonal_residual(out, spec, list(made)), df)
+    return _clean(_least_squares(out, spec, list(made)), df)
 
 
 def kernelridge(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, kernel="rbf", alpha=1.0, gamma=None, degree=3, coef0=1.0) -> DataFrame:
@@ -158,18 +156,28 @@ def GBDT(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, n_estimator
 
 
 def PCA(df, spec, neutralizer_cols, dummy_cols=None, scale_X=True, n_components=10) -> DataFrame:
-    """Residual on leading principal components, without intercept."""
-    return _fitted(df, spec, neutralizer_cols, dummy_cols, scale_X, regress.pca, n_components=n_components)
+    """Residual on leading principal components, without intercept: the factor's mean stays."""
+    return _clean(_solved(df, spec, neutralizer_cols, dummy_cols, scale_X, moments.pca, keep_mean=True, n_components=n_components), df)
 
 
-def ICA(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, max_iter=200) -> DataFrame:
-    """Residual on independent components, with intercept."""
-    return _fitted(df, spec, neutralizer_cols, dummy_cols, scale_X, regress.ica, max_iter=max_iter)
+def ICA(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, max_iter=200, return_components: bool = False) -> DataFrame:
+    """Residual on independent components, with intercept.
+
+    As many components as regressors span what the regressors span, so the residual is that of least squares,
+    and the components themselves are searched for only with ``return_components``, as columns ``ICA_1``, ``ICA_2``
+    and so on (null where a date's regressors have fewer dimensions)."""
+    rows, x = prepare(df, spec, neutralizer_cols, dummy_cols, scale_X)
+    if not return_components or not x:
+        return _clean(_least_squares(rows, spec, x), df)
+    names = [f"ICA_{i + 1}" for i in range(len(x))]
+    kept = regress.components(rows, spec, x, names, partial(regress.independent, max_iter=max_iter))
+    return _least_squares(kept, spec, x).select(*df.columns, *names)
 
 
-def bayesianridge(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, max_iter=300) -> DataFrame:
-    """Residual of Bayesian ridge regression."""
-    return _fitted(df, spec, neutralizer_cols, dummy_cols, scale_X, regress.bayesian_ridge, max_iter=max_iter)
+def bayesianridge(df, spec, neutralizer_cols, dummy_cols=None, scale_X=False, max_iter=300, return_coef: bool = False) -> DataFrame:
+    """Residual of Bayesian ridge regression; ``return_coef`` adds ``coef_mean``, the mean of a date's coefficients."""
+    out = _solved(df, spec, neutralizer_cols, dummy_cols, scale_X, moments.bayesian_ridge, max_iter=max_iter)
+    return out.select(*df.columns, *([F.col("__coef_mean").alias("coef_mean")] if return_coef else []))
 
 
 def partialcorrelation(df: DataFrame, spec: PanelSpec, neutralizer_cols: list[str], dummy_cols=None, scale_X: bool = False, target_col: str | None = None, method: str = "pearson") -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..panel import PanelSpec
 
@@ -64,72 +65,13 @@ def ols(y, x, rng=None):
     return design @ np.linalg.lstsq(design, y, rcond=None)[0]
 
 
-def ridge(y, x, rng=None, alpha=1.0):
-    mean = x.mean(axis=0)
-    centred = x - mean
-    beta = np.linalg.solve(centred.T @ centred + alpha * np.eye(x.shape[1]), centred.T @ (y - y.mean()))
-    return y.mean() + centred @ beta
-
-
-def elastic_net(y, x, rng=None, alpha=1.0, l1_ratio=0.5, max_iter=300, tol=1e-8):
-    """Coordinate descent on mean squared error / 2 + alpha (l1 |b| + (1 - l1) b'b / 2)."""
-    n, k = x.shape
-    centred, target = x - x.mean(axis=0), y - y.mean()
-    scale = (centred**2).sum(axis=0) / n
-    beta, left = np.zeros(k), target.copy()
-    for _ in range(max_iter):
-        biggest = 0.0
-        for j in range(k):
-            if scale[j] == 0:
-                continue
-            rho = centred[:, j] @ left / n + scale[j] * beta[j]
-            new = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0) / (scale[j] + alpha * (1 - l1_ratio))
-            if new != beta[j]:
-                left -= centred[:, j] * (new - beta[j])
-                biggest = max(biggest, abs(new - beta[j]))
-                beta[j] = new
-        if biggest <= tol:
-            break
-    return y.mean() + centred @ beta
-
-
-def lasso(y, x, rng=None, alpha=0.01, max_iter=1000):
-    return elastic_net(y, x, rng, alpha, 1.0, max_iter)
-
-
-def bayesian_ridge(y, x, rng=None, max_iter=300, tol=1e-4):
-    """Evidence maximisation with weak gamma priors on both precisions."""
-    n = len(y)
-    centred, target = x - x.mean(axis=0), y - y.mean()
-    u, s, vt = np.linalg.svd(centred, full_matrices=False)
-    noise, prior, tiny = 1 / (target.var() + 1e-12), 1.0, 1e-6
-    beta = np.zeros(x.shape[1])
-    for _ in range(max_iter):
-        new = vt.T @ (s / (s**2 + prior / noise) * (u.T @ target))
-        gamma = np.sum(noise * s**2 / (noise * s**2 + prior))
-        left = np.sum((target - centred @ new) ** 2)
-        prior, noise = (gamma + 2 * tiny) / (new @ new + 2 * tiny), (n - gamma + 2 * tiny) / (left + 2 * tiny)
-        done = np.abs(new - beta).sum() < tol
-        beta = new
-        if done:
-            break
-    return y.mean() + centred @ beta
-
-
-def pca(y, x, rng=None, n_components=10):
-    """Regression on principal components without intercept: the residual keeps the mean of y."""
-    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-    u = u[:, : min(n_components, len(s))][:, s[:n_components] > 1e-12 * max(s.max(initial=0), 1e-300)]
-    return u @ (u.T @ y)
-
-
-def ica(y, x, rng, max_iter=200, tol=1e-6):
-    """Regression with intercept on independent components found by a fixed-point search."""
+def independent(x, rng, max_iter=200, tol=1e-6):
+    """Independent components of the rows, found by a fixed-point search."""
     u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     z = u[:, s > 1e-12 * max(s.max(initial=0), 1e-300)] * np.sqrt(len(x))
     k = z.shape[1]
     if k == 0:
-        return np.full(len(y), y.mean())
+        return z
     turn = np.linalg.qr(rng.standard_normal((k, k)))[0]
     for _ in range(max_iter):
         g = np.tanh(z @ turn.T)
@@ -140,7 +82,22 @@ def ica(y, x, rng, max_iter=200, tol=1e-6):
         turn = new
         if still:
             break
-    return ols(y, z @ turn.T)
+    return z @ turn.T
+
+
+def components(df: DataFrame, spec: PanelSpec, columns: list[str], names: list[str], search) -> DataFrame:
+    """All rows with the components search(X, rng) of their date as columns of the given names."""
+    date, symbol = spec.date, spec.symbol
+    schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in names)])
+
+    def run(group):
+        group = group.sort_values(symbol, kind="stable")
+        found = search(group[columns].to_numpy(dtype=float), np.random.default_rng(seed_of(group[date].iloc[0])))
+        for i, name in enumerate(names):
+            group[name] = found[:, i] if i < found.shape[1] else None
+        return group
+
+    return df.groupBy(date).applyInPandas(run, schema)
 
 
 def projection(y, x, rng=None):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..panel import PanelSpec
 from .attribution import PureExposures
-from .backtest import AnalysisConfig, Backtest, ResearchConfig
+from .backtest import AnalysisConfig, Backtest, Cells, ResearchConfig
 from .ic import ICAnalysis
 
 
@@ -19,17 +19,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 class Study:
-    """Backtests by period and coefficients by horizon; the panel is read once and kept while they run."""
+    """Backtests by period and coefficients by horizon; the panel, its bins and returns are worked out once and kept
+    while they run; ``close`` lets them go."""
 
     def __init__(self, df: DataFrame, spec: PanelSpec, config: ResearchConfig | None = None, analysis: AnalysisConfig | None = None, bar_seconds: float | None = None):
         self.spec, self.config, self.analysis = spec, config or ResearchConfig(), analysis or AnalysisConfig()
         self.panel = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.backtests = {p: Backtest(self.panel, spec, p, self.config, self.analysis) for p in self.config.rebalance_periods}
+        self.cells = Cells(self.panel, spec, self.config)
+        self.backtests = {p: Backtest(self.panel, spec, p, self.config, self.analysis, self.cells) for p in self.config.rebalance_periods}
         self.coefficients = {h: ICAnalysis(self.panel, spec, h, self.config, self.analysis, bar_seconds) for h in self.config.return_horizons}
 
     def close(self) -> None:
         for b in self.backtests.values():
             b.close()
+        self.cells.close()
         self.panel.unpersist()
 
     def _periods(self, of) -> DataFrame:

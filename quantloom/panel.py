@@ -51,6 +51,34 @@ def as_panel(spark: SparkSession, data, spec: PanelSpec) -> DataFrame:
     return df.withColumn(spec.date, F.col(spec.date).cast("timestamp"))
 
 
+def bar_seconds(df: DataFrame, spec: PanelSpec) -> float | None:
+    """Width of a bar: between the first two dates of the first symbol. None if it has but one. Runs a job."""
+    first = df.agg(F.min(spec.symbol)).first()[0]
+    when = F.col(spec.date).cast("timestamp")
+    two = df.where(F.col(spec.symbol) == F.lit(first)).select(F.unix_micros(when).alias("at")).orderBy("at").limit(2).collect()
+    return (two[1]["at"] - two[0]["at"]) / 1e6 if len(two) == 2 else None
+
+
+def industry_table(spark: SparkSession, group_by, symbol_type: str) -> DataFrame | None:
+    """(symbol, industry) of a mapping or of a frame whose first two columns are that; None without any."""
+    if isinstance(group_by, DataFrame):
+        symbol, industry = group_by.columns[:2]
+        return group_by.select(F.col(symbol).cast(symbol_type).alias("__symbol"), F.col(industry).cast("string").alias("__industry")).dropDuplicates(["__symbol"])
+    if not group_by:
+        return None
+    pairs = [(str(k), str(v)) for k, v in group_by.items()]
+    return spark.createDataFrame(pairs, "__symbol string, __industry string").withColumn("__symbol", F.col("__symbol").cast(symbol_type))
+
+
+def with_industry(df: DataFrame, symbol: str, group_by) -> DataFrame:
+    """Rows with their symbol's ``industry``, ``Unlabeled`` if it has none; a join of tables, broadcast where small."""
+    told = industry_table(df.sparkSession, group_by, df.schema[symbol].dataType.simpleString())
+    if told is None:
+        return df.withColumn("industry", F.lit("Unlabeled"))
+    met = df.join(told, df[symbol] == F.col("__symbol"), "left")
+    return met.withColumn("industry", F.coalesce("__industry", F.lit("Unlabeled"))).drop("__symbol", "__industry")
+
+
 def lag_factor(df: DataFrame, spec: PanelSpec, bars: int | None) -> DataFrame:
     """The factor as it was ``bars`` bars ago, by symbol."""
     return df if not bars else df.withColumn(spec.factor, F.lag(spec.factor, bars).over(spec.history()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import average_rank, correlation
+from ..functions.frames import materialize
 from ..operators.attribution import PortfolioExposures, PureExposures
-from ..operators.backtest import AnalysisConfig, Backtest, ResearchConfig, price_returns
+from ..operators.backtest import AnalysisConfig, Backtest, ResearchConfig
 from ..operators.ic import ICAnalysis
 from ..operators.purifier import Purifier
 from ..operators.study import Study
@@ -71,9 +74,12 @@ def _ic(kind: str, horizon: int = 3):
             return rounded(a.periodic("year"))
         if kind == "fac_shift":
             return rounded(ICAnalysis(panel, SPEC, 1, ResearchConfig(fac_shift=2)).series.select("dt", "ic"))
-        if kind == "overnight":
-            hours = ICAnalysis(_hourly(spark, sf_dir), SPEC, 2, ResearchConfig(overnight="off"), bar_seconds=3600)
+        if kind in ("overnight", "overnight_only"):
+            side = "off" if kind == "overnight" else "only"
+            hours = ICAnalysis(_hourly(spark, sf_dir), SPEC, 2, ResearchConfig(overnight=side), bar_seconds=3600)
             return rounded(hours.series.select("dt", "ic"))
+        if kind == "stepped":
+            return rounded(ICAnalysis(panel, SPEC, horizon, config, AnalysisConfig(agg_freq="1q")).stepped())
         return rounded(a.quantile_plot())
 
     return query
@@ -95,11 +101,18 @@ def _auto(horizon: int) -> str:
     return _AUTO.replace("lag(rk, 3)", f"lag(rk, {horizon})")
 
 
+#: Two-sided p of Student's t of the row (n, mu, m2): the finite series for whole degrees of freedom, term by term.
+_P_SQL = """(SELECT greatest(0, 1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (th + sin(th) * cos(th) * total) ELSE sin(th) * total END) FROM (
+  SELECT v, th, list_sum(list_transform(range(0, CAST(floor((v - CASE WHEN v % 2 = 1 THEN 3 ELSE 2 END) / 2) AS BIGINT) + 1), lambda k:
+    power(cos(th), 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: CASE WHEN v % 2 = 1 THEN 2.0 * j / (2.0 * j + 1) ELSE (2.0 * j - 1) / (2.0 * j) END)), 1))) AS total
+  FROM (SELECT n - 1 AS v, atan(abs(mu / (sqrt(m2 / (n - 1)) / sqrt(n))) / sqrt(n - 1)) AS th)))"""
+
+
 def _summary_sql(horizon: int) -> str:
     return f"""WITH {_ic_sql(MONTHLY_SQL, horizon)}, {_auto(horizon)}, m AS (SELECT avg(ic) AS mu, count(ic) AS n FROM ic),
 c AS (SELECT any_value(n) AS n, any_value(mu) AS mu, sum((ic - mu) ** 2) AS m2, sum((ic - mu) ** 3) AS m3, sum((ic - mu) ** 4) AS m4 FROM ic, m WHERE ic IS NOT NULL)
 SELECT n, round(mu, 6) AS ic_mean, round(sqrt(m2 / (n - 1)), 6) AS ic_std, round((m3 / n) / power(m2 / n, 1.5), 6) AS skew, round((m4 / n) / power(m2 / n, 2) - 3, 6) AS kurtosis,
-  round(mu / (sqrt(m2 / (n - 1)) / sqrt(n)), 6) AS t_stat, round(mu / sqrt(m2 / (n - 1)), 6) AS ir, round((SELECT avg(autocorr) FROM au), 6) AS autocorr_mean FROM c"""
+  round(mu / (sqrt(m2 / (n - 1)) / sqrt(n)), 6) AS t_stat, round(mu / sqrt(m2 / (n - 1)), 6) AS ir, round((SELECT avg(autocorr) FROM au), 6) AS autocorr_mean, round({_P_SQL}, 6) AS p_value FROM c"""
 
 
 IC_SQL = {
@@ -109,21 +122,16 @@ IC_SQL = {
     "summary": _summary_sql(3),
     "periodic": f"WITH {_ic_sql(MONTHLY_SQL, 3)} SELECT CAST(date_trunc('year', dt) AS DATE) AS period, round(sum(ic), 6) AS ic_sum FROM ic WHERE ic IS NOT NULL GROUP BY 1",
     "fac_shift": f"WITH {_ic_sql(f'SELECT dt, symbol, price, lag(factor, 2) OVER (PARTITION BY symbol ORDER BY dt) AS factor FROM ({MONTHLY_SQL})', 1)} SELECT dt, round(ic, 6) AS ic FROM ic WHERE ic IS NOT NULL",
+    "stepped": f"WITH {_ic_sql(MONTHLY_SQL, 3)} SELECT CAST(date_trunc('quarter', dt) AS TIMESTAMP) AS agg_date, round(sum(ic), 6) AS ic_sum FROM ic WHERE ic IS NOT NULL GROUP BY 1",
+    "overnight_only": f"WITH {_ic_sql(HOURLY_SQL, 2)}, o AS (SELECT dt, ic, max(dt) OVER (PARTITION BY CAST(dt AS DATE)) AS last FROM ic WHERE ic IS NOT NULL) SELECT dt, round(ic, 6) AS ic FROM o WHERE dt + INTERVAL 2 HOUR > last",
     "overnight": f"WITH {_ic_sql(HOURLY_SQL, 2)}, o AS (SELECT dt, ic, max(dt) OVER (PARTITION BY CAST(dt AS DATE)) AS last FROM ic WHERE ic IS NOT NULL) SELECT dt, round(ic, 6) AS ic FROM o WHERE dt + INTERVAL 2 HOUR <= last",
 }
 
 
 def ic_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Industry coefficients: by a dimension join, as a map literal of all symbols wouldn't scale."""
-    panel = monthly(spark, sf_dir).join(F.broadcast(panels.nations(spark, sf_dir)), "symbol")
-    rows = price_returns(panel, SPEC)
-    keys = ["dt", "industry"]
-    both, group = F.col("fut_ret").isNotNull() & F.col("factor").isNotNull(), Window.partitionBy(*keys)
-    rows = rows.withColumns({"f": F.when(both, F.col("factor")), "r": F.when(both, F.col("fut_ret"))})
-    rows = rows.withColumns({"fr": average_rank(F.col("f"), group, keys), "rr": average_rank(F.col("r"), group, keys)})
-    by = rows.groupBy(*keys).agg(correlation(F.col("fr"), F.col("rr")).alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("ic").isNotNull())
-    by = by.withColumn("contrib", F.col("ic") * F.col("n") / F.sum("n").over(Window.partitionBy("dt")))
-    return rounded(by.groupBy("industry").agg(F.avg("contrib").alias("contrib")))
+    """Industry coefficients, industries being the suppliers' nations."""
+    analysis = AnalysisConfig(group_by=panels.nations(spark, sf_dir))
+    return rounded(ICAnalysis(monthly(spark, sf_dir), SPEC, 1, analysis=analysis).industries)
 
 
 INDUSTRY_IC_SQL = f"""WITH {_ic_sql(f"SELECT m.*, n_name AS industry FROM ({MONTHLY_SQL}) m JOIN supplier ON symbol = s_suppkey JOIN nation ON s_nationkey = n_nationkey", 1, "dt, industry")},
@@ -171,67 +179,71 @@ s AS (SELECT *, product(1 + ret_net_ls) OVER o AS cum_ls, product(1 + ret_net_{b
 {final}"""
 
 
-def _backtest(spark, sf_dir, period, panel=monthly, **analysis) -> Backtest:
-    return Backtest(panel(spark, sf_dir), SPEC, period, CONFIG, AnalysisConfig(**analysis))
+def _backtest(spark, sf_dir, period, of, panel=monthly, config=CONFIG, **analysis) -> DataFrame:
+    """``of`` the backtest, rounded and kept; what the backtest keeps itself is let go."""
+    b = Backtest(panel(spark, sf_dir), SPEC, period, config, AnalysisConfig(**analysis))
+    out = materialize(rounded(of(b)))
+    b.close()
+    return out
 
 
 SERIES = ["dt", "realised", *[f"ret_{q}" for q in range(1, 6)], *[f"ret_net_{q}" for q in range(1, 6)], *[f"ret_net_s_{q}" for q in range(1, 6)], "ret_ls", "ret_net_ls"]
 
 
-def _series(period, panel=monthly):
+def _series(period, panel=monthly, **analysis):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = _backtest(spark, sf_dir, period, panel).series
-        return rounded(got.select(*SERIES, F.col("cum_ret_net_ls").alias("cum_ls"), F.col("cum_ret_net_5").alias("cum_l"), F.col("cum_ret_net_s_1").alias("cum_s")))
+        return _backtest(spark, sf_dir, period, lambda b: b.series.select(*SERIES, "cum_ret_net_ls", "cum_ret_net_5", "cum_ret_net_s_1"), panel, **analysis).withColumnsRenamed({"cum_ret_net_ls": "cum_ls", "cum_ret_net_5": "cum_l", "cum_ret_net_s_1": "cum_s"})
 
     return query
 
 
+#: The logarithm of what isn't positive is null.
+_LOG = "CASE WHEN {0} > 0 THEN ln({0}) END"
 _SERIES_FINAL = "SELECT dt, realised, " + ", ".join(f"round({c}, 6) AS {c}" for c in [*SERIES[2:], "cum_ls", "cum_l", "cum_s"]) + " FROM s"
 
 
-def backtest_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_backtest(spark, sf_dir, "Q").weights)
-
-
-def backtest_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_backtest(spark, sf_dir, "Q").turnover)
-
-
-def backtest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_backtest(spark, sf_dir, "Q").stats)
+def _of(name: str, period="Q", **options):
+    """A query for a table that the backtest has by this name, or that a function makes of the backtest."""
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        groups = {"group_by": panels.nations(spark, sf_dir)} if options.get("nations") else {}
+        own = {k: v for k, v in options.items() if k not in ("nations", "of")}
+        return _backtest(spark, sf_dir, period, options.get("of") or (lambda b: getattr(b, name)), **own, **groups)
 
-def backtest_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_backtest(spark, sf_dir, "Q").periodic("year"))
+    return query
 
 
-def backtest_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_backtest(spark, sf_dir, "Q").calendar("l"))
+TRACED = ["dt", "g", "quantile", "symbol", "closing", "weight", "return", "buy", "sell", "contribution"]
+TAXED = {side: replace(CONFIG, tax_rate=0.002, tax_rate_direction=side) for side in ("buy", "both")}
 
 
 def study_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of all legs for two rebalance periods, from one plan."""
     config = ResearchConfig(rebalance_periods=("Q", 3), return_horizons=(1, 3), tax_rate=CONFIG.tax_rate)
-    return rounded(Study(monthly(spark, sf_dir), SPEC, config).stats)
+    study = Study(monthly(spark, sf_dir), SPEC, config)
+    out = materialize(rounded(study.stats))
+    study.close()
+    return out
 
 
 def study_ic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the coefficients for two horizons."""
-    return rounded(Study(monthly(spark, sf_dir), SPEC, ResearchConfig(return_horizons=(1, 3))).ic_panel)
+    study = Study(monthly(spark, sf_dir), SPEC, ResearchConfig(return_horizons=(1, 3)))
+    out = materialize(rounded(study.ic_panel))
+    study.close()
+    return out
 
 
-#: Stands for a user's symbol map.
-GROUPS = {i: f"group{i % 3}" for i in range(1, 50)}
-
-
-def backtest_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_backtest(spark, sf_dir, "Q", group_by=GROUPS).industries)
+def study_periodic_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the long-short report: returns by year for two rebalance periods."""
+    study = Study(monthly(spark, sf_dir), SPEC, ResearchConfig(rebalance_periods=("Q", 3), tax_rate=CONFIG.tax_rate))
+    out = materialize(rounded(study.returns_sheet("ls", "year")["periodic"]))
+    study.close()
+    return out
 
 
-def backtest_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holdings round a rebalance date, top and bottom bins."""
-    got = _backtest(spark, sf_dir, "Q").trace("1995-06-01", [1, 5], "l")
-    return rounded(got.select("dt", "g", "quantile", "symbol", "closing", "weight", "return", "buy", "sell", "contribution"))
+#: Stands for a user's symbol map.
+GROUPS = {i: f"group{i % 3}" for i in range(1, 50)}
 
 
 _STATS_FINAL = """, days2 AS (SELECT date_diff('day', min(dt), max(dt)) AS days FROM p),
@@ -257,9 +269,10 @@ SELECT a.industry AS industry, round(a.short, 6) AS ret_net_s_bottom, round(b.lo
 )
 _TRACE_FINAL = """, places AS (SELECT dt, row_number() OVER (ORDER BY dt) AS i FROM dim), near AS (SELECT dt FROM places WHERE i BETWEEN (SELECT i FROM places WHERE dt = DATE '1995-06-01') - 2 AND (SELECT i FROM places WHERE dt = DATE '1995-06-01') + 1),
 tg AS (SELECT t1.dt, t1.quantile, t1.symbol, coalesce(t1.g_new, o.g) AS g, t.buy, t.sell FROM t1 JOIN t ON t1.dt = t.dt AND t1.quantile = t.quantile AND t1.symbol = t.symbol LEFT JOIN (SELECT * FROM w WHERE closing) o ON o.dt = t1.dt AND o.quantile = t1.quantile AND o.symbol = t1.symbol)
-SELECT w.dt AS dt, w.g AS g, w.quantile AS quantile, w.symbol AS symbol, closing, round(w, 6) AS weight, round(ret, 6) AS "return", round(coalesce(buy, 0), 6) AS buy, round(coalesce(sell, 0), 6) AS sell,
-  round(w * coalesce(ret, 0) - coalesce(buy * {buy} + sell * {sell}, 0), 6) AS contribution
-FROM w LEFT JOIN tg ON w.dt = tg.dt AND w.quantile = tg.quantile AND w.symbol = tg.symbol AND w.g = tg.g WHERE w.dt IN (SELECT dt FROM near) AND w.quantile IN (1, 5)""".format(buy=repr(CONFIG.fees()[0]), sell=repr(CONFIG.fees()[1]))
+SELECT w.dt AS dt, w.g AS g, w.quantile AS quantile, w.symbol AS symbol, closing, round({sign}w, 6) AS weight, round(ret, 6) AS "return", round(coalesce(buy, 0), 6) AS buy, round(coalesce(sell, 0), 6) AS sell,
+  round({sign}w * coalesce(ret, 0) - coalesce(buy * {buy} + sell * {sell}, 0), 6) AS contribution
+FROM w LEFT JOIN tg ON w.dt = tg.dt AND w.quantile = tg.quantile AND w.symbol = tg.symbol AND w.g = tg.g WHERE w.dt IN (SELECT dt FROM near) AND w.quantile IN (1, 5)"""
+_TRACES = {leg: _TRACE_FINAL.format(buy=repr(CONFIG.fees()[0]), sell=repr(CONFIG.fees()[1]), sign=sign) for leg, sign in (("l", ""), ("s", "-"))}
 
 # -- attribution -----------------------------------------------------------------------------------
 
@@ -357,6 +370,18 @@ def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_discount"), 6).alias("discount"))
 
 
+def store_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of a store's base table, with the latest event of the same key on or before each date."""
+    events = store.StoredTable(f"{sf_dir}/orders.parquet", "o_orderdate", "o_custkey", {"o_totalprice": "total"})
+    base = store.StoredTable(f"{sf_dir}/lineitem.parquet", "l_shipdate", "l_suppkey", {"l_extendedprice": "price"})
+    loaded = store.PanelStore(spark, SPEC, base, discrete=(events,)).load(datetime(1995, 1, 1), datetime(1995, 3, 31))
+    return rounded(loaded)
+
+
+PANEL_SQL = """WITH e AS (SELECT o_orderdate AS dt, o_custkey AS symbol, max(o_totalprice) AS total FROM orders
+  WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' - INTERVAL 150 DAY AND TIMESTAMP '1995-03-31' GROUP BY 1, 2),
+b AS (SELECT l_shipdate AS dt, l_suppkey AS symbol, l_extendedprice AS price FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-03-31')
+SELECT b.dt AS dt, b.symbol AS symbol, round(price, 6) AS price, round(total, 6) AS total FROM b ASOF LEFT JOIN e ON b.symbol = e.symbol AND b.dt >= e.dt"""
 SCAN_SQL = "SELECT l_suppkey, count(*) AS n, round(sum(l_discount), 6) AS discount FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-03-31' GROUP BY l_suppkey"
 
 
@@ -374,15 +399,16 @@ def store_upsert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base panel with a lagged continuous feature and two outer-joined event tables as of each date."""
+    """Base panel with a lagged continuous feature and two outer-joined event tables as of each date: low factors
+    and high taxes, events that not every month has."""
     p = monthly(spark, sf_dir)
     base, feature = p.select("dt", "symbol", "price"), store.shift_features(p.select("dt", "symbol", "tax"), SPEC, 2)
-    a, b = p.where("month(dt) % 3 = 0").select("dt", "symbol", "qty"), p.where("month(dt) % 4 = 0").select("dt", "symbol", "factor")
+    a, b = p.where("factor < 0.05").select("dt", "symbol", "qty"), p.where("tax > 0.04").select("dt", "symbol", "factor")
     return rounded(store.as_of(store.merge_continuous(base, [feature], SPEC), store.merge_discrete([a, b]), SPEC))
 
 
 MERGE_SQL = f"""WITH p AS ({MONTHLY_SQL}), c AS (SELECT lead(dt, 2) OVER (PARTITION BY symbol ORDER BY dt) AS dt, symbol, tax FROM p),
-a AS (SELECT dt, symbol, qty FROM p WHERE month(dt) % 3 = 0), b AS (SELECT dt, symbol, factor FROM p WHERE month(dt) % 4 = 0),
+a AS (SELECT dt, symbol, qty FROM p WHERE factor < 0.05), b AS (SELECT dt, symbol, factor FROM p WHERE tax > 0.04),
 e AS (SELECT coalesce(a.dt, b.dt) AS dt, coalesce(a.symbol, b.symbol) AS symbol, qty, factor FROM a FULL OUTER JOIN b ON a.dt = b.dt AND a.symbol = b.symbol),
 l AS (SELECT p.dt, p.symbol, price, c.tax FROM p LEFT JOIN c ON p.dt = c.dt AND p.symbol = c.symbol)
 SELECT l.dt AS dt, l.symbol AS symbol, round(price, 6) AS price, round(tax, 6) AS tax, round(qty, 6) AS qty, round(factor, 6) AS factor FROM l ASOF LEFT JOIN e ON l.symbol = e.symbol AND l.dt >= e.dt"""
@@ -395,29 +421,41 @@ SELECT o.dt AS dt, o.symbol AS symbol, round(price, 6) AS price, round(coalesce(
 
 def queries() -> dict:
     out = {"flagship_rank_ic": flagship_rank_ic}
-    out |= {f"ic_{k}": _ic(k) for k in ("series", "pearson", "autocorrelation", "summary", "periodic", "fac_shift", "overnight")}
+    out |= {f"ic_{k}": _ic(k) for k in ("series", "pearson", "autocorrelation", "summary", "periodic", "stepped", "fac_shift", "overnight", "overnight_only")}
     out |= {"ic_industries": ic_industries}
-    out |= {"backtest_series_quarterly": _series("Q"), "backtest_series_every_3": _series(3), "backtest_series_yearly": _series("Y"), "backtest_series_halves": _series("H"), "backtest_series_weekly": _series("W", daily)}
-    out |= {f.__name__: f for f in (backtest_weights, backtest_turnover, backtest_stats, backtest_periodic, backtest_calendar, backtest_industries, backtest_trace, study_stats, study_ic_panel)}
+    out |= {"backtest_series_quarterly": _series("Q"), "backtest_series_every_3": _series(3), "backtest_series_yearly": _series("Y"), "backtest_series_halves": _series("H"), "backtest_series_weekly": _series("W", daily), "backtest_series_monthly": _series("M", daily), "backtest_series_log": _series("Q", log_scale=True)}
+    out |= {f"backtest_{n}": _of(n) for n in ("weights", "turnover", "stats")} | {f"backtest_turnover_tax_{side}": _of("turnover", config=config) for side, config in TAXED.items()}
+    out |= {"backtest_periodic": _of("", of=lambda b: b.periodic("year")), "backtest_calendar": _of("", of=lambda b: b.calendar("l")), "backtest_stepped": _of("", of=lambda b: b.stepped(), agg_freq="1y")}
+    out |= {"backtest_industries": _of("industries", group_by=GROUPS), "backtest_industries_nations": _of("industries", nations=True)}
+    out |= {"backtest_trace": _of("", of=lambda b: b.trace("1995-06-01", [1, 5], "l").select(*TRACED)), "backtest_trace_short": _of("", of=lambda b: b.trace("1995-06-01", [1, 5], "s").select(*TRACED))}
+    out |= {f.__name__: f for f in (study_stats, study_ic_panel, study_periodic_sheet)}
     out |= {f.__name__: f for f in (attribution_portfolio, attribution_portfolio_long, attribution_pure, attribution_daily_correlations, attribution_correlations)}
-    return out | {f.__name__: f for f in (store_as_of, store_scan, store_merge, store_upsert_append, store_upsert_overwrite)}
+    return out | {f.__name__: f for f in (store_as_of, store_scan, store_panel, store_merge, store_upsert_append, store_upsert_overwrite)}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {"flagship_rank_ic": f"WITH {_ic_sql(_CLEAN, 1)} SELECT dt, round(ic, 6) AS rank_ic FROM ic WHERE ic IS NOT NULL"}
     out |= {f"ic_{k}": sql for k, sql in IC_SQL.items()} | {"ic_industries": INDUSTRY_IC_SQL}
-    out |= {"backtest_series_quarterly": backtest_sql("Q", _SERIES_FINAL), "backtest_series_every_3": backtest_sql(3, _SERIES_FINAL), "backtest_series_yearly": backtest_sql("Y", _SERIES_FINAL), "backtest_series_halves": backtest_sql("H", _SERIES_FINAL), "backtest_series_weekly": backtest_sql("W", _SERIES_FINAL, DAILY_SQL)}
+    out |= {"backtest_series_quarterly": backtest_sql("Q", _SERIES_FINAL), "backtest_series_every_3": backtest_sql(3, _SERIES_FINAL), "backtest_series_yearly": backtest_sql("Y", _SERIES_FINAL), "backtest_series_halves": backtest_sql("H", _SERIES_FINAL), "backtest_series_weekly": backtest_sql("W", _SERIES_FINAL, DAILY_SQL), "backtest_series_monthly": backtest_sql("M", _SERIES_FINAL, DAILY_SQL)}
+    out["backtest_series_log"] = backtest_sql("Q", _SERIES_FINAL.replace("round(cum_ls", f"round({_LOG.format('cum_ls')}").replace("round(cum_l,", f"round({_LOG.format('cum_l')},").replace("round(cum_s,", f"round({_LOG.format('cum_s')},"))
+    periodic = "SELECT CAST(date_trunc('year', coalesce(realised, dt)) AS {kind}) AS {name}, round(product(1 + ret_net_ls) - 1, 6) AS ls_return, round(product(1 + ret_net_5) - 1, 6) AS l_return, round(product(1 + ret_net_s_1) - 1, 6) AS s_return FROM s GROUP BY 1"
+    periods = [backtest_sql(p, periodic.format(kind="DATE", name="period")) for p in ("Q", 3)]
+    out |= {f"backtest_turnover_tax_{side}": backtest_sql("Q", _TURN_FINAL, config=config) for side, config in TAXED.items()}
+    out |= {"backtest_trace_short": backtest_sql("Q", _TRACES["s"]), "backtest_stepped": backtest_sql("Q", periodic.format(kind="TIMESTAMP", name="agg_date"))}
+    out["study_periodic_sheet"] = f"SELECT period, ls_return, 'Q' AS rebalance_period FROM ({periods[0]}) UNION ALL SELECT period, ls_return, '3' FROM ({periods[1]})"
+    grouped = "CASE WHEN w.symbol BETWEEN 1 AND 49 THEN 'group' || (w.symbol % 3) ELSE 'Unlabeled' END"
+    out["backtest_industries_nations"] = backtest_sql("Q", _INDUSTRY_FINAL.replace(grouped, "(SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = w.symbol)"))
     out |= {
         "backtest_weights": backtest_sql("Q", "SELECT dt, g, quantile, symbol, round(w, 6) AS w, round(ret, 6) AS ret, closing FROM w"),
         "study_stats": f"SELECT *, 'Q' AS rebalance_period FROM ({backtest_sql('Q', _STATS_FINAL)}) UNION ALL SELECT *, '3' FROM ({backtest_sql(3, _STATS_FINAL)})",
         "study_ic_panel": f"SELECT *, 1 AS horizon FROM ({_summary_sql(1)}) UNION ALL SELECT *, 3 FROM ({_summary_sql(3)})",
         "backtest_turnover": backtest_sql("Q", _TURN_FINAL),
         "backtest_stats": backtest_sql("Q", _STATS_FINAL),
-        "backtest_periodic": backtest_sql("Q", "SELECT CAST(date_trunc('year', coalesce(realised, dt)) AS DATE) AS period, round(product(1 + ret_net_ls) - 1, 6) AS ls_return, round(product(1 + ret_net_5) - 1, 6) AS l_return, round(product(1 + ret_net_s_1) - 1, 6) AS s_return FROM s GROUP BY 1"),
+        "backtest_periodic": periods[0],
         "backtest_calendar": backtest_sql("Q", _CALENDAR_FINAL),
         "backtest_industries": backtest_sql("Q", _INDUSTRY_FINAL),
-        "backtest_trace": backtest_sql("Q", _TRACE_FINAL),
+        "backtest_trace": backtest_sql("Q", _TRACES["l"]),
         "attribution_portfolio": PORTFOLIO_SQL, "attribution_portfolio_long": LONG_SQL, "attribution_pure": PURE_SQL, "attribution_daily_correlations": DAILY_CORR_SQL, "attribution_correlations": CORR_SQL,
-        "store_as_of": AS_OF_SQL, "store_scan": SCAN_SQL, "store_merge": MERGE_SQL, "store_upsert_append": APPEND_SQL, "store_upsert_overwrite": OVERWRITE_SQL,
+        "store_as_of": AS_OF_SQL, "store_panel": PANEL_SQL, "store_scan": SCAN_SQL, "store_merge": MERGE_SQL, "store_upsert_append": APPEND_SQL, "store_upsert_overwrite": OVERWRITE_SQL,
     }
     return {name: sql.replace(", 6)", f" + {NUDGE}, 6)") for name, sql in out.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
@@ -68,16 +69,57 @@ def merge_discrete(tables: list[DataFrame]) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, spec: PanelSpec, columns: list[str] | None = None) -> DataFrame:
     """For each row of ``left`` the latest row of ``right`` of its symbol, on or before its date.
 
-    One shuffle by symbol: both sides in one sequence, the last event carried forward as a whole."""
+    One shuffle by symbol: both sides in one sequence, the last event carried forward as a whole. Of several events
+    of a symbol and date the one that is greatest, column by column, counts."""
     columns = columns or [c for c in right.columns if c not in (spec.date, spec.symbol)]
     events = right.select(spec.date, spec.symbol, F.struct(*columns).alias("__event"), F.lit(0).alias("__side"))
     rows = left.withColumns({"__event": F.lit(None).cast(events.schema["__event"].dataType), "__side": F.lit(1)})
     both = rows.unionByName(events, allowMissingColumns=True)
-    past = Window.partitionBy(spec.symbol).orderBy(spec.date, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(spec.symbol).orderBy(spec.date, "__side", "__event").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__event", F.last("__event", ignorenulls=True).over(past)).where("__side = 1")
     return both.select(*left.columns, *[F.col(f"__event.{c}").alias(c) for c in columns])
 
 
+@dataclass(frozen=True)
+class StoredTable:
+    """A table of a store: where it is, its keys' names, and columns to take, by the names that they get."""
+
+    path: str
+    date: str
+    symbol: str
+    columns: dict[str, str]
+
+
+@dataclass(frozen=True)
+class PanelStore:
+    """From stored tables to one panel.
+
+    The base table gives the rows. Continuous tables, keyed by (date, symbol), are joined as they were ``shift_n``
+    bars before; event tables are joined with each other, and the latest events on or before a date go with it.
+    Each kind is read from as far before the range as it looks back, and no further."""
+
+    spark: SparkSession
+    spec: PanelSpec
+    base: StoredTable
+    continuous: tuple[StoredTable, ...] = ()
+    discrete: tuple[StoredTable, ...] = ()
+    shift_n: int = 0
+    freq: str = "1d"
+
+    def _read(self, t: StoredTable, kind: str, begin: datetime | None, end: datetime | None, symbols: list | None) -> DataFrame:
+        own = PanelSpec(date=t.date, symbol=t.symbol)
+        since = None if begin is None else read_begin(begin, kind, self.shift_n, self.freq)
+        rows = scan(self.spark, t.path, own, list(t.columns), since, end, symbols)
+        return rows.select(F.col(t.date).alias(self.spec.date), F.col(t.symbol).alias(self.spec.symbol), *[F.col(a).alias(b) for a, b in t.columns.items()])
+
+    def load(self, begin: datetime | None = None, end: datetime | None = None, symbols: list | None = None) -> DataFrame:
+        """The panel of a range, both ends included."""
+        read = lambda t, kind: self._read(t, kind, begin, end, symbols)
+        out = read(self.base, "base")
+        out = merge_continuous(out, [shift_features(read(t, "continuous"), self.spec, self.shift_n) for t in self.continuous], self.spec)
+        return as_of(out, merge_discrete([read(t, "discrete") for t in self.discrete]), self.spec) if self.discrete else out
+
+
 def aligned(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both with all columns of either; numbers that one lacks are null doubles."""
 
