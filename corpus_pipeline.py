@@ -3,9 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is what the stage before it
 kept, written and read again. All but the last return the columns they were given.
 
-Defined results: see the operators. Rows with a null id are kept by the first two stages and by
-decontamination; near-duplicate removal keeps such a row only if its group has no row with an id. Of rows
-that repeat an id, near-duplicate removal keeps one.
+Rows are told apart by id and text, never by id alone, so the stages agree on odd rows:
+
+- null ids, and ids that differing texts share: each text is judged on its own by every stage; near-duplicate
+  removal keeps a row without an id only if its group has no row with one;
+- rows that repeat both id and text are one document: line dedup judges it once, near-duplicate removal keeps
+  one of them;
+- null and empty texts (those that line dedup has emptied too) are scored like texts without words, have no
+  lines to lose, are one group of near-duplicates of which one row stays, contain no benchmark item, and have
+  no tokens; a null text stays null until it is encoded;
+- very long texts go through whole; an empty table gives an empty result with the same columns;
+- extra columns are carried along and returned, whatever their names, by all stages but the last.
 """
 
 from __future__ import annotations
@@ -41,15 +49,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = contamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    name = "__leak_doc"
-    leaks = found.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col(name), "left_anti")
+    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = contamination.contaminated(docs.select(row.alias("row"), "text"), common.table(spark, sf_dir, "benchmark"), "row")
+    leaks = common.materialize(found.select(F.col("row").alias("__leak")).distinct())
+    few = leaks.count() <= contamination.BROADCAST_CANDIDATES
+    return docs.join(F.broadcast(leaks) if few else leaks, row.eqNullSafe(F.col("__leak")), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and their byte spans for every document."""
-    return pieces.encode_documents(docs, pieces.MODEL)
+    return pieces.encode_documents(docs, common.MODEL)
 
 
 STAGES = [
