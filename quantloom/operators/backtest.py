@@ -151,11 +151,14 @@ class Backtest:
         path = Window.partitionBy("symbol", "g").orderBy("dt")
         full = full.withColumn("grown", F.product(1 + F.col("ret")).over(path.rowsBetween(Window.unboundedPreceding, 0)))
         full = full.withColumn("raw", F.col("w0") * F.coalesce(F.lag("grown").over(path), F.lit(1.0)))
-        ends = self.epochs.where("g >= 0").groupBy("g").agg(F.max("dt").alias("last"), F.min("dt").alias("first"))
+        ends = dim.groupBy("g").agg(F.max("dt").alias("last"), F.min("dt").alias("first"))
         ends = ends.select("g", "last", F.lead("first").over(Window.orderBy("g")).alias("next_first"))
-        closing = full.join(ends, "g").where((F.col("dt") == F.col("last")) & F.col("next_first").isNotNull())
-        closing = closing.select(F.col("next_first").alias("dt"), "g", "quantile", "symbol", (F.col("w0") * F.col("grown")).alias("raw"), F.lit(None).cast("double").alias("ret"), F.lit(True).alias("closing"))
-        out = full.select("dt", "g", "quantile", "symbol", "raw", "ret", F.lit(False).alias("closing")).unionByName(closing)
+        # On an epoch's last date a holding is told of twice: as it is, and as it is closed out at the next one's start.
+        full = full.join(ends, "g")
+        row = F.struct("dt", "raw", "ret", F.lit(False).alias("closing"))
+        closed = F.struct(F.col("next_first").alias("dt"), (F.col("w0") * F.col("grown")).alias("raw"), F.lit(None).cast("double").alias("ret"), F.lit(True).alias("closing"))
+        told = F.when((F.col("dt") == F.col("last")) & F.col("next_first").isNotNull(), F.array(row, closed)).otherwise(F.array(row))
+        out = full.select("g", "quantile", "symbol", F.explode(told).alias("told")).select("g", "quantile", "symbol", "told.*")
         share = ratio(F.col("raw"), F.sum("raw").over(Window.partitionBy("dt", "quantile", "closing")))
         return self._keep(out.withColumn("w", share).select("dt", "g", "quantile", "symbol", "w", "ret", "closing"))
 
