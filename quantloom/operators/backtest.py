@@ -138,29 +138,37 @@ class Backtest:
         return self._keep(epochs(self.base.select("dt"), "dt", self.period))
 
     @cached_property
-    def weights(self) -> DataFrame:
-        """(dt, g, quantile, symbol, w, ret, closing): drifting weights; ``closing`` rows are an old epoch's
-        at the start of the next."""
+    def holdings(self) -> DataFrame:
+        """``weights``, and whether a row opens its epoch's portfolio (``opening``).
+
+        Three exchanges: the members of an epoch's bins, a symbol's whole path, the weights of a date's bins."""
         dim = self.epochs.where("g >= 0")  # dates: adaptive execution broadcasts them where they are few
-        facts = self.base.join(dim, "dt")
-        held = facts.where("rebalance").select("symbol", "g", "quantile")
+        ends = dim.groupBy("g").agg(F.max("dt").alias("last"), F.min("dt").alias("first"))
+        ends = ends.select("g", "last", "first", F.lead("first").over(Window.orderBy("g")).alias("next_first"))
+        dates = dim.join(ends, "g").select("dt", "g", "last", "first", "next_first")
+        held = self.base.join(dim.where("rebalance").select("dt", "g"), "dt").select("symbol", "g", "quantile")
         held = held.withColumn("w0", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("g", "quantile")))
-        # Every member on every date of its epoch, whether it traded or not.
-        full = held.join(dim.select("dt", "g"), "g")
-        full = full.join(facts.select("dt", "symbol", "ret"), ["dt", "symbol"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+        # Every member on every date of its epoch, whether it traded or not: members' dates and returns meet by symbol.
+        due = held.join(dates, "g").withColumn("ret", F.lit(None).cast("double"))
+        met = due.unionByName(self.base.select("dt", "symbol", "ret"), allowMissingColumns=True).repartition("symbol")
+        kept = [c for c in due.columns if c not in ("dt", "symbol", "ret")]
+        full = met.groupBy("symbol", "dt").agg(*[F.max(c).alias(c) for c in kept], F.coalesce(F.max("ret"), F.lit(0.0)).alias("ret")).where(F.col("w0").isNotNull())
         path = Window.partitionBy("symbol", "g").orderBy("dt")
         full = full.withColumn("grown", F.product(1 + F.col("ret")).over(path.rowsBetween(Window.unboundedPreceding, 0)))
         full = full.withColumn("raw", F.col("w0") * F.coalesce(F.lag("grown").over(path), F.lit(1.0)))
-        ends = dim.groupBy("g").agg(F.max("dt").alias("last"), F.min("dt").alias("first"))
-        ends = ends.select("g", "last", F.lead("first").over(Window.orderBy("g")).alias("next_first"))
         # On an epoch's last date a holding is told of twice: as it is, and as it is closed out at the next one's start.
-        full = full.join(ends, "g")
-        row = F.struct("dt", "raw", "ret", F.lit(False).alias("closing"))
-        closed = F.struct(F.col("next_first").alias("dt"), (F.col("w0") * F.col("grown")).alias("raw"), F.lit(None).cast("double").alias("ret"), F.lit(True).alias("closing"))
+        row = F.struct("dt", "raw", "ret", F.lit(False).alias("closing"), (F.col("dt") == F.col("first")).alias("opening"))
+        closed = F.struct(F.col("next_first").alias("dt"), (F.col("w0") * F.col("grown")).alias("raw"), F.lit(None).cast("double").alias("ret"), F.lit(True).alias("closing"), F.lit(False).alias("opening"))
         told = F.when((F.col("dt") == F.col("last")) & F.col("next_first").isNotNull(), F.array(row, closed)).otherwise(F.array(row))
         out = full.select("g", "quantile", "symbol", F.explode(told).alias("told")).select("g", "quantile", "symbol", "told.*")
         share = ratio(F.col("raw"), F.sum("raw").over(Window.partitionBy("dt", "quantile", "closing")))
-        return self._keep(out.withColumn("w", share).select("dt", "g", "quantile", "symbol", "w", "ret", "closing"))
+        return self._keep(out.withColumn("w", share).select("dt", "g", "quantile", "symbol", "w", "ret", "closing", "opening"))
+
+    @property
+    def weights(self) -> DataFrame:
+        """(dt, g, quantile, symbol, w, ret, closing): drifting weights; ``closing`` rows are an old epoch's
+        at the start of the next."""
+        return self.holdings.drop("opening")
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -168,11 +176,9 @@ class Backtest:
 
         A bin that has only an old or only a new portfolio isn't traded."""
         fee_buy, fee_sell = self.config.fees()
-        first = self.epochs.where("rebalance and g >= 0")
-        new = self.weights.where("not closing").join(first.select("dt", F.col("g").alias("g0")), "dt").where("g = g0")
-        new = new.select("dt", "quantile", "symbol", F.col("g").alias("g_new"), F.col("w").alias("w_new"))
-        old = self.weights.where("closing").select("dt", "quantile", "symbol", F.col("g").alias("g_old"), F.col("w").alias("w_old"))
-        both = new.join(old, ["dt", "quantile", "symbol"], "full_outer")
+        both = self.holdings.where("opening or closing").repartition("dt", "quantile").groupBy("dt", "quantile", "symbol")
+        side = lambda flag, c: F.max(F.when(F.col(flag), F.col(c)))
+        both = both.agg(side("opening", "g").alias("g_new"), side("opening", "w").alias("w_new"), side("closing", "g").alias("g_old"), side("closing", "w").alias("w_old"))
         group = Window.partitionBy("dt", "quantile")
         paired = (F.count("w_new").over(group) > 0) & (F.count("w_old").over(group) > 0)
         change = F.coalesce("w_new", F.lit(0.0)) - F.coalesce("w_old", F.lit(0.0))
@@ -182,25 +188,16 @@ class Backtest:
         out = both.select("dt", "quantile", "symbol", F.coalesce("g_new", "g_old").alias("g"), buy.alias("buy"), sell.alias("sell"))
         return self._keep(out.withColumns({"turnover": F.col("buy") + F.col("sell"), "cost": F.col("buy") * fee_buy + F.col("sell") * fee_sell}))
 
-    def _wide(self, long: DataFrame, values: list[str]) -> DataFrame:
-        """One column ``value_bin`` for each value and bin."""
-        bins = list(range(1, self.config.bins + 1))
-        out = long.groupBy("dt").pivot("quantile", bins).agg(*[F.first(v).alias(v) for v in values])
-        return out.select("dt", *[F.col(f"{q}_{v}" if len(values) > 1 else f"{q}").alias(f"{v}_{q}") for v in values for q in bins])
+    def _wide(self, long: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """Sums by date, a column ``name_bin`` for each value and bin; null for a bin without rows."""
+        sums = [F.sum(F.when(F.col("quantile") == q, F.coalesce(v, F.lit(0.0)))).alias(f"{name}_{q}") for name, v in values.items() for q in range(1, self.config.bins + 1)]
+        return long.groupBy("dt").agg(*sums)
 
     @cached_property
     def turnover(self) -> DataFrame:
         """Bought, sold, traded and paid by date and bin, and the mean of the outer bins as ``_ls``."""
         kinds, b = ["buy", "sell", "turnover", "cost"], self.config.bins
-        long = self.trades.groupBy("dt", "quantile").agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in kinds])
-        return self._wide(long, kinds).withColumns({f"{k}_ls": (F.col(f"{k}_1") + F.col(f"{k}_{b}")) / 2 for k in kinds})
-
-    @cached_property
-    def by_bin(self) -> DataFrame:
-        """(dt, quantile, ret, cost)"""
-        gross = self.weights.groupBy("dt", "quantile").agg(F.coalesce(F.sum(F.col("w") * F.col("ret")), F.lit(0.0)).alias("ret"))
-        paid = self.trades.groupBy("dt", "quantile").agg(F.sum("cost").alias("cost"))
-        return gross.join(paid, ["dt", "quantile"], "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+        return self._wide(self.trades, {k: F.col(k) for k in kinds}).withColumns({f"{k}_ls": (F.col(f"{k}_1") + F.col(f"{k}_{b}")) / 2 for k in kinds})
 
     @cached_property
     def series(self) -> DataFrame:
@@ -208,17 +205,18 @@ class Backtest:
 
         ``dt`` is when a bar's position is taken, ``realised`` when its return is known (null for the last)."""
         bins, b = range(1, self.config.bins + 1), self.config.bins
-        out = self._wide(self.by_bin, ["ret", "cost"])
-        out = out.withColumns({f"ret_s_{q}": -F.col(f"ret_{q}") for q in bins})
+        out = self._wide(self.holdings, {"ret": F.col("w") * F.col("ret")})
+        out = out.join(self._wide(self.trades, {"cost": F.col("cost")}), "dt", "left")
+        out = out.withColumns({f"cost_{q}": F.when(F.col(f"ret_{q}").isNotNull(), F.coalesce(f"cost_{q}", F.lit(0.0))) for q in bins} | {f"ret_s_{q}": -F.col(f"ret_{q}") for q in bins})
         out = out.withColumns({f"ret_net_{q}": F.col(f"ret_{q}") - F.col(f"cost_{q}") for q in bins} | {f"ret_net_s_{q}": F.col(f"ret_s_{q}") - F.col(f"cost_{q}") for q in bins} | {"ret_ls": (F.col(f"ret_{b}") - F.col("ret_1")) / 2})
         out = out.withColumn("ret_net_ls", F.col("ret_ls") - (F.col("cost_1") + F.col(f"cost_{b}")) / 2)
         in_time = Window.orderBy("dt")  # dates, not rows of the panel
         grown = [f"ret_{b}", "ret_s_1", *[f"ret_net_{q}" for q in bins], *[f"ret_net_s_{q}" for q in bins], "ret_ls", "ret_net_ls"]
         so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumns({f"cum_{c}": F.product(1 + F.col(c)).over(so_far) for c in grown})
+        out = out.withColumns({f"cum_{c}": F.product(1 + F.col(c)).over(so_far) for c in grown} | {"realised": F.lead("dt").over(in_time)})
         if self.analysis.log_scale:
             out = out.withColumns({f"cum_{c}": F.ln(F.col(f"cum_{c}")) for c in grown})
-        return out.withColumn("realised", F.lead("dt").over(in_time)).drop(*[f"cost_{q}" for q in bins])
+        return out.drop(*[f"cost_{q}" for q in bins])
 
     #: Legs of the report: name -> (net return, growth is its product, turnover).
     @property
