@@ -95,7 +95,7 @@ class PortfolioExposures:
         df = _returns(self.df, s, self.period, self.legacy)
         dates = df.select(s.date).distinct().withColumn("__rebalance", (F.row_number().over(Window.orderBy(s.date)) - 1) % self.period == 0)
         far = F.lit(False) if self.overnight == "on" else _overnight(df, s, self.period, self.bar_seconds)
-        df = df.withColumn("__far", far).join(F.broadcast(dates), s.date)
+        df = df.withColumn("__far", far).join(dates, s.date)
         keep = F.col("__rebalance") if self.overnight == "on" else F.col("__rebalance") | (~F.col("__far") if self.overnight == "off" else F.col("__far"))
         df = df.where(keep).select(s.date, s.symbol, s.factor, "fut_ret", *self.exposures)
         df = _zscores(df, s, self.exposures).dropna(subset=[s.factor, *self.exposures])

@@ -239,7 +239,7 @@ class Backtest:
             F.stddev_samp(loss).alias("loss_std"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win"), F.min("down").alias("mdd"), F.product(1 + F.col("r")).alias("final"),
         )
         traded = legs(self.turnover, 1).groupBy("leg").agg(F.avg("r").alias("traded"))
-        one = one.join(F.broadcast(traded), "leg", "left").join(F.broadcast(days))
+        one = one.join(F.broadcast(traded), "leg", "left").join(F.broadcast(days))  # three rows and one
         year = F.sqrt(ratio(F.lit(365.25), ratio(F.col("days"), F.col("n"))))
         gain = F.pow("final", ratio(F.lit(365.25), F.col("days"))) - 1
         return one.select(
@@ -285,6 +285,20 @@ class Backtest:
         wide = rows.groupBy("year").pivot("month", list(range(1, 13))).agg(F.product(1 + F.col("excess")) - 1)
         return wide.select("year", *[F.coalesce(F.col(str(m)), F.lit(0.0)).alias(f"m{m:02d}") for m in range(1, 13)])
 
+    def seasons(self, leg: str = "l") -> DataFrame:
+        """What a box plot of each calendar month over the years shows: (month, n, low, q1, mid, q3, high)."""
+        wide = self.calendar(leg)
+        told = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("month"), F.col(f"m{m:02d}").alias("x")) for m in range(1, 13)])).alias("told")).select("told.*")
+        at = lambda q: F.expr(f"percentile(x, {q})")
+        return told.groupBy("month").agg(F.count("x").alias("n"), F.min("x").alias("low"), at(0.25).alias("q1"), at(0.5).alias("mid"), at(0.75).alias("q3"), F.max("x").alias("high"))
+
+    @property
+    def rebalanced(self) -> DataFrame:
+        """(dt, quantile, symbol, old_w, new_w) of all portfolio changes: what a bin held at its drifted weight and what
+        it holds from then on, 0 for what isn't in one of them."""
+        side = lambda flag: F.coalesce(F.max(F.when(F.col(flag), F.col("w"))), F.lit(0.0))
+        return self.holdings.where("opening or closing").groupBy("dt", "quantile", "symbol").agg(side("closing").alias("old_w"), side("opening").alias("new_w"))
+
     def trace(self, date, bins: list[int] | None = None, position: str = "l") -> DataFrame:
         """Holdings round a date: the bars from two before it to one after, with contributions.
 

@@ -21,13 +21,16 @@ from . import moments, regress
 
 #: A regressor that keeps less than this share of its variance once others are taken out adds nothing.
 DEPENDENT = 1e-12
+#: A column with more levels isn't taken as a category.
+MOST_LEVELS = 2000
 
 
 def prepare(df: DataFrame, spec: PanelSpec, neutralizer_cols: list[str], dummy_cols: list[str] | None = None, scale_X: bool = False) -> tuple[DataFrame, list[str]]:
     """Rows that a fit can use, and the names of its regressors ``__x0``, ``__x1`` and so on.
 
     ``scale_X`` standardizes continuous regressors over the whole panel (a zero deviation only centres).
-    Categories become 0/1 columns for all their levels but the first.
+    Categories become 0/1 columns for all their levels but the first. These two look at the data, in jobs of their
+    own, when the plan is made; everything else waits for the result.
     """
     dummies = list(dummy_cols or [])
     require(df, spec.date, spec.symbol, spec.factor, *neutralizer_cols, *dummies)
@@ -37,7 +40,9 @@ def prepare(df: DataFrame, spec: PanelSpec, neutralizer_cols: list[str], dummy_c
         stats = df.agg(*[f(F.col(c)).alias(f"{n}_{x}") for x, c in zip(value, neutralizer_cols, strict=True) for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
         out = out.withColumns({x: (F.col(x) - stats[f"mean_{x}"]) / (stats[f"std_{x}"] or 1.0) for x in value if stats[f"mean_{x}"] is not None})
     for c in dummies:
-        levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())  # categories
+        levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect())
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"{c} has more than {MOST_LEVELS} levels: not a category")
         new = {f"__x{len(value) + i}": F.when(F.col(c) == level, 1.0).otherwise(0.0) for i, level in enumerate(levels[1:])}
         value |= new
         out = out.withColumns(new) if new else out

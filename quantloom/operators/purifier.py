@@ -28,7 +28,9 @@ def get_methods(step: str | None = None, method: str | None = None) -> dict:
 
 
 class Purifier:
-    """Each step gives a new chain; nothing runs before the result is asked for."""
+    """Each step gives a new chain; the rows are worked out when the result is asked for.
+
+    Neutralizers with categories or scaled regressors look at those columns first, in jobs of their own."""
 
     def __init__(self, df: DataFrame, spec: PanelSpec, columns: list[str] | None = None):
         require(df, spec.date, spec.symbol, spec.factor)

@@ -61,6 +61,7 @@ class Study:
             "turnover": self._periods(lambda x: x.turnover.select("dt", *traded)),
             "periodic": self._periods(lambda x: x.periodic(freq).select("period", f"{leg}_return")),
             "calendar": self._periods(lambda x: x.calendar("l" if leg == "ls" else leg)),
+            "seasons": self._periods(lambda x: x.seasons("l" if leg == "ls" else leg)),
             "stats": self.stats.where(F.col("leg") == leg),
         }
         if self.analysis.group_by:

@@ -257,6 +257,7 @@ SELECT leg, round(ann, 6) AS ann_return, round(sd * yr, 6) AS ann_std, round((an
   round(traded, 6) AS mean_turnover, round(mdd, 6) AS max_drawdown, round(win, 6) AS win_rate, round(mean / mean_loss, 6) AS pl, round(final - 1, 6) AS pnl FROM z"""
 
 _TURN_FINAL = "SELECT dt, " + ", ".join(f"round({v}_{q}, 6) AS {v}_{q}" for v in ("buy", "sell", "turnover", "cost") for q in range(1, 6)) + ", " + ", ".join(f"round(({v}_1 + {v}_5) / 2, 6) AS {v}_ls" for v in ("buy", "sell", "turnover", "cost")) + " FROM turn"
+_CALENDAR_RAW = ", c AS (SELECT year(realised) AS year, month(realised) AS month, product(1 + ret_net_5 - ret_net_ls) - 1 AS v FROM s WHERE realised IS NOT NULL GROUP BY 1, 2) SELECT CAST(year AS INTEGER) AS year, " + ", ".join(f"coalesce(max(CASE WHEN month = {m} THEN v END), 0) AS m{m:02d}" for m in range(1, 13)) + " FROM c GROUP BY year"
 _CALENDAR_FINAL = ", c AS (SELECT year(realised) AS year, month(realised) AS month, product(1 + ret_net_5 - ret_net_ls) - 1 AS v FROM s WHERE realised IS NOT NULL GROUP BY 1, 2) SELECT CAST(year AS INTEGER) AS year, " + ", ".join(f"round(coalesce(max(CASE WHEN month = {m} THEN v END), 0), 6) AS m{m:02d}" for m in range(1, 13)) + " FROM c GROUP BY year"
 _INDUSTRY_FINAL = """, lab AS (SELECT w.*, CASE WHEN w.symbol BETWEEN 1 AND 49 THEN 'group' || (w.symbol % 3) ELSE 'Unlabeled' END AS industry,
   CASE WHEN closing THEN CASE WHEN t.dt IS NOT NULL AND t.g_row = w.g THEN t.buy * {buy} + t.sell * {sell} END WHEN t.g_row = w.g THEN t.buy * {buy} + t.sell * {sell} END AS paid
@@ -428,6 +429,7 @@ def queries() -> dict:
     out |= {"backtest_periodic": _of("", of=lambda b: b.periodic("year")), "backtest_calendar": _of("", of=lambda b: b.calendar("l")), "backtest_stepped": _of("", of=lambda b: b.stepped(), agg_freq="1y")}
     out |= {"backtest_industries": _of("industries", group_by=GROUPS), "backtest_industries_nations": _of("industries", nations=True)}
     out |= {"backtest_trace": _of("", of=lambda b: b.trace("1995-06-01", [1, 5], "l").select(*TRACED)), "backtest_trace_short": _of("", of=lambda b: b.trace("1995-06-01", [1, 5], "s").select(*TRACED))}
+    out |= {"backtest_seasons": _of("", of=lambda b: b.seasons("l")), "backtest_rebalanced": _of("rebalanced")}
     out |= {f.__name__: f for f in (study_stats, study_ic_panel, study_periodic_sheet)}
     out |= {f.__name__: f for f in (attribution_portfolio, attribution_portfolio_long, attribution_pure, attribution_daily_correlations, attribution_correlations)}
     return out | {f.__name__: f for f in (store_as_of, store_scan, store_panel, store_merge, store_upsert_append, store_upsert_overwrite)}
@@ -442,6 +444,9 @@ def oracle_sql() -> dict[str, str]:
     periods = [backtest_sql(p, periodic.format(kind="DATE", name="period")) for p in ("Q", 3)]
     out |= {f"backtest_turnover_tax_{side}": backtest_sql("Q", _TURN_FINAL, config=config) for side, config in TAXED.items()}
     out |= {"backtest_trace_short": backtest_sql("Q", _TRACES["s"]), "backtest_stepped": backtest_sql("Q", periodic.format(kind="TIMESTAMP", name="agg_date"))}
+    months = " UNION ALL ".join(f"SELECT {m} AS month, m{m:02d} AS x FROM z" for m in range(1, 13))
+    out["backtest_seasons"] = f"WITH z AS ({backtest_sql('Q', _CALENDAR_RAW)}) SELECT month, count(x) AS n, round(min(x), 6) AS low, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS mid, round(quantile_cont(x, 0.75), 6) AS q3, round(max(x), 6) AS high FROM ({months}) GROUP BY month"
+    out["backtest_rebalanced"] = backtest_sql("Q", "SELECT dt, quantile, symbol, round(coalesce(w_old, 0), 6) AS old_w, round(coalesce(w_new, 0), 6) AS new_w FROM t0")
     out["study_periodic_sheet"] = f"SELECT period, ls_return, 'Q' AS rebalance_period FROM ({periods[0]}) UNION ALL SELECT period, ls_return, '3' FROM ({periods[1]})"
     grouped = "CASE WHEN w.symbol BETWEEN 1 AND 49 THEN 'group' || (w.symbol % 3) ELSE 'Unlabeled' END"
     out["backtest_industries_nations"] = backtest_sql("Q", _INDUSTRY_FINAL.replace(grouped, "(SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = w.symbol)"))
