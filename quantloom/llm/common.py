@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -58,6 +59,22 @@ def meeting_cells(rows: DataFrame, on: list[str], by: list[str], sizes: DataFram
     return rows.join(many, on, "left").withColumn("cell", F.explode(cells)).drop("__blocks")
 
 
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to what all operators here can do with; they are never raised.
+
+    Spark has no such bounds for one plan, and takes them when a plan runs; by default each task holds 64 MB in the
+    JVM and again in Python, which executors with a few workers and little memory outside the heap don't have."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", str(spark.conf.get(key, "0")))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def release() -> None:
     """Hand memory that is no longer used back to the system: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tidy
+from .common import bounded_batches, materialize, table, tidy
 from .components import components, local_roots
 
 COSINE = 0.93
@@ -98,6 +98,7 @@ def join_intervals(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray
 def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component): other vectors of the label linked with, smallest key reachable."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     finite = lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
     good = F.col("k").isNotNull() & F.col("l").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0)
     rows = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<float>" if "float" in rows.schema[vector].dataType.simpleString() else "array<double>").alias("v"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, remainder, table, tidy
+from .common import bounded_batches, portions, remainder, table, tidy
 
 ORDER = 3
 SAMPLE = 400
@@ -51,6 +51,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) of all byte quadruples."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
@@ -188,6 +189,7 @@ def has_letter(text: str) -> bool:
 
 def predict_languages(docs: DataFrame, trees: ContextTrees | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score): the language of the shortest code, and its share of the posterior."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     kind = docs.schema[key].dataType.simpleString()
 

@@ -37,7 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, portions, table, tidy
+from .common import bounded_batches, materialize, partitions, portions, table, tidy
 from .tokens import mix, slices, token_hashes
 
 JACCARD = 0.8
@@ -46,7 +46,7 @@ BUCKETS = 1 << 20
 ROUNDS, WIDE, BLOCK = (4, None), 512, 256
 PAIRS = 1 << 18
 #: Bits of the marks of each line or token that is asked for, and of all marks at most: more aren't broadcast.
-MARK_BITS, MOST_MARKS = 16, 1 << 26
+MARK_BITS, MOST_MARKS = 16, 1 << 25
 #: Removed lines up to this many are broadcast (16 bytes each); more are shuffled.
 BROADCAST_LINES = 1_000_000
 #: Pairs up to this many are broadcast (16 bytes for each line).
@@ -430,8 +430,8 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
         return row, np.minimum(own, other) * blocks[row] + np.maximum(own, other)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = np.unpackbits(tokens.value).astype(bool) if tokens else None
-        ask = np.unpackbits(asked.value).astype(bool) if asked else None
+        use = np.unpackbits(tokens.value).view(bool) if tokens else None
+        ask = np.unpackbits(asked.value).view(bool) if asked else None
         for batch in batches:
             for lines, prefixes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc, sub, line, sig, parity, n, more = unpack_lines(lines)
@@ -539,7 +539,7 @@ def token_sets(involved: DataFrame, docs: DataFrame) -> DataFrame:
         docs = docs.join(asked, ["doc", "sub"]).select("doc", "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool) if shared.value is not None else None
+        wanted = np.unpackbits(shared.value).view(bool) if shared.value is not None else None
         for batch in portions(batches):
             raw, feeds, owner, number = lines_in([x or b"" for x in batch.column(1).to_pylist()])
             if wanted is not None:
@@ -607,6 +607,7 @@ def repeated_lines(docs: DataFrame, jaccard: float = JACCARD) -> tuple[DataFrame
     """Of rows (doc, text, sub): (doc, sub, n_lines), lines with tokens of all documents that have any, and
     (doc, sub, line) of all removed lines."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     counts = count_tokens(docs, "text")
     place = np.empty(BUCKETS, np.uint32)
     place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MODEL, portions, table, tidy
+from .common import MODEL, bounded_batches, portions, table, tidy
 from .tokens import slices
 
 SPACE = "▁"
@@ -269,6 +269,7 @@ def codec(model_path: str) -> PieceCodec:
 
 def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, begins, ends, decoded): piece ids, their source byte spans, the decoded text."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

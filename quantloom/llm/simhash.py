@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialize, meeting_cells, portions, table, tidy
+from .common import bounded_batches, materialize, meeting_cells, portions, table, tidy
 from .components import components, local_roots
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
@@ -79,7 +79,15 @@ def fingerprint(texts: pa.Array) -> pa.Array:
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp): fingerprints as signed 64-bit numbers."""
-    return docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp"))
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            fp = fingerprints([(t or "").encode() for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, fp long")
 
 
 def masks(limit: int = LIMIT) -> list[int]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder, table, tidy
+from .common import bounded_batches, materialize, remainder, table, tidy
 from .tokens import mix, slices, token_hashes
 
 BUCKETS = 1 << 22
@@ -167,6 +167,7 @@ def _chance(key: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Learn from the rows for which the SQL condition ``usable`` holds; None if no toxic row is known."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     told = labels.where(usable).where(F.col(label).isNotNull()).groupBy(F.col(key)).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     n, n_toxic = told.agg(F.count("*"), F.sum("toxic")).first()
     n_docs = docs.where(usable).count()
@@ -216,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: str, key: str = "doc_id",
 
 def scorer(spark: SparkSession, model: Model | None):
     """A column function: text -> score."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

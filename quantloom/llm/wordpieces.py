@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MODEL, portions, table, tidy
+from .common import MODEL, bounded_batches, portions, table, tidy
 
 UNKNOWN = 1 << 32
 #: Distinct words that a worker remembers before it starts anew.
@@ -107,6 +107,7 @@ def automaton(path: str) -> Automaton:
 
 def count_tokens(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_tokens, n_unknown) of each row."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
