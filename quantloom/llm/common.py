@@ -70,7 +70,8 @@ def bounded_batches(spark: SparkSession) -> None:
     JVM and again in Python, which executors with a few workers and little memory outside the heap don't have."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int(re.match(r"-?\d+", str(spark.conf.get(key, "0")))[0])
+        n, unit = re.match(r"(-?\d+)\s*([kmgt]?)", spark.conf.get(key).lower()).groups()
+        now = int(n) << " kmgt".index(unit or " ") * 10
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 
