@@ -37,7 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, partitions, portions, table, tidy
+from .common import PORTION, bounded_batches, materialize, partitions, portions, table, tidy
 from .tokens import mix, slices, token_hashes
 
 JACCARD = 0.8
@@ -45,6 +45,8 @@ BUCKETS = 1 << 20
 #: Partners that a prefix hands on for a line in each round; groups beyond WIDE are searched by blocks.
 ROUNDS, WIDE, BLOCK = (4, None), 512, 256
 PAIRS = 1 << 18
+#: Pairs that are held before they are thinned out or handed on, and prefix tokens of a part that are searched at once.
+HELD, PART = 1 << 20, 1 << 17
 #: Bits of the marks of each line or token that is asked for, and of all marks at most: more aren't broadcast.
 MARK_BITS, MOST_MARKS = 16, 1 << 25
 #: Removed lines up to this many are broadcast (16 bytes each); more are shuffled.
@@ -186,7 +188,7 @@ def count_tokens(docs: DataFrame, text: str) -> np.ndarray:
 
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
         texts = [t or b"" for t in batch.column(0).to_pylist()]
-        for a, b in slices(texts):
+        for a, b in slices(texts, PORTION):
             raw = _FOLD[np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)]
             total += np.bincount(bucket(token_hashes(raw, _TOKEN[raw])[0]), minlength=BUCKETS).astype(np.uint32)
 
@@ -279,8 +281,8 @@ def differ(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def crowds(rows: DataFrame) -> dict[int, int]:
-    """Prefix tokens that very many lines have, and how many blocks to cut those into.
+def crowds(rows: DataFrame) -> tuple[dict[int, int], int]:
+    """Prefix tokens that very many lines have, with how many blocks to cut those into; and how many tokens all are.
 
     Heavy tokens are counted portion by portion, so that few of all tokens are looked at, and no more than the
     reciprocal of ``HEAVY`` can pass in any portion; counts only deal work, they decide nothing."""
@@ -294,7 +296,7 @@ def crowds(rows: DataFrame) -> dict[int, int]:
     total = rows.agg(F.coalesce(F.sum(F.length("prefixes")), F.lit(0))).first()[0] // 4
     share = max(CROWD, total // (16 * partitions(rows.sparkSession)))
     found = rows.select("heavy").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > share)
-    return {r["token"]: -(-r["n"] // share) for r in found.collect()}  # no more than sixteen for each partition
+    return {r["token"]: -(-r["n"] // share) for r in found.collect()}, total  # no more than sixteen for each partition
 
 
 def line_marks(doc: np.ndarray, line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,14 +339,19 @@ def older(doc, sub, line, a, b) -> np.ndarray:
 
 
 def partners(token, doc, sub, line, parity, n, pos, probe, t: float, first: int | None):
-    """(row, earlier row, whether there are more) for rows that share a token and may match, and all such rows.
+    """(row, earlier row) for rows that share a token and may match, in blocks; last (None, how many partners each
+    row has, whether it is in any pair).
 
-    Rows are in order of token, then size. ``first``: how many of the partners to give, those with the closest parity maps.
+    Rows are in order of token, then size. ``first``: how many of the partners to give, those with the closest parity
+    maps. No more than ``HELD`` pairs and ``first`` for each row are held at once, whatever the rows have in common.
     """
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     sizes = np.diff(np.append(starts, len(token)))
     group = np.repeat(np.arange(len(starts)), sizes)
     share = t / (1 + t)
+    total, fit = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
+    found: list[tuple] = []
+    held = 0
 
     def fits(a, b):
         least = np.ceil((n[a] + n[b]) * share - 1e-9)
@@ -356,66 +363,82 @@ def partners(token, doc, sub, line, parity, n, pos, probe, t: float, first: int
         swap = older(doc, sub, line, a, b)
         late, early = np.where(swap, b, a), np.where(swap, a, b)
         ok = probe[late] & older(doc, sub, line, early, late)
-        return late[ok], early[ok], gap[ok]
-
-    found = []
-    key = group * (1 << 32) + n
-    reach = np.searchsorted(key, group * (1 << 32) + np.floor(n / t + 1e-9).astype(np.int64), "right")
-    count = np.where(sizes[group] <= WIDE, reach - np.arange(len(token)) - 1, 0)
-    total = np.concatenate([[0], np.cumsum(count)])
-    at = 0
-    while at < len(token):
-        to = min(len(token), max(at + 1, int(np.searchsorted(total, total[at] + PAIRS))))
-        c = count[at:to]
-        a = np.repeat(np.arange(at, to), c)
-        found.append(fits(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)))
-        at = to
-    for s, size in zip(starts[sizes > WIDE], sizes[sizes > WIDE], strict=True):
-        by_age = s + np.lexsort((line[s : s + size], sub[s : s + size], doc[s : s + size]))
-        place = np.empty(size, np.int64)
-        place[by_age - s] = np.arange(size)
-        open_ = probe[by_age].copy()
-        held = np.zeros(size, np.int64)
-        for low in range(0, size, BLOCK):
-            old = by_age[low : low + BLOCK]
-            young = np.flatnonzero(open_[low:]) + low
-            if not len(young):
-                break
-            for a0 in range(0, len(young), PAIRS // BLOCK):
-                own = young[a0 : a0 + PAIRS // BLOCK]
-                a, b = np.repeat(by_age[own], len(old)), np.tile(old, len(own))
-                ok = older(doc, sub, line, b, a) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * t - 1e-9)
-                found.append(fits(a[ok], b[ok]))
-                np.add.at(held, place[found[-1][0] - s], 1)
-            if first is not None:
-                open_ &= held <= first
-    late, early, gap = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-    fit = np.zeros(len(token), bool)
-    fit[late] = fit[early] = True
-    order = np.lexsort((line[early], sub[early], doc[early], gap, late))
-    late, early = late[order], early[order]
-    begin = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, len(late)))
-    nth = np.arange(len(late)) - np.repeat(begin, size)
-    more = np.repeat(size, size) > (first or len(late) + 1)
-    keep = nth < first if first is not None else np.ones(len(late), bool)
-    return late[keep], early[keep], more[keep], np.flatnonzero(fit)
+        late, early, gap = late[ok], early[ok], gap[ok]
+        fit[late] = fit[early] = True
+        return late, early, gap
+
+    def closest():
+        """Of the pairs found so far those to give, by row."""
+        late, early, gap = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        order = np.lexsort((line[early], sub[early], doc[early], gap, late))
+        late, early, gap = late[order], early[order], gap[order]
+        if first is not None:
+            begin = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.zeros(0, np.int64)
+            keep = np.arange(len(late)) - np.repeat(begin, np.diff(np.append(begin, len(late)))) < first
+            late, early, gap = late[keep], early[keep], gap[keep]
+        return late, early, gap
+
+    def chunks():
+        key = group * (1 << 32) + n
+        reach = np.searchsorted(key, group * (1 << 32) + np.floor(n / t + 1e-9).astype(np.int64), "right")
+        count = np.where(sizes[group] <= WIDE, reach - np.arange(len(token)) - 1, 0)
+        ahead = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(token):
+            to = min(len(token), max(at + 1, int(np.searchsorted(ahead, ahead[at] + PAIRS))))
+            c = count[at:to]
+            a = np.repeat(np.arange(at, to), c)
+            yield fits(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c))
+            at = to
+        for s, size in zip(starts[sizes > WIDE], sizes[sizes > WIDE], strict=True):
+            by_age = s + np.lexsort((line[s : s + size], sub[s : s + size], doc[s : s + size]))
+            open_ = probe[by_age].copy()
+            for low in range(0, size, BLOCK):
+                old = by_age[low : low + BLOCK]
+                young = np.flatnonzero(open_[low:]) + low
+                if not len(young):
+                    break
+                for a0 in range(0, len(young), PAIRS // BLOCK):
+                    own = young[a0 : a0 + PAIRS // BLOCK]
+                    a, b = np.repeat(by_age[own], len(old)), np.tile(old, len(own))
+                    ok = older(doc, sub, line, b, a) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * t - 1e-9)
+                    yield fits(a[ok], b[ok])
+                if first is not None:
+                    open_ &= total[by_age] <= first
+
+    for pairs in chunks():
+        if not len(pairs[0]):
+            continue
+        low = int(pairs[0].min())
+        own = np.bincount(pairs[0] - low)
+        total[low : low + len(own)] += own
+        found.append(pairs)
+        held += len(pairs[0])
+        if held >= HELD:
+            late, early, gap = closest()
+            found, held = ([(late, early, gap)], 0) if first is not None else ([], 0)
+            if first is None:
+                yield late, early
+    late, early, _ = closest()
+    if len(late):
+        yield late, early
+    yield None, total, fit
 
 
 MET = "doc long, sub long, line int, sig long, par long, other long, opar long, token long"
 NAMES = [c.split()[0] for c in MET.split(", ")]
 
 
-def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int], tokens=None, asked=None, again: bool = True) -> DataFrame:
+def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int], total: int, tokens=None, asked=None, again: bool = True) -> DataFrame:
     """What lines meet by shared prefix tokens, with the columns MET: (sig, par) is a line, (other, opar) an
     earlier partner of it. Rows without a partner tell of lines that were compared and may match, or, with a
-    token, that there are more partners of the line at it than ``first``.
+    token, that there are more partners of the line at it than ``first``. ``total``: how many prefix tokens there are.
 
     ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for, if not
     all. ``again``: whether to tell of equal lines.
     """
     spark = rows.sparkSession
-    ranges = max(256, 4 * partitions(spark))
+    ranges = max(256, 4 * partitions(spark), total // PART)
     crowd_token = np.array(sorted(crowded), np.uint32)
     crowd_blocks = np.array([crowded[k] for k in sorted(crowded)], np.int64)
 
@@ -460,9 +483,21 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
         return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(size, pa.int64()) for c in NAMES], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(raw, MEETING) + unpack_narrow(small, 7) for batch in batches for raw, small in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        if not got:
-            return
+        """Part by part: a task's parts are one after the other, and only one of them is unpacked."""
+        held, now = [], None
+        for batch in batches:
+            for part, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if held:
+                        yield from search(held)
+                    held, now = [], part
+                held.append(packed)
+        if held:
+            yield from search(held)
+
+    def search(packed: list) -> Iterator[pa.RecordBatch]:
+        got = [unpack(raw, MEETING) + unpack_narrow(small, 7) for raw, small in packed]
+        packed.clear()
         columns = [np.concatenate([np.cumsum(x) for x in c] if i in (3, 4) else c) for i, c in enumerate(zip(*got, strict=True))]
         del got
         if columns[9].any():  # cells of crowded tokens are tokens of their own
@@ -503,24 +538,27 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
         del columns
         if not len(token):
             return
-        late, early, more, fit = partners(token, doc, sub, line, parity, n, pos, probe.astype(bool), t, first)
-        if not len(late):
-            return
         place = lambda at: {"doc": doc[at], "sub": sub[at], "line": line[at], "sig": sig[at].view(np.int64), "par": parity[at].view(np.int64)}
-        open_ = np.unique(late[more])
+        for late, early, *fit in partners(token, doc, sub, line, parity, n, pos, probe.astype(bool), t, first):
+            if late is None:
+                total, fit = early, np.flatnonzero(fit[0])
+                break
+            # The same partner by several tokens counts once.
+            order = np.lexsort((parity[early], sig[early], line[late], sub[late], doc[late]))
+            late, early = late[order], early[order]
+            keep = np.ones(len(late), bool)
+            keep[1:] = differ(late, doc, sub, line) | differ(early, sig, parity)
+            late, early = late[keep], early[keep]
+            yield told(place(late) | {"other": sig[early].view(np.int64), "opar": parity[early].view(np.int64)})
+        if not len(fit):
+            return
+        open_ = np.flatnonzero(total > first) if first is not None else fit[:0]
         yield told(place(open_) | {"token": token[open_].astype(np.int64) & 0xFFFFFFFF})
-        # The same partner by several tokens counts once.
-        order = np.lexsort((parity[early], sig[early], line[late], sub[late], doc[late]))
-        late, early = late[order], early[order]
-        keep = np.ones(len(late), bool)
-        keep[1:] = differ(late, doc, sub, line) | differ(early, sig, parity)
-        late, early = late[keep], early[keep]
-        yield told(place(late) | {"other": sig[early].view(np.int64), "opar": parity[early].view(np.int64)})
         # One row for each line that fits any other, with no partner.
         order = fit[np.lexsort((line[fit], sub[fit], doc[fit]))]
         yield told(place(order[np.concatenate([[True], differ(order, doc, sub, line)])]))
 
-    got = rows.select("lines", "prefixes").mapInArrow(tidy(deal), "part int, wide binary, narrow binary").repartition("part").mapInArrow(tidy(run), MET)
+    got = rows.select("lines", "prefixes").mapInArrow(tidy(deal), "part int, wide binary, narrow binary").repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), MET)
     return got.distinct()
 
 
@@ -613,7 +651,7 @@ def repeated_lines(docs: DataFrame, jaccard: float = JACCARD) -> tuple[DataFrame
     place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
     rank = spark.sparkContext.broadcast(place)
     rows = materialize(line_rows(docs, rank, jaccard))
-    crowded = crowds(rows)
+    crowded, total = crowds(rows)
     at, line = ["doc", "sub", "line"], ["sig", "par"]
     removed, held, sets, open_ = [], [], None, None
     for first in ROUNDS:
@@ -625,7 +663,7 @@ def repeated_lines(docs: DataFrame, jaccard: float = JACCARD) -> tuple[DataFrame
             asked = None if own is None else spark.sparkContext.broadcast(own)
             use = marked(used, used.count(), lambda b, size: token_marks(b.column(0).to_numpy(), size))
             tokens = None if use is None else spark.sparkContext.broadcast(use)
-        met = materialize(meet(rows, jaccard, first, crowded, tokens, asked, again=sets is None))
+        met = materialize(meet(rows, jaccard, first, crowded, total, tokens, asked, again=sets is None))
         involved = met.where("other is null and token is null")
         pairs = met.where("other is not null and (sig <> other or par <> opar)")
         if sets is None:
