@@ -175,18 +175,103 @@ def theil_sen(y, x, rng, subsets=1000, max_iter=300, tol=1e-6):
 # -- kernels and trees -------------------------------------------------------------------------------
 
 
+#: Rows up to which a kernel's whole matrix is made, and that are taken at once beyond; rows that pivots come from at
+#: first, pivots at most, and those that precondition; what may be left of a row's own kernel value, as a share of alpha or, if that is more, of the value
+#: (rounding errors); and how exact the solution is where that takes more pivots.
+DENSE, CHUNK, SOME, PIVOTS, FEW, LEFT, ROUNDING, EXACT = 2048, 1024, 2048, 2048, 256, 1e-12, 1e-14, 1e-13
+
+
 def kernel_ridge(y, x, rng=None, kernel="rbf", alpha=1.0, gamma=None, degree=3, coef0=1.0):
+    """K (K + alpha I)^-1 y. The matrix K of many rows isn't made: see ``_kernel_fit``."""
     gamma = 1 / x.shape[1] if gamma is None else gamma
-    if kernel == "rbf":
-        square = (x**2).sum(axis=1)
-        gram = np.exp(-gamma * np.maximum(square[:, None] + square - 2 * x @ x.T, 0))
-    elif kernel == "linear":
-        gram = x @ x.T
-    elif kernel == "poly":
-        gram = (gamma * x @ x.T + coef0) ** degree
-    else:
+    if kernel not in ("rbf", "linear", "poly"):
         raise NotImplementedError(f"kernel {kernel!r}")
-    return gram @ np.linalg.solve(gram + alpha * np.eye(len(y)), y)
+
+    def part(a, b):
+        if kernel == "rbf":
+            return np.exp(-gamma * np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0))
+        return a @ b.T if kernel == "linear" else (gamma * a @ b.T + coef0) ** degree
+
+    definite = gamma >= 0 and (kernel != "poly" or (coef0 >= 0 and degree == int(degree) and degree >= 0))
+    if len(y) <= DENSE or alpha <= 0 or not definite:
+        gram = part(x, x)
+        return gram @ np.linalg.solve(gram + alpha * np.eye(len(y)), y)
+    square = (x**2).sum(axis=1)
+    whole = {"rbf": lambda: np.ones(len(x)), "linear": lambda: square, "poly": lambda: (gamma * square + coef0) ** degree}[kernel]()
+    return _kernel_fit(y, x, part, whole, alpha)
+
+
+def _greedy(x, part, whole, least):
+    """(rows, R) of a pivoted Cholesky factor: the row with most left is next, so errors don't grow."""
+    at, root, told, left = [], np.zeros((PIVOTS, PIVOTS)), np.zeros((PIVOTS, len(x))), whole.copy()
+    while len(open_ := np.flatnonzero(left > least)) and len(at) < PIVOTS:
+        j, r = open_[left[open_].argmax()], len(at)
+        root[r, :r], root[r, r] = told[:r, j], np.sqrt(left[j])
+        told[r] = (part(x[j : j + 1], x)[0] - told[:r, j] @ told[:r]) / root[r, r]
+        left -= told[r] ** 2
+        left[j] = 0
+        at.append(j)
+    return np.array(at), root[: len(at), : len(at)]
+
+
+def _pivots(x, part, whole, alpha):
+    """(rows, R, whether they do): rows whose kernel R R' tells all rows' kernel up to ``LEFT``.
+
+    K is L' L with L = R^-1 k(rows, x), but for what is left. Pivots come from some rows; all rows are
+    held against them, and those that aren't told join the ones that pivots come from."""
+    least = np.maximum(LEFT * np.minimum(whole, alpha), ROUNDING * whole)
+    some = np.unique(np.linspace(0, len(x) - 1, SOME).astype(np.int64))
+    while True:
+        at, root = _greedy(x[some], part, whole[some], least[some])
+        at, new = some[at], []
+        if len(at) == PIVOTS or len(some) > 4 * SOME:
+            return at[:FEW], root[:FEW, :FEW], False
+        for lo in range(0, len(x), CHUNK):
+            own = slice(lo, lo + CHUNK)
+            left = np.abs(whole[own] - (np.linalg.solve(root, part(x[at], x[own])) ** 2).sum(axis=0)) / least[own]
+            most = np.argsort(left)[-16:]
+            new.append(lo + most[left[most] > 4])
+        new = np.setdiff1d(np.concatenate(new), some)
+        if not len(new):
+            return at, root, True
+        some = np.union1d(some, new)
+
+
+def _kernel_fit(y, x, part, whole, alpha):
+    """Kernel ridge with no more than a few matrices of ``PIVOTS`` by ``PIVOTS`` numbers.
+
+    Smooth kernels of few columns are told by some hundred pivots, and the fit is on those: with K = L' L it is
+    L' (L L' + alpha I)^-1 L y. Where they don't suffice, they precondition conjugate gradients on the whole kernel,
+    of which a few rows are made at a time."""
+    at, root, enough = _pivots(x, part, whole, alpha)
+    chunks = [slice(lo, lo + CHUNK) for lo in range(0, len(x), CHUNK)]
+    told = lambda c: np.linalg.solve(root, part(x[at], x[c]))
+    inner = alpha * np.eye(len(at))
+    for c in chunks:
+        own = told(c)
+        inner += own @ own.T
+
+    def fit(v):
+        w = np.linalg.solve(inner, sum(told(c) @ v[c] for c in chunks))
+        return np.concatenate([told(c).T @ w for c in chunks])
+
+    if enough:
+        return fit(y)
+    step = max(1, (1 << 21) // len(x))
+    product = lambda v: np.concatenate([part(x[lo : lo + step], x) @ v for lo in range(0, len(x), step)]) + alpha * v
+    c = (y - fit(y)) / alpha
+    r = y - product(c)
+    z = (r - fit(r)) / alpha
+    p, rz = z, r @ z
+    for _ in range(len(y)):
+        if np.linalg.norm(r) <= EXACT * np.linalg.norm(y):
+            break
+        q = product(p)
+        c, r = c + rz / (p @ q) * p, r - rz / (p @ q) * q
+        z = (r - fit(r)) / alpha
+        rz, last = r @ z, rz
+        p = z + rz / last * p
+    return y - alpha * c
 
 
 def tree_fit(y, x, rng=None, depth=None, features=None, leaf=1):
