@@ -275,51 +275,66 @@ def _kernel_fit(y, x, part, whole, alpha):
 
 
 def tree_fit(y, x, rng=None, depth=None, features=None, leaf=1):
-    """Fitted values of a regression tree on its own rows, and a function for other rows."""
-    nodes: list[tuple] = []
-
-    def grow(rows, level) -> int:
-        me = len(nodes)
-        nodes.append((None, 0.0, y[rows].mean(), 0, 0))
-        if len(rows) < 2 * leaf or (depth is not None and level >= depth) or np.ptp(y[rows]) == 0:
-            return me
-        tried = rng.permutation(x.shape[1]) if features else np.arange(x.shape[1])
-        best = None
-        for seen, j in enumerate(tried):
-            if features and seen >= features and best is not None:
-                break
-            order = rows[np.argsort(x[rows, j], kind="stable")]
-            v, t = x[order, j], y[order]
-            left = np.arange(1, len(t))
-            total = np.cumsum(t)
-            gain = total[:-1] ** 2 / left + (total[-1] - total[:-1]) ** 2 / (len(t) - left)
-            gain[(v[1:] == v[:-1]) | (left < leaf) | (len(t) - left < leaf)] = -np.inf
-            at = int(gain.argmax())
-            if np.isfinite(gain[at]) and (best is None or gain[at] > best[0]):
-                best = (gain[at], j, (v[at] + v[at + 1]) / 2)
-        if best is None:
-            return me
-        _, j, cut = best
-        below = x[rows, j] <= cut
-        if below.all() or not below.any():
-            return me
-        a, b = grow(rows[below], level + 1), grow(rows[~below], level + 1)
-        nodes[me] = (j, cut, nodes[me][2], a, b)
-        return me
-
-    grow(np.arange(len(y)), 0)
+    """A regression tree, as a function of rows. It grows level by level: all nodes of a level are split at once."""
+    n, columns = x.shape
+    place = np.empty((columns, n), np.int64)  # ranks, ties by row
+    for j in range(columns):
+        place[j, np.argsort(x[:, j], kind="stable")] = np.arange(n)
+    levels, made = [], 1  # of each level's nodes: column or -1, cut, value, the first of two children
+    rows, size = np.arange(n), np.array([n])
+    while len(size):
+        start = np.cumsum(size) - size
+        t = y[rows]
+        value = np.add.reduceat(t, start) / size
+        split = (size >= 2 * leaf) & (np.maximum.reduceat(t, start) != np.minimum.reduceat(t, start))
+        split &= depth is None or len(levels) < depth
+        tried = rng.random((len(size), columns)).argsort(axis=1) if features else np.tile(np.arange(columns), (len(size), 1))
+        best, column, cut = np.full(len(size), -np.inf), np.full(len(size), -1), np.zeros(len(size))
+        group = np.repeat(np.arange(len(size)), size)
+        t = t - value[group]
+        for seen in range(columns):
+            asked = split & ((column < 0) if features and seen >= features else True)
+            for j in np.unique(tried[asked, seen]):
+                nodes = asked & (tried[:, seen] == j)
+                mine = np.flatnonzero(nodes[group])
+                mine = mine[np.argsort(group[mine] * n + place[j, rows[mine]])]
+                own, g, v = size[nodes], group[mine], x[rows[mine], j]
+                first = np.cumsum(own) - own
+                total = np.cumsum(t[mine])
+                total -= np.repeat(total[first] - t[mine[first]], own)
+                left = np.arange(1, len(mine) + 1) - np.repeat(first, own)
+                right = np.repeat(own, own) - left
+                gain = total**2 * (1 / left + 1 / np.maximum(right, 1))
+                same = np.append(v[1:] == v[:-1], True)
+                gain[same | (left < leaf) | (right < leaf) | (right == 0)] = -np.inf
+                most = np.maximum.reduceat(gain, first)
+                at = np.flatnonzero(gain == np.repeat(most, own))
+                at = at[np.concatenate([[True], g[at[1:]] != g[at[:-1]]])]  # the first of each node
+                better = most > best[g[at]]
+                at, most = at[better], most[better]
+                best[g[at]], column[g[at]], cut[g[at]] = most, j, (v[at] + v[at + 1]) / 2
+        goes = column[group] >= 0
+        rows, group = rows[goes], group[goes]
+        side = np.where(x[rows, column[group]] <= cut[group], 0, 1)
+        below = np.bincount(group[side == 0], minlength=len(size))
+        column[below == size] = -1  # the cut is the upper value itself
+        goes = column[group] >= 0
+        rows, side, group = rows[goes], side[goes], group[goes]
+        child = np.where(column >= 0, made + 2 * (np.cumsum(column >= 0) - 1), 0)
+        levels.append((column, cut, value, child))
+        made += 2 * int((column >= 0).sum())
+        key = child[group] + side
+        order = np.argsort(key, kind="stable")
+        rows, size = rows[order], np.bincount(key - (made - 2 * int((column >= 0).sum())), minlength=0) if len(key) else np.zeros(0, np.int64)
+    column, cut, value, child = (np.concatenate(c) for c in zip(*levels, strict=True))
 
     def predict(z):
-        out, todo = np.empty(len(z)), [(0, np.arange(len(z)))]
-        while todo:
-            at, rows = todo.pop()
-            j, cut, value, a, b = nodes[at]
-            if j is None:
-                out[rows] = value
-            else:
-                below = z[rows, j] <= cut
-                todo += [(a, rows[below]), (b, rows[~below])]
-        return out
+        at, todo = np.zeros(len(z), np.int64), np.arange(len(z))
+        while len(todo):
+            j = column[at[todo]]
+            todo, j = todo[j >= 0], j[j >= 0]
+            at[todo] = child[at[todo]] + (z[todo, j] > cut[at[todo]])
+        return value[at]
 
     return predict
 
