@@ -7,8 +7,9 @@ lines), and the whole file. Document frequencies of all words are counted over a
 file's name and a licensed line or block, is a license file and licenses its directory. Other files inherit from
 the license file in the nearest ancestor directory, by joins on directory paths.
 
-A text can reach a threshold only if it has one of a template's anchors, words without which too little
-of the template is left, the heaviest first; units without an anchor are put aside before any vector is made.
+A text's cosine with a template is no more than the length of what they share of the template's vector, whatever
+else the text has. Each word has the most that it is of any template's squared length; units and files whose distinct
+words sum up to less than a threshold's square are put aside where they are read, before any vector is made.
 
 Defined results: null texts are empty and have no license of their own; empty paths lie in the root; rows
 of one path are one file with all their units; the best license is the one with the highest cosine, then
@@ -69,7 +70,7 @@ TEMPLATES = [
 LINE, FILE = 0.8, 0.6
 #: What is between blocks of lines.
 BLANK = r"\n[ \t\r]*\n"
-#: Paths of files with an anchor up to this many are broadcast; more are shuffled.
+#: Paths of files that may reach a threshold up to this many are broadcast; more are shuffled.
 BROADCAST_PATHS = 1_000_000
 NAMES = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$"
 WORD = "[a-z0-9]+"
@@ -86,18 +87,23 @@ class Weights:
 
     def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n: int):
         self.idf = {w: round(math.log((1 + n) / (1 + df.get(w, 0))) + 1, 9) for w in vocabulary(templates)}
-        self.rows, anchors = [], set()
+        self.rows, self.shares = [], dict.fromkeys(self.idf, 0.0)
         for no, (name, text) in enumerate(templates):
             own = split_words(text)
             vector = {w: own.count(w) * self.idf[w] for w in own}
-            whole = left = sum(x * x for x in vector.values())
+            whole = sum(x * x for x in vector.values())
             self.rows += [(no, name, w, x, math.sqrt(whole)) for w, x in sorted(vector.items())]
-            for w in sorted(vector, key=lambda w: (-vector[w], w)):
-                if left < (min(LINE, FILE) - 1e-6) ** 2 * whole:
-                    break
-                anchors.add(w)
-                left -= vector[w] ** 2
-        self.anchors = sorted(anchors)
+            for w, x in vector.items():
+                self.shares[w] = max(self.shares[w], x * x / whole)
+
+    def known(self, w: Column) -> Column:
+        """The distinct words that any template has."""
+        return F.array_distinct(F.filter(w, lambda x: x.isin(list(self.shares))))
+
+    def may_reach(self, known: Column, threshold: float) -> Column:
+        """Whether a text with these known words can have a cosine of ``threshold``, rounded to six digits."""
+        share = F.create_map(*[F.lit(x) for pair in self.shares.items() for x in pair])
+        return F.aggregate(known, F.lit(0.0), lambda total, x: total + F.element_at(share, x)) >= (threshold - 1e-6) ** 2 - 1e-9
 
 
 def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
@@ -145,15 +151,16 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: li
     counts, n = word_counts(rows), files.count()
     df = counts.where(F.col("word").isin(vocabulary(templates))).collect()  # the templates' words
     weights = Weights(templates, {r["word"]: r["df"] for r in df}, n)
-    anchors = F.array(*[F.lit(a) for a in weights.anchors])
     found = F.explode(F.concat(F.split("text", "\n"), F.split("text", BLANK)))
     lines = rows.select("path", found.alias("line")).select("path", words(F.col("line")).alias("w"))
     # Equal units of a path are one, whatever row they are from, as are a line and a block of that line.
-    lines = materialize(lines.where(F.arrays_overlap("w", anchors)).select("path", "w").distinct())
-    met = materialize(lines.select("path").distinct())
+    lines = materialize(lines.where(weights.may_reach(weights.known(F.col("w")), LINE)).distinct())
+    known = rows.select("path", weights.known(words(F.col("text"))).alias("known")).where(F.size("known") > 0)
+    known = known.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
+    met = materialize(known.where(weights.may_reach(F.col("known"), FILE)).select("path"))
     met = F.broadcast(met) if met.count() <= BROADCAST_PATHS else met
     suspects = materialize(rows.join(met, "path", "left_semi").select("path", words(F.col("text")).alias("w")))
-    idf = word_weights(counts, n, suspects)  # a file has its units' words
+    idf = word_weights(counts, n, lines.select("w").unionByName(suspects.select("w")))
     own = cosines(lines.withColumn("unit", F.xxhash64("w")), ["path", "unit"], weights, idf).where(F.col("score") >= LINE)
     best = F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"))).alias("best")
     own = materialize(own.groupBy("path").agg(best).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")))
