@@ -84,11 +84,15 @@ def release() -> None:
 
 
 def tidy(run):
-    """A function of Arrow batches that releases its memory when its task ends."""
+    """A function of Arrow batches that releases its memory when its task ends. What it returns is cut
+    into batches of ``BATCH_BYTES`` or single rows: the JVM holds each outside its heap, in blocks of powers of two."""
 
     def whole(batches):
         try:
-            yield from run(batches)
+            for out in run(batches):
+                step = max(1, out.num_rows * BATCH_BYTES // max(1, out.nbytes))
+                for at in range(0, out.num_rows, step):
+                    yield out.slice(at, step)
         finally:
             release()
 

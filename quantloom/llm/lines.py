@@ -45,10 +45,12 @@ BUCKETS = 1 << 20
 #: Partners that a prefix hands on for a line in each round; groups beyond WIDE are searched by blocks.
 ROUNDS, WIDE, BLOCK = (4, None), 512, 256
 PAIRS = 1 << 18
-#: Pairs that are held before they are thinned out or handed on, and prefix tokens of a part that are searched at once.
-HELD, PART = 1 << 20, 1 << 17
-#: Bits of the marks of each line or token that is asked for, and of all marks at most: more aren't broadcast.
-MARK_BITS, MOST_MARKS = 16, 1 << 25
+#: Pairs that are held before they are thinned out or handed on, prefix tokens of a part that are searched at once, and
+#: those that a task collects before it deals them out to the parts, so that rows don't grow as portions times parts.
+HELD, PART, DEALT = 1 << 20, 1 << 17, 1 << 19
+#: Bits of the marks of each line or token that is asked for, the fewest if there are many, and of all marks at most:
+#: more aren't broadcast.
+MARK_BITS, FEWEST_BITS, MOST_MARKS = 16, 4, 1 << 25
 #: Removed lines up to this many are broadcast (16 bytes each); more are shuffled.
 BROADCAST_LINES = 1_000_000
 #: Pairs up to this many are broadcast (16 bytes for each line).
@@ -63,6 +65,12 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _TOKEN = np.ones(256, bool)
 _TOKEN[[9, 10, 11, 12, 13, 32]] = False
+_FOLDS, _TOKENS = _FOLD.tobytes(), _TOKEN.tobytes()
+
+
+def folded_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the tokens."""
+    return token_hashes(np.frombuffer(raw.translate(_FOLDS), np.uint8), np.frombuffer(raw.translate(_TOKENS), bool))
 
 
 def lines_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,18 +197,19 @@ def count_tokens(docs: DataFrame, text: str) -> np.ndarray:
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
         texts = [t or b"" for t in batch.column(0).to_pylist()]
         for a, b in slices(texts, PORTION):
-            raw = _FOLD[np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)]
-            total += np.bincount(bucket(token_hashes(raw, _TOKEN[raw])[0]), minlength=BUCKETS).astype(np.uint32)
+            total += np.bincount(bucket(folded_hashes(b"\n".join(texts[a:b]))[0]), minlength=BUCKETS).astype(np.uint32)
 
     return summed(docs.select(text), BUCKETS, "<u4", fill, _saturating)
 
 
-#: 64-bit columns of a portion's lines; of lines met by a token. To both belong, in narrow integers, differences
-#: of documents, what tells documents of one id apart, line numbers, sizes; and whether an equal line comes
-#: earlier in the portion, or positions and who asks.
+#: 64-bit columns of a portion's lines. To them belong, in narrow integers, differences of documents, what tells
+#: documents of one id apart, line numbers, sizes, and whether an equal line comes earlier in the portion.
 LINE = ("<u8", "<u8")
 PREFIX = ("<u4",)
-MEETING = ("<u4", "<u8", "<u8")
+#: Columns of the prefix tokens of a part, and of those that are in narrow integers: the first document, differences
+#: of documents, ``sub``, line numbers, sizes, positions, whether the line doesn't ask for partners, and cells.
+OUTRIGHT, SMALL = {"token": "<u4", "sig": "<u8", "parity": "<u8"}, ("docs", "sub", "line", "n", "pos", "mute", "cell")
+DEAL = "part int, doc long, " + ", ".join(f"{c} binary" for c in (*OUTRIGHT, *SMALL))
 
 
 def pack_lines(doc, sub, line, sig, parity, n, again) -> bytes:
@@ -251,8 +260,7 @@ def line_rows(docs: DataFrame, rank, t: float) -> DataFrame:
         for batch in portions(batches):
             ids, subs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             raw, feeds, owner, number = lines_in([x or b"" for x in batch.column(1).to_pylist()])
-            raw = _FOLD[raw]
-            h, start = token_hashes(raw, _TOKEN[raw])
+            h, start = folded_hashes(raw.tobytes())
             h, start, n, line = sets_of(h, np.searchsorted(feeds, start), rank.value)
             if not len(start):
                 continue
@@ -306,7 +314,7 @@ def line_marks(doc: np.ndarray, line: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def is_marked(bits: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Whether the lines are marked; about one in a hundred others may be too."""
+    """Whether the lines are marked; about one in a hundred others may be too, one in seven if there are very many."""
     a, b = line_marks(doc, line, len(bits))
     return bits[a] & bits[b]
 
@@ -318,8 +326,10 @@ def token_marks(token: np.ndarray, size: int) -> np.ndarray:
 def marked(rows: DataFrame, n: int, number) -> np.ndarray | None:
     """Bits of all marks ``number(batch, size)`` of the ``n`` rows, packed; None if they are too many."""
     size = max(1 << 16, 1 << (MARK_BITS * n).bit_length())
-    if size > MOST_MARKS:
-        return None
+    if size > MOST_MARKS:  # a fuller table lets more others pass, but all texts aren't shuffled yet
+        if not 0 < FEWEST_BITS * n <= MOST_MARKS:
+            return None
+        size = MOST_MARKS
 
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
         total[number(batch, size)] = 1
@@ -429,16 +439,18 @@ MET = "doc long, sub long, line int, sig long, par long, other long, opar long,
 NAMES = [c.split()[0] for c in MET.split(", ")]
 
 
-def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int], total: int, tokens=None, asked=None, again: bool = True) -> DataFrame:
-    """What lines meet by shared prefix tokens, with the columns MET: (sig, par) is a line, (other, opar) an
-    earlier partner of it. Rows without a partner tell of lines that were compared and may match, or, with a
-    token, that there are more partners of the line at it than ``first``. ``total``: how many prefix tokens there are.
+def pieces_of(column: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A column cut into binary values, integers in the narrowest width that holds all of them; none for zeros."""
+    if column.dtype.kind == "i" and not column.any():
+        column, cuts = np.zeros(0, "<i1"), np.zeros(len(cuts), np.int64)
+    elif column.dtype.kind == "i":
+        column = column.astype(next(w for w in WIDTHS if column.min() >= np.iinfo(w).min and column.max() <= np.iinfo(w).max))
+    ends = (np.append(cuts, len(column)) * column.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(column))])
 
-    ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for, if not
-    all. ``again``: whether to tell of equal lines.
-    """
-    spark = rows.sparkSession
-    ranges = max(256, 4 * partitions(spark), total // PART)
+
+def deal(rows: DataFrame, t: float, ranges: int, crowded: dict[int, int], tokens=None, asked=None) -> DataFrame:
+    """The prefix tokens dealt to parts, with the columns DEAL: a row for each part and ``DEALT`` tokens of a task."""
     crowd_token = np.array(sorted(crowded), np.uint32)
     crowd_blocks = np.array([crowded[k] for k in sorted(crowded)], np.int64)
 
@@ -452,30 +464,80 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
         own = (sig[row] % blocks[row].astype(np.uint64)).astype(np.int64)
         return row, np.minimum(own, other) * blocks[row] + np.maximum(own, other)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(held: list) -> Iterator[pa.RecordBatch]:
+        lines, met = zip(*held, strict=True)
+        base = np.cumsum([0, *(len(x[0]) for x in lines)])
+        doc, sub, line, sig, parity, n, mute = (np.concatenate(c) for c in zip(*lines, strict=True))
+        own = np.concatenate([x[1] + b for x, b in zip(met, base, strict=False)])
+        token, pos, part, cell = (np.concatenate([x[i] for x in met]) for i in (0, 2, 3, 4))
+        held.clear()
+        del lines, met
+        order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+        own, part = own[order], part[order]
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        docs = np.diff(doc[own], prepend=np.int64(0))
+        docs[cuts] = 0
+        columns = {"part": pa.array(part[cuts]), "doc": pa.array(doc[own[cuts]]), "docs": pieces_of(docs, cuts)}
+        for name, column in (("sig", sig), ("parity", parity), ("sub", sub), ("line", line), ("n", n), ("mute", mute)):
+            columns[name] = pieces_of(column[own], cuts)
+        for name, column in (("token", token), ("pos", pos), ("cell", cell)):
+            columns[name] = pieces_of(column[order], cuts)
+        names = [c.split()[0] for c in DEAL.split(", ")]
+        yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.unpackbits(tokens.value).view(bool) if tokens else None
         ask = np.unpackbits(asked.value).view(bool) if asked else None
+        held, size = [], 0
         for batch in batches:
             for lines, prefixes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc, sub, line, sig, parity, n, more = unpack_lines(lines)
                 (token,) = unpack(prefixes, PREFIX)
                 p = prefix_sizes(n, more, t)
                 own, pos = np.repeat(np.arange(len(n)), p), spans(np.zeros(len(n), np.int64), p)
-                probe = np.ones(len(n), np.int64) if ask is None else is_marked(ask, doc, line).astype(np.int64)
+                mute = np.zeros(len(n), np.int64) if ask is None else 1 - is_marked(ask, doc, line).astype(np.int64)
                 if use is not None:
                     chosen = np.flatnonzero(use[token_marks(token, len(use))])
                     token, own, pos = token[chosen], own[chosen], pos[chosen]
                 row, cell = cells(token, sig[own])
                 token, own, pos = token[row], own[row], pos[row]
                 part = (((token.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64) + cell).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                token, own, pos, part, cell = token[order], own[order], pos[order], part[order], cell[order]
-                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-                wide, narrow, place = (token, sig[own], parity[own]), (sub[own], n[own], pos, probe[own], cell), (doc[own], line[own])
-                ends = [*cuts[1:], len(part)][: len(cuts)]
-                packed = [pack(*(c[i:j] for c in wide)) for i, j in zip(cuts, ends, strict=True)]
-                small = [pack_narrow(*(np.diff(c[i:j], prepend=np.int64(0)) for c in place), *(c[i:j] for c in narrow)) for i, j in zip(cuts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(packed, pa.binary()), pa.array(small, pa.binary())], ["part", "wide", "narrow"])
+                held.append(((doc, sub, line, sig, parity, n, mute), (token, own.astype(np.int32), pos.astype(np.int32), part, cell.astype(np.int32))))
+                size += len(token)
+                if size >= DEALT:
+                    yield from together(held)
+                    size = 0
+        if held:
+            yield from together(held)
+
+    return rows.select("lines", "prefixes").mapInArrow(tidy(run), DEAL)
+
+
+def dealt_columns(packed: list) -> list[np.ndarray]:
+    """token, sig, parity, doc, line, sub, n, pos, mute and cell of the rows of a part, each as in DEAL without its part."""
+    first, *raws = zip(*packed, strict=True)
+    got = dict(zip((*OUTRIGHT, *SMALL), raws, strict=True))
+    sizes = [len(raw) // 4 for raw in got["token"]]
+    small = {w.itemsize: w for w in map(np.dtype, WIDTHS)}
+
+    def narrow(name: str) -> list[np.ndarray]:
+        return [np.frombuffer(raw, small[len(raw) // n]) if raw else np.zeros(n, np.int8) for raw, n in zip(got[name], sizes, strict=True)]
+
+    out = {name: np.concatenate([np.frombuffer(raw, kind) for raw in got[name]]) for name, kind in OUTRIGHT.items()}
+    out |= {name: np.concatenate(narrow(name)).astype(np.int64) for name in SMALL[1:]}
+    out["doc"] = np.concatenate([np.cumsum(x, dtype=np.int64) + at for x, at in zip(narrow("docs"), first, strict=True)])
+    return [out[c] for c in ("token", "sig", "parity", "doc", "line", "sub", "n", "pos", "mute", "cell")]
+
+
+def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int], total: int, tokens=None, asked=None, again: bool = True) -> DataFrame:
+    """What lines meet by shared prefix tokens, with the columns MET: (sig, par) is a line, (other, opar) an
+    earlier partner of it. Rows without a partner tell of lines that were compared and may match, or, with a
+    token, that there are more partners of the line at it than ``first``. ``total``: how many prefix tokens there are.
+
+    ``tokens`` and ``asked``: broadcast marks of the tokens to use and of the lines to find partners for, if not
+    all. ``again``: whether to tell of equal lines.
+    """
+    ranges = max(256, 4 * partitions(rows.sparkSession), total // PART)
 
     def told(columns: dict) -> pa.RecordBatch:
         size = len(columns["doc"])
@@ -486,7 +548,7 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
         """Part by part: a task's parts are one after the other, and only one of them is unpacked."""
         held, now = [], None
         for batch in batches:
-            for part, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # packed: as in DEAL
                 if part != now:
                     if held:
                         yield from search(held)
@@ -496,10 +558,8 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
             yield from search(held)
 
     def search(packed: list) -> Iterator[pa.RecordBatch]:
-        got = [unpack(raw, MEETING) + unpack_narrow(small, 7) for raw, small in packed]
+        columns = dealt_columns(packed)
         packed.clear()
-        columns = [np.concatenate([np.cumsum(x) for x in c] if i in (3, 4) else c) for i, c in enumerate(zip(*got, strict=True))]
-        del got
         if columns[9].any():  # cells of crowded tokens are tokens of their own
             columns[0] = columns[0].astype(np.uint64) | columns[9].astype(np.uint64) << np.uint64(32)
 
@@ -534,12 +594,12 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
             yield told({"doc": doc[repeats], "sub": sub[repeats], "line": line[repeats], "sig": s, "par": p, "other": s, "opar": p})
         order = order[keep[order]]
         order = shared(order[by(token[order], n[order].astype(np.uint64))])
-        token, sig, parity, doc, line, sub, n, pos, probe, _ = (c[order] for c in columns)
+        token, sig, parity, doc, line, sub, n, pos, mute, _ = (c[order] for c in columns)
         del columns
         if not len(token):
             return
         place = lambda at: {"doc": doc[at], "sub": sub[at], "line": line[at], "sig": sig[at].view(np.int64), "par": parity[at].view(np.int64)}
-        for late, early, *fit in partners(token, doc, sub, line, parity, n, pos, probe.astype(bool), t, first):
+        for late, early, *fit in partners(token, doc, sub, line, parity, n, pos, mute == 0, t, first):
             if late is None:
                 total, fit = early, np.flatnonzero(fit[0])
                 break
@@ -558,7 +618,7 @@ def meet(rows: DataFrame, t: float, first: int | None, crowded: dict[int, int],
         order = fit[np.lexsort((line[fit], sub[fit], doc[fit]))]
         yield told(place(order[np.concatenate([[True], differ(order, doc, sub, line)])]))
 
-    got = rows.select("lines", "prefixes").mapInArrow(tidy(deal), "part int, wide binary, narrow binary").repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), MET)
+    got = deal(rows, t, ranges, crowded, tokens, asked).repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), MET)
     return got.distinct()
 
 
@@ -589,8 +649,8 @@ def token_sets(involved: DataFrame, docs: DataFrame) -> DataFrame:
             if not len(own):
                 continue
             begin = np.concatenate([[0], feeds[:-1] + 1])[own]
-            raw = _FOLD[raw[spans(begin, feeds[own] + 1 - begin)]]
-            h, start = token_hashes(raw, _TOKEN[raw])
+            raw = raw[spans(begin, feeds[own] + 1 - begin)]
+            h, start = folded_hashes(raw.tobytes())
             h, start, n, _ = sets_of(h, np.searchsorted(np.flatnonzero(raw == 10), start), None)
             if not len(start):
                 continue
