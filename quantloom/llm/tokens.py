@@ -60,8 +60,9 @@ def token_hashes(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _hashes(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    padded = np.concatenate([[False], inside, [False]])
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    start, stop = edge[::2], edge[1::2]
     up, down = _powers(len(raw) + 1)
     rolling = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_VALUE[raw] * up[: len(raw)], out=rolling[1:])
